@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secret_scan, simhash_dedup
+from . import decontaminate, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, toxicity, transcripts, warc_derive
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            warc_derive.op1_warc_derivatives,
             quality_rules.op2_crf_quality,
             simhash_dedup.op3_simhash_deletion,
             secret_scan.op4_blob_ledger,
+            quality_rank.op5_bradley_terry,
+            toxicity.op6_text_cnn,
+            html_extract.op7_tag_ratio,
             mixing.op8_mix_thresholds,
+            transcripts.op9_transcript_hmm,
+            decontaminate.op10_window_simhash,
         )
     }
 
