@@ -1,11 +1,478 @@
-"""The registered queries of the romanization engine."""
+"""The registered queries of the romanization engine and an independent SQL oracle for each."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import orthography as O
+from ..functions import syllables as S
+from ..functions import textnorm as X
+from ..operators import evaluate as E
+from ..operators import lexicon as K
+from ..operators import segment as G
+from . import fixtures as D
+
+_QUERIES: dict = {}
+_ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLES)
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _v(spark, sql):
+    return spark.sql(f"SELECT * FROM {sql}")
+
+
+def _lex(spark):
+    return _v(spark, D.LEX_SQL)
+
+
+def _halves(spark, d):
+    """(p_partkey, p_size, a, b, word): Thai words of both halves of each part name, and both joined."""
+    en = _v(spark, D.EN_SQL)
+    p = _t(spark, d, "part").select("p_partkey", "p_size", F.split("p_name", " ").alias("h"))
+    p = p.join(F.broadcast(en.select(F.col("en").alias("e1"), F.col("thai").alias("a"))), F.col("h")[0] == F.col("e1"))  # sixteen rows, fixed
+    p = p.join(F.broadcast(en.select(F.col("en").alias("e2"), F.col("thai").alias("b"))), F.col("h")[1] == F.col("e2"))
+    return p.select("p_partkey", "p_size", "a", "b", F.concat("b", "a").alias("word"))
+
+
+_PARTS = f"""parts AS (SELECT p_partkey, p_size, a.thai AS a, b.thai AS b, b.thai || a.thai AS word FROM part
+  JOIN (SELECT * FROM {D.EN_SQL}) a ON a.en = split_part(p_name, ' ', 1) JOIN (SELECT * FROM {D.EN_SQL}) b ON b.en = split_part(p_name, ' ', 2))"""
+_LEX = f"lex AS (SELECT * FROM {D.LEX_SQL}), dict AS (SELECT thai, arg_max(translit, file || lpad(CAST(line_no AS VARCHAR), 9, '0')) AS translit FROM lex WHERE priority = 1 GROUP BY thai)"
+
+
+def _dict(spark):
+    return K.last_wins(_lex(spark).filter("priority = 1"))
+
+
+# ---- lexicon -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_PARTS}, {_LEX} SELECT p_partkey, a AS word, translit FROM parts LEFT JOIN dict ON thai = a")
+def lexicon_lookup(spark, d):
+    return K.lookup(_halves(spark, d).select("p_partkey", F.col("a").alias("word")), _dict(spark))
+
+
+@query(f"WITH {_PARTS}, {_LEX} SELECT p_partkey, b AS word, coalesce((SELECT max(translit) FROM lex WHERE priority = 0 AND thai = b), translit) AS translit FROM parts LEFT JOIN dict ON thai = b")
+def layered_lookup(spark, d):
+    return K.layered(_halves(spark, d).select("p_partkey", F.col("b").alias("word")), _lex(spark).filter("priority = 0"), _dict(spark))
+
+
+@query(f"WITH {_LEX} SELECT thai, translit FROM dict")
+def lexicon_dedupe_last_wins(spark, d):
+    return _dict(spark)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey % 97 AS k, CAST(o_orderkey AS VARCHAR) AS w FROM orders),
+s AS (SELECT w AS thai, [CAST(k % 5 AS VARCHAR), CAST(k % 7 AS VARCHAR)] AS syl, CASE WHEN k % 4 = 0 THEN [w] ELSE [w || 'a', w || 'b'] END AS parts FROM o),
+z AS (SELECT thai, unnest([0, 1]) AS pos, unnest(syl) AS syllable, unnest(parts) AS roman FROM s WHERE len(parts) = 2)
+SELECT syllable, arg_min(roman, thai || chr(1) || CAST(pos AS VARCHAR)) AS roman FROM z GROUP BY syllable"""
+)
+def syllable_first_wins(spark, d):
+    o = _t(spark, d, "orders").select((F.col("o_orderkey") % 97).alias("k"), F.col("o_orderkey").cast("string").alias("w"))
+    rows = o.select(F.col("w").alias("thai"), F.array((F.col("k") % 5).cast("string"), (F.col("k") % 7).cast("string")).alias("syllables"), F.when(F.col("k") % 4 == 0, F.array("w")).otherwise(F.array(F.concat("w", F.lit("a")), F.concat("w", F.lit("b")))).alias("parts"))
+    return K.first_wins(K.zip_syllables(rows))
+
+
+@query(
+    f"""WITH {_PARTS}, {_LEX}, u AS (SELECT thai, translit, 0 AS p FROM dict UNION ALL SELECT DISTINCT b, 'derived', 1 FROM parts WHERE length(b) BETWEEN 2 AND 6
+  UNION ALL SELECT thai, translit, 2 FROM lex WHERE priority = 0 AND length(thai) <= 5 AND NOT contains(translit, '-'))
+SELECT thai, arg_min(translit, CAST(p AS VARCHAR) || translit) AS translit FROM u GROUP BY thai"""
+)
+def syllable_union(spark, d):
+    derived = _halves(spark, d).select(F.col("b").alias("thai"), F.lit("derived").alias("translit"))
+    return K.syllable_union(_dict(spark), derived, _lex(spark).filter("priority = 0"))
+
+
+@query(f"WITH {_LEX} SELECT thai, translit, NOT contains(thai, ' ') AND ((length(thai) <= 5 AND NOT contains(translit, '-')) OR length(thai) <= 3) AS syllable, NOT contains(thai, ' ') AS one_word FROM dict")
+def syllable_admission(spark, d):
+    return _dict(spark).select("thai", "translit", K.admit_syllable(F.col("thai"), F.col("translit")).alias("syllable"), (~F.col("thai").contains(" ")).alias("one_word"))
+
+
+@query(f"WITH {_PARTS}, {_LEX} SELECT DISTINCT word FROM parts WHERE word NOT IN (SELECT thai FROM dict) UNION SELECT DISTINCT b FROM parts WHERE b NOT IN (SELECT thai FROM dict)")
+def oov_words_antijoin(spark, d):
+    h = _halves(spark, d)
+    return K.out_of_vocabulary(h.select("word").unionAll(h.select(F.col("b").alias("word"))), _dict(spark))
+
+
+@query(f"WITH {_PARTS}, {_LEX} SELECT DISTINCT word || chr(9) AS line FROM parts WHERE word NOT IN (SELECT thai FROM dict) ORDER BY 1")
+def draft_dictionary(spark, d):
+    return K.out_of_vocabulary(_halves(spark, d), _dict(spark)).select(F.concat("word", F.lit("\t")).alias("line")).orderBy("line")
+
+
+# ---- text functions ------------------------------------------------------------------------------
+
+
+@query(f"WITH {_PARTS} SELECT DISTINCT w, regexp_matches(w, '[\\x{{0E00}}-\\x{{0E7F}}]') AS thai FROM (SELECT word AS w FROM parts UNION ALL SELECT p_name FROM part UNION ALL SELECT '฿')")
+def thai_filter(spark, d):
+    w = _halves(spark, d).select(F.col("word").alias("w")).unionAll(_t(spark, d, "part").select("p_name")).unionAll(spark.sql("SELECT '฿'")).distinct()
+    return w.select("w", X.contains_thai(F.col("w")).alias("thai"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[0-9]') AS digit FROM documents")
+def digit_filter(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.contains_digit(F.col("text")).alias("digit"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[èéêìíîòóôùúû]') AS precomposed FROM documents")
+def precomposed_filter(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.has_precomposed(F.col("text")).alias("precomposed"))
+
+
+@query(
+    """SELECT CASE WHEN a.text = '' OR b.text = '' THEN 'empty' WHEN starts_with(a.text, '# Exported by Aegisub') THEN 'header' WHEN regexp_matches(a.text, '[0-9]') THEN 'digit'
+  WHEN regexp_matches(b.text, '[èéêìíîòóôùúû]') THEN 'precomposed' WHEN contains(a.text, 'ๆ') THEN 'repeat' ELSE 'kept' END AS reason, count(*) AS n
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY 1"""
+)
+def skip_chain_counts(spark, d):
+    c = _t(spark, d, "conversations")
+    p = c.select("conv_id", "turn", F.col("text").alias("a")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"])
+    a, b = F.col("a"), F.col("b")
+    why = F.when((a == "") | (b == ""), "empty").when(a.startswith("# Exported by Aegisub"), "header").when(X.contains_digit(a), "digit").when(X.has_precomposed(b), "precomposed").when(a.contains("ๆ"), "repeat").otherwise("kept")
+    return p.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS stripped FROM pages")
+def strip_markers(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.strip_markers(F.col("html")).alias("stripped"))
+
+
+@query("SELECT doc_id, replace(replace(text, '-', ''), '~', '') AS folded FROM documents")
+def fold_separators(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.fold_separators(F.col("text")).alias("folded"))
+
+
+@query(f"SELECT n, strip_accents(x) AS plain FROM (SELECT n, expected AS x FROM {D.PAIR_SQL} UNION ALL SELECT line_no * 1000 + length(file), translit FROM {D.LEX_SQL})")
+def strip_tones(spark, d):
+    rows = spark.sql(f"SELECT n, expected AS x FROM {D.PAIR_SQL} UNION ALL SELECT line_no * 1000 + length(file), translit FROM {D.LEX_SQL}")
+    return rows.select("n", X.strip_tones(F.col("x")).alias("plain"))
+
+
+_COMBINED = "SELECT o_orderkey AS k, concat(substr('bpdtk', CAST(o_orderkey % 5 AS INT) + 1, 1), substr('aeiou', CAST(o_orderkey % 5 AS INT) + 1, 1), substr('̀́̂̌', CAST(o_orderkey % 4 AS INT) + 1, 1), 'ng') AS x FROM orders"
+
+
+@query(f"SELECT k, nfc_normalize(x) AS composed FROM ({_COMBINED.replace('substr(', 'substring(')})")
+def nfc(spark, d):
+    _t(spark, d, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_COMBINED).select("k", X.nfc(F.col("x")).alias("composed"))
+
+
+_WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\p{{P}}\\p{{S}}]', ' ', 'g'), '{_WS}', ' ', 'g')) AS cleaned FROM documents")
+def punctuation_and_space(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.collapse(X.punctuation_to_space(F.col("text"))).alias("cleaned"))
+
+
+def _sql_number(n: str) -> str:
+    units = "[" + ", ".join(f"'{u}'" for u in O.UNITS) + "]"
+    tens = "[" + ", ".join(f"'{u}'" for u in O.TENS) + "]"
+    one = lambda c: f"CASE WHEN {c} = '0' THEN '{O.ZERO}' ELSE {units}[CAST({c} AS INT) + 1] END"
+    return (
+        f"CASE WHEN length({n}) = 1 THEN {one(n)} WHEN length({n}) = 2 THEN {tens}[CAST({n}[1] AS INT) + 1] || CASE WHEN {n}[2] = '1' AND {n}[1] <> '0' THEN ' {O.ELEVENTH}' WHEN {n}[2] <> '0' THEN ' ' || {units}[CAST({n}[2] AS INT) + 1] ELSE '' END"
+        f" ELSE array_to_string(list_transform(string_split({n}, ''), lambda c: {one('c')}), ' ') END"
+    )
+
+
+@query(f"SELECT n, {_sql_number('n')} AS words FROM (SELECT DISTINCT CAST(CAST(l_quantity AS INT) AS VARCHAR) AS n FROM lineitem UNION SELECT DISTINCT CAST(p_partkey AS VARCHAR) FROM part UNION SELECT '07' UNION SELECT '00')")
+def number_words(spark, d):
+    n = _t(spark, d, "lineitem").select(F.col("l_quantity").cast("int").cast("string").alias("n")).union(_t(spark, d, "part").select(F.col("p_partkey").cast("string"))).unionAll(spark.sql("SELECT '07' UNION ALL SELECT '00'")).distinct()
+    return n.select("n", X.number_words(F.col("n")).alias("words"))
+
+
+@query(f"SELECT p_partkey, 'a' || ' ' || {_sql_number('n')} || 'b ' || {_sql_number('m')} AS spelled FROM (SELECT p_partkey, CAST(p_size AS VARCHAR) AS n, CAST(p_partkey AS VARCHAR) AS m FROM part)")
+def normalize_numbers(spark, d):
+    return _t(spark, d, "part").select("p_partkey", X.normalize_numbers(F.concat(F.lit("a"), F.col("p_size").cast("string"), F.lit("b "), F.col("p_partkey").cast("string"))).alias("spelled"))
+
+
+def _duck_normalize(x: str) -> str:
+    x = f"lower(trim(regexp_replace(nfc_normalize(regexp_replace({x}, '^\\x{{FEFF}}', '')), '{_WS}', ' ', 'g')))"
+    x = f"trim(regexp_replace(regexp_replace({x}, '[\\p{{P}}\\p{{S}}]', ' ', 'g'), '{_WS}', ' ', 'g'))"
+    for w in ("mǎi", "mái"):
+        x = f"replace({x}, ' {w} ', ' mai ')"
+    x = f"regexp_replace({x}, ' m(ǎ|á)i$', ' mai')"
+    for w in ("wà", "wâ"):
+        x = f"replace({x}, ' {w} ', ' wa ')"
+    return f"regexp_replace({x}, ' w(à|â)$', ' wa')"
+
+
+_ROMAN = f"SELECT o_orderkey AS k, concat(e.expected, CASE o_orderkey % 4 WHEN 0 THEN ' mǎi' WHEN 1 THEN ' wâ!' WHEN 2 THEN ' mái  (rɔ̌ɔk) mái ná' ELSE '...' END) AS x FROM orders JOIN (SELECT * FROM {D.PAIR_SQL}) e ON e.n = o_orderkey % 7 + 1"
+
+
+@query(f"SELECT k, {_duck_normalize('x')} AS normalized FROM ({_ROMAN})")
+def normalize_text(spark, d):
+    _t(spark, d, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_ROMAN).select("k", X.normalize(F.col("x")).alias("normalized"))
+
+
+@query(f"WITH {_PARTS} SELECT word, regexp_replace(word, '(?s:.)์|[ก-ฮ][ะัาิีึืุูเแโใไๅำ]์', '', 'g') AS kept FROM (SELECT DISTINCT word FROM parts UNION SELECT word FROM {D.WORD_SQL})")
+def silent_removal(spark, d):
+    w = _halves(spark, d).select("word").unionAll(_v(spark, D.WORD_SQL)).distinct()
+    return w.select("word", X.remove_silent(F.col("word")).alias("kept"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS INT) AS n_bytes, CAST(length(text) AS INT) AS n_points FROM documents")
+def byte_vs_char_len(spark, d):
+    b, n = X.byte_and_char_length(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", b.alias("n_bytes"), n.alias("n_points"))
+
+
+@query("SELECT doc_id, list_filter(string_split(text, ' '), lambda w: w <> '' AND w <> '-') AS words FROM documents")
+def split_words(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.split_words(F.col("text")).alias("words"))
+
+
+@query("SELECT n_name, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(n_name, '\\d+') AS INT), 0), n_name) AS place FROM nation")
+def natural_sort(spark, d):
+    n = _t(spark, d, "nation")  # twenty-five rows
+    from pyspark.sql import Window
+
+    return n.select("n_name", F.row_number().over(Window.orderBy(X.first_number(F.col("n_name")), "n_name")).cast("long").alias("place"))
+
+
+@query(f"WITH {_PARTS}, c AS (SELECT unnest(string_split(word, '')) AS ch FROM parts) SELECT ch, CASE WHEN regexp_matches(ch, '[ก-ฮ]') THEN 'consonant' WHEN regexp_matches(ch, '[เแโใไ]') THEN 'leading' WHEN regexp_matches(ch, '[ะัาิีึืุูๅำ]') THEN 'vowel' WHEN regexp_matches(ch, '[่้๊๋]') THEN 'tone' ELSE 'other' END AS class, count(*) AS n FROM c GROUP BY ALL")
+def char_class_histogram(spark, d):
+    c = _halves(spark, d).select(F.explode(F.split("word", "")).alias("ch"))
+    ch = F.col("ch")
+    cls = F.when(ch.rlike(S.C), "consonant").when(ch.rlike(S.L), "leading").when(ch.rlike(S.V), "vowel").when(ch.rlike(S.T), "tone").otherwise("other")
+    return c.groupBy("ch", cls.alias("class")).agg(F.count("*").alias("n"))
+
+
+# ---- tones and syllables -------------------------------------------------------------------------
+
+_GRID = "(VALUES ('low'), ('mid'), ('high')) AS c(cls), (VALUES (''), ('่'), ('้'), ('๊'), ('๋')) AS m(mark), (VALUES ('a'), ('aa'), ('ai'), ('əə'), ('ɔ')) AS v(vowel), (VALUES (''), ('k'), ('n'), ('i')) AS f(final)"
+
+
+def _grid_oracle() -> str:
+    long = "regexp_matches(vowel, 'aa|ii|uu|ee|oo|ɔɔ|əə')"
+    live = {
+        "legacy": f"(final NOT IN ('k', 't', 'p') OR {long} OR vowel IN ('ai', 'ao'))",
+        "build": "(final IN ('', 'n', 'm', 'ng') OR regexp_matches(vowel, 'aa|ii|uu|ee|oo|ɔɔ'))",
+        "pattern": "(final NOT IN ('k', 't', 'p'))",
+    }
+    one = lambda e: f"""SELECT '{e}' AS engine, cls, mark, vowel, final, {live[e]} AS live, CASE mark WHEN '่' THEN CASE cls WHEN 'low' THEN 3 ELSE 1 END WHEN '้' THEN CASE cls WHEN 'low' THEN 2 ELSE 3 END
+  WHEN '๊' THEN CASE cls WHEN 'mid' THEN 2 ELSE 0 END WHEN '๋' THEN CASE cls WHEN 'mid' THEN 4 ELSE 0 END
+  ELSE CASE WHEN {live[e]} THEN CASE cls WHEN 'high' THEN 4 ELSE 0 END WHEN cls <> 'low' THEN 1 ELSE {f"CASE WHEN {long} THEN 3 ELSE 2 END" if e == 'pattern' else '2'} END END AS tone FROM {_GRID}"""
+    return " UNION ALL ".join(map(one, live))
+
+
+@query(_grid_oracle())
+def tone_matrix(spark, d):
+    g = spark.sql(f"SELECT * FROM {_GRID}")
+    out = None
+    for e in ("legacy", "build", "pattern"):
+        live = S.is_live(F.col("vowel"), F.col("final"), e)
+        part = g.select(F.lit(e).alias("engine"), "cls", "mark", "vowel", "final", live.alias("live"), S.tone_number(F.col("cls"), live, F.col("mark"), S.is_long(F.col("vowel")), e).alias("tone"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query(f"SELECT x, nfc_normalize(regexp_replace(x, '^([^aeiouəɛɔʉ]*[aeiouəɛɔʉ])', '\\1' || m)) AS toned FROM (VALUES ('gaa'), ('krʉʉ'), ('ngɔɔng'), ('pleeng'), ('brt')) AS r(x), (VALUES (''), ('̀'), ('́'), ('̂'), ('̌')) AS t(m)")
+def tone_placement(spark, d):
+    g = spark.sql("SELECT * FROM (VALUES ('gaa'), ('krʉʉ'), ('ngɔɔng'), ('pleeng'), ('brt')) AS r(x), (VALUES (0), (1), (2), (3), (4)) AS t(n)")
+    return g.select("x", S.place_tone(F.col("x"), F.col("n")).alias("toned"))
+
+
+_ALL_WORDS = f"(SELECT DISTINCT word FROM parts UNION SELECT word FROM {D.WORD_SQL} UNION SELECT a FROM parts UNION SELECT b FROM parts)"
+
+
+def _words(spark, d):
+    h = _halves(spark, d)
+    return h.select("word").unionAll(h.select("a")).unionAll(h.select("b")).unionAll(_v(spark, D.WORD_SQL)).distinct()
+
+
+_PAIR_RX = "(?:" + "|".join(sorted(O.CLUSTERS)) + f"|ห{S.C})"
+_LEN = f"length(regexp_extract(rest, '^(?:{S.L}(?:{_PAIR_RX}|{S.C})?{S.MV}*|(?:{_PAIR_RX}|{S.C})?{S.M}*{S.V}{S.MV}*|{_PAIR_RX}{S.M}*|{S.C}{S.M}*|{S.M}+|(?s:.))'))"
+
+
+def _plain_length(rest: str = "rest") -> str:
+    """DuckDB SQL for the length of the first syllable of ``rest``, without look-ahead: the part before the final, then the final's rule."""
+    base = _LEN.replace("rest", rest)
+    head = f"{rest}[1:{base}]"
+    nxt, after = f"{rest}[{base} + 1]", f"{rest}[{base} + 2]"
+    lead = f"regexp_matches({head}, '^{S.L}')"
+    has_vowel = f"regexp_matches({head}, '{S.V}')"
+    single = f"regexp_matches({head}, '^{S.C}{S.M}*$')"
+    return f"""({base} + CASE WHEN NOT regexp_matches({nxt}, '^{S.C}$') THEN 0
+  WHEN {has_vowel} THEN CASE WHEN regexp_matches({after}, '^{S.L}$') OR (NOT {lead} AND regexp_matches({after}, '^{S.V}$')) OR ({lead} AND regexp_matches({after}, '^{S.C}$')) THEN 0 ELSE 1 END
+  WHEN {single} THEN 1 ELSE 0 END)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PARTS}, w AS (SELECT word FROM {_ALL_WORDS}),
+r AS (SELECT word, word AS rest, CAST([] AS VARCHAR[]) AS syl FROM w UNION ALL SELECT word, rest[n + 1:], list_append(syl, rest[1:n]) FROM (SELECT *, {_plain_length()} AS n FROM r WHERE rest <> ''))
+SELECT word, syl AS syllables FROM r WHERE rest = ''"""
+)
+def syllable_split(spark, d):
+    return _words(spark, d).select("word", S.extract_syllables(F.col("word")).alias("syllables"))
+
+
+def _duck_rank() -> str:
+    s = "regexp_replace(word, '(?s:.)์|[ก-ฮ][ะัาิีึืุูเแโใไๅำ]์', '', 'g')"
+    return "CASE " + " ".join(f"WHEN regexp_full_match({s}, '{S.pattern_regex(p)[1:-1]}') THEN {i + 1}" for i, (p, _, _) in enumerate(S.RANKED)) + " END"
+
+
+@query(f"WITH {_PARTS} SELECT word, {_duck_rank()} AS rank FROM {_ALL_WORDS}")
+def vowel_pattern_match(spark, d):
+    return _words(spark, d).select("word", S.match_pattern(F.col("word")).alias("rank"))
+
+
+@query(f"""WITH {_PARTS}, s AS (SELECT word, regexp_replace(word, '(?s:.)์|[ก-ฮ][ะัาิีึืุูเแโใไๅำ]์', '', 'g') AS s FROM {_ALL_WORDS}),
+p AS (SELECT word, s, regexp_extract(s, '^({S.L}?)', 1) AS lead, regexp_extract(s, '^{S.L}?({_PAIR_RX}|{S.C}ร)', 1) AS pair, regexp_extract(s, '^{S.L}?({S.C}?)', 1) AS one FROM s),
+q AS (SELECT word, lead, CASE WHEN pair <> '' THEN pair ELSE one END AS onset, s FROM p), r AS (SELECT *, s[length(lead) + length(onset) + 1:] AS rest FROM q)
+SELECT word, lead, onset, array_to_string(regexp_extract_all(rest, '{S.V}'), '') AS vowel, coalesce(regexp_extract_all(rest, '{S.T}')[-1], '') AS tone, array_to_string(regexp_extract_all(rest, '{S.C}'), '') AS final FROM r""")
+def syllable_parse(spark, d):
+    parts = S.parse(F.col("word"))
+    return _words(spark, d).select("word", *[c.alias(k) for k, c in parts.items()])
+
+
+# ---- segmentation --------------------------------------------------------------------------------
+
+
+def _segment_lexicon(spark):
+    lex = _lex(spark)
+    return lex.groupBy("thai").agg(F.min_by("translit", F.struct("priority", -F.col("line_no"))).alias("translit"), F.min("priority").alias("priority"))
+
+
+_SEG = f"""RECURSIVE {_PARTS}, lx AS (SELECT thai, arg_min(translit, priority * 100 - line_no) AS translit, min(priority) AS priority FROM {D.LEX_SQL} GROUP BY thai),
+w AS (SELECT word FROM {_ALL_WORDS} WHERE word <> ''),
+h AS (SELECT word, pos, arg_max(translit, n) AS translit, arg_max(priority, n) AS priority, max(n) AS n FROM (SELECT word, pos, n, word[pos + n:] AS tail, l.translit, l.priority
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM w) p, (SELECT unnest(range(1, 9)) AS n) k JOIN lx l ON l.thai = p.word[p.pos:p.pos + k.n - 1] AND p.pos + k.n - 1 <= length(p.word))
+  WHERE NOT (length(tail) = 1 AND regexp_matches(tail, '[ก-ฮ]')) GROUP BY word, pos),
+r AS (SELECT word, CAST(1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS idx, '' AS piece, CAST(NULL AS VARCHAR) AS translit, '' AS tier FROM w
+  UNION ALL SELECT word, pos + n, idx + 1, word[pos:pos + n - 1], translit, CASE WHEN priority IS NULL THEN 'rule' WHEN priority = 0 THEN 'special' ELSE 'syllable' END
+  FROM (SELECT r.word, r.pos, r.idx, h.translit, h.priority, coalesce(h.n, CASE WHEN s <> '' THEN length(s) ELSE {_plain_length('word[pos:]')} END) AS n
+    FROM (SELECT word, pos, idx, regexp_extract(word[pos:], '^(?:{S.SHAPES})') AS s FROM r WHERE pos <= length(word)) r LEFT JOIN h USING (word, pos)))"""
+
+
+@query(f"WITH {_SEG.replace(_plain_length('word[pos:]'), _plain_length('r.word[r.pos:]'))} SELECT word, CAST(idx - 1 AS INT) AS idx, piece, translit, tier FROM r WHERE idx > 0")
+def longest_match_segment(spark, d):
+    return G.segment(_words(spark, d), _segment_lexicon(spark))
+
+
+@query()
+def transliterate_words(spark, d):
+    return G.transliterate(_words(spark, d), _segment_lexicon(spark))
+
+
+@query()
+def explain_word(spark, d):
+    return G.explain(_words(spark, d), _segment_lexicon(spark))
+
+
+@query()
+def sentence_pipeline(spark, d):
+    """Every part name romanized: distinct words once, joined back to all parts."""
+    h = _halves(spark, d)
+    tokens = h.select("p_partkey", F.posexplode(F.array("b", "a")).alias("pos", "word"))
+    roman = K.layered(tokens.select("word").distinct(), _dict(spark)).alias("x")
+    known = roman.filter("translit is not null").select("word", F.col("translit").alias("roman"))
+    ruled = G.transliterate(roman.filter("translit is null"), _segment_lexicon(spark))
+    back = tokens.join(known.unionAll(ruled), "word")
+    return E.ordered_concat(back, ["p_partkey"], "pos", "roman", "-").withColumnRenamed("joined", "roman")
+
+
+_TOKENS = "SELECT o_custkey AS line, o_orderkey AS pos, CASE WHEN o_orderkey % 5 = 0 THEN 'ๆ' ELSE 'w' END AS token, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN '' ELSE concat('r', CAST(o_orderkey % 11 AS STRING)) END AS roman FROM orders"
+
+
+@query(f"SELECT line, pos, token, CASE WHEN token = 'ๆ' THEN coalesce(last_value(CASE WHEN token <> 'ๆ' AND roman <> '' THEN roman END IGNORE NULLS) OVER (PARTITION BY line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE roman END AS roman FROM ({_TOKENS})")
+def mai_yamok_repeat(spark, d):
+    _t(spark, d, "orders").createOrReplaceTempView("orders")
+    return E.repeat_mark(spark.sql(_TOKENS), "line", "pos", "roman")
+
+
+@query(f"SELECT line, string_agg(roman, '-' ORDER BY pos) AS joined FROM ({_TOKENS}) GROUP BY line")
+def ordered_concat(spark, d):
+    _t(spark, d, "orders").createOrReplaceTempView("orders")
+    return E.ordered_concat(spark.sql(_TOKENS), ["line"], "pos", "roman", "-")
+
+
+# ---- evaluation ----------------------------------------------------------------------------------
+
+
+def _greedy_oracle(pairs: str) -> str:
+    return f"""RECURSIVE p AS ({pairs}), g AS (SELECT k, e, o, 0 AS j, 1 AS i, 0 AS m FROM p
+  UNION ALL SELECT k, e, o, j + 1, CASE WHEN f IS NULL OR f = 0 THEN len(o) + 1 ELSE i + f END, m + CASE WHEN f > 0 THEN 1 ELSE 0 END FROM (SELECT *, list_position(o[i:], e[j + 1]) AS f FROM g WHERE j < len(e)))"""
+
+
+_TURNS = "SELECT a.conv_id * 1000 + a.turn AS k, list_filter(string_split(lower(a.text[1:400]), ' '), lambda w: w <> '') AS e, list_filter(string_split(lower(b.text[1:400]), ' '), lambda w: w <> '') AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+
+
+def _turn_pairs(spark, d):
+    c = _t(spark, d, "conversations")
+    words = lambda x: X.split_words(F.lower(F.substring(x, 1, 400)))
+    a = c.select("conv_id", "turn", words("text").alias("e"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), words("text").alias("o"))
+    return a.join(b, ["conv_id", "turn"])
+
+
+@query(f"WITH {_greedy_oracle(_TURNS)} SELECT sum(m) AS matched, sum(len(e)) AS words, round(sum(m) * 100.0 / sum(len(e)), 6) AS accuracy FROM g WHERE j = len(e)")
+def word_accuracy(spark, d):
+    p = _turn_pairs(spark, d).select(E.greedy_matches(F.col("e"), F.col("o")).alias("m"), F.size("e").alias("n"))
+    return p.agg(F.sum("m").alias("matched"), F.sum("n").alias("words"), F.round(F.sum("m") * 100.0 / F.sum("n"), 6).alias("accuracy"))
+
+
+@query(f"WITH {_greedy_oracle(f'''SELECT n AS k, string_split(expected, ' ') AS e, string_split(got, ' ') AS o FROM {D.PAIR_SQL}''')} SELECT k AS n, m AS matched FROM g WHERE j = len(e)")
+def greedy_word_match(spark, d):
+    return _v(spark, D.PAIR_SQL).select("n", E.greedy_matches(F.split("expected", " "), F.split("got", " ")).alias("matched"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE l_returnflag = l_linestatus OR l_linenumber = 1) AS passed, count(*) FILTER (WHERE NOT (l_returnflag = l_linestatus OR l_linenumber = 1)) AS failed, round(count(*) FILTER (WHERE l_returnflag = l_linestatus OR l_linenumber = 1) * 100.0 / count(*), 6) AS accuracy FROM lineitem")
+def line_accuracy(spark, d):
+    return _t(spark, d, "lineitem").agg(*E.accuracy((F.col("l_returnflag") == F.col("l_linestatus")) | (F.col("l_linenumber") == 1)))
+
+
+@query(f"WITH e AS (SELECT *, replace(replace(expected, '-', ''), '~', '') AS a, replace(replace(got, '-', ''), '~', '') AS b FROM {D.PAIR_SQL}) SELECT count(*) AS total, count(*) FILTER (WHERE strip_accents(a) = strip_accents(b)) AS passed, count(*) FILTER (WHERE strip_accents(a) <> strip_accents(b)) AS failed, round(count(*) FILTER (WHERE strip_accents(a) = strip_accents(b)) * 100.0 / count(*), 6) AS accuracy FROM e")
+def dict_accuracy(spark, d):
+    return _v(spark, D.PAIR_SQL).agg(*E.accuracy(E.tone_blind_equal(F.col("expected"), F.col("got"))))
+
+
+_FAILED = "SELECT p_partkey AS k, p_name AS expected, p_brand AS got FROM part ORDER BY 1 LIMIT 50"
+
+
+@query(f"SELECT count(*) FILTER (WHERE strlen(expected) <> strlen(got)) AS length_errors, count(*) FILTER (WHERE strlen(expected) = strlen(got) AND strip_accents(expected) = strip_accents(got)) AS tone_errors, count(*) FILTER (WHERE strlen(expected) = strlen(got) AND strip_accents(expected) <> strip_accents(got)) AS other_errors FROM ({_FAILED})")
+def failure_classes(spark, d):
+    f = _t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("expected"), F.col("p_brand").alias("got"))
+    return E.failure_classes(E.first_failures(f, 50, "k"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag <> l_linestatus ORDER BY l_orderkey, l_linenumber LIMIT 30")
+def first_n_failures(spark, d):
+    f = _t(spark, d, "lineitem").filter("l_returnflag <> l_linestatus").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return E.first_failures(f, 30, "l_orderkey", "l_linenumber")
+
+
+@query("SELECT source AS name, count(*) AS n FROM documents GROUP BY ROLLUP (source)")
+def per_file_rollup(spark, d):
+    return _t(spark, d, "documents").select(F.col("source").alias("name")).rollup("name").agg(F.count("*").alias("n"))
+
+
+@query("""WITH i AS (SELECT role AS name, conv_id * 1000 + turn AS line_no, text FROM conversations WHERE role <> 'system' OR turn < 1), g AS (SELECT role AS name, conv_id * 1000 + turn AS line_no, replace(text, ' ', '_') AS golden FROM conversations WHERE NOT (role = 'user' AND conv_id = 1)),
+c AS (SELECT name FROM (SELECT name, count(*) AS n FROM i GROUP BY 1) JOIN (SELECT name, count(*) AS n FROM g GROUP BY 1) USING (name, n))
+SELECT name, line_no, text, golden FROM i JOIN g USING (name, line_no) WHERE name IN (SELECT name FROM c)""")
+def corpus_pairing(spark, d):
+    c = _t(spark, d, "conversations").withColumn("line_no", F.col("conv_id") * 1000 + F.col("turn"))
+    i = c.filter("role <> 'system' OR turn < 1").select(F.col("role").alias("name"), "line_no", "text")
+    g = c.filter("NOT (role = 'user' AND conv_id = 1)").select(F.col("role").alias("name"), "line_no", F.replace("text", F.lit(" "), F.lit("_")).alias("golden"))
+    return E.pair_lines(i, g)
