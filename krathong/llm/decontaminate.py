@@ -111,7 +111,8 @@ class Index:
             if not len(at):
                 continue
             ends = ids[at] * v + ids[at + k - 1]
-            at = at[np.isin(ends, self.firsts[k])]
+            near = np.minimum(np.searchsorted(self.firsts[k], ends), len(self.firsts[k]) - 1)
+            at = at[self.firsts[k][near] == ends]
             starts: dict[int, set] = defaultdict(set)
             for p in at.tolist():
                 for i in table.get(tuple(ids[p : p + k].tolist()), ()):
