@@ -11,7 +11,7 @@ from krathong.llm import common, decontaminate, mixing, quality_rules, secret_sc
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
     model = quality_rules.fit(docs, common.table(spark, sf_dir, "labels"))
-    return docs.withColumn("_q", quality_rules.rule_column(model, F.col("text"))).filter("_q.kept").select(*docs.columns)
+    return common.pack(docs).withColumn("rules", quality_rules.rule_column(model, F.col("row.text"))).filter("rules.kept").select("row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,9 +36,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def xx_order(*cols):
-    """A fixed pseudo-random order for bounded training samples."""
-    return F.xxhash64(*cols)
+def pack(df: DataFrame) -> DataFrame:
+    """Each row as one struct column ``row``: what is added beside it cannot clash with the table's own columns."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
 def slices(texts: list[str], limit: int = 1 << 20):

@@ -186,9 +186,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text holds no item."""
-    for leaks in leak_columns(benchmark, F.col(text_col)):
-        docs = docs.withColumn("_leaks", F.size(leaks)).filter("_leaks = 0").drop("_leaks")
-    return docs
+    rows = C.pack(docs)
+    for leaks in leak_columns(benchmark, F.col("row")[text_col]):
+        rows = rows.withColumn("leaks", F.size(leaks)).filter("leaks = 0").select("row")
+    return rows.select("row.*")
 
 
 def op10_window_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("menu address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text, and those whose role depends on the place: page furniture outside an article only.
 NEVER = frozenset("script style noscript template iframe svg canvas object audio video nav aside footer form button select textarea option dialog title menu head".split())
@@ -35,23 +35,23 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, excluded from here on, container
+        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, excluded from here on, container, text dropped
         self.lines: list[tuple[str, int, int, bool]] = []
         self.strong: set[int] = set()
-        self.n, self.tags, self.buffer = 0, 0, []
+        self.n, self.tags, self.buffer, self.state = 0, 0, [], (False, 0)
 
     def top(self):
-        return self.stack[-1] if self.stack else ("", False, 0)
+        return self.stack[-1] if self.stack else ("", False, 0, False)
 
     def cut(self):
         text = " ".join("".join(self.buffer).split())
         if text:
-            self.lines.append((text, self.tags, self.top()[2], self.top()[1]))
+            self.lines.append((text, self.tags, self.state[1], self.state[0]))
             self.tags = 0
         self.buffer = []
 
     def inside(self, *tags):
-        return any(t in tags for t, _, _ in self.stack)
+        return any(t in tags for t, *_ in self.stack)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -64,7 +64,8 @@ class Lines(HTMLParser):
         if tag in ("article", "main", "body"):  # what was left open before does not reach in
             while self.stack and self.stack[-1][1] and self.stack[-1][0] not in ("noscript", "template"):
                 self.stack.pop()
-        _, out, box = self.top()
+        _, out, box, drop = self.top()
+        before = out
         if tag in CONTAINERS and not (box in self.strong and tag not in ("article", "main")):
             self.n += 1
             box = self.n
@@ -77,7 +78,8 @@ class Lines(HTMLParser):
             marks = {p.lower() for k in ("class", "id", "role") if a.get(k) for p in _PARTS.findall(a[k])}
             if marks & MARKS or "hidden" in a or a.get("aria-hidden") == "true" or a.get("style") and _HIDDEN.search(a["style"]):
                 out = True
-        self.stack.append((tag, out, box))
+        # what an inline element excludes leaves its line whole; an excluded block is a line that only the smoothing sees
+        self.stack.append((tag, out, box, drop or out and not before and tag not in BLOCKS))
 
     def _implied(self, tag, bounds):
         for i in range(len(self.stack) - 1, -1, -1):
@@ -85,7 +87,7 @@ class Lines(HTMLParser):
             if t == tag:
                 del self.stack[i:]
                 return
-            if t in bounds or t in CONTAINERS or t in ("ul", "ol", "table", "form", "nav", "aside"):
+            if t in bounds or t in CONTAINERS or t in NEVER or t in ("ul", "ol", "table"):
                 return
 
     def handle_startendtag(self, tag, attrs):
@@ -103,13 +105,13 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.top()[1]:
+        _, out, box, drop = self.top()
+        if drop:
+            return
+        if self.state != (out, box):
             self.cut()
-            if self.top()[0] not in ("script", "style", "template"):
-                self.buffer.append(data)
-                self.cut()
-        else:
-            self.buffer.append(data)
+            self.state = (out, box)
+        self.buffer.append(data)
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:

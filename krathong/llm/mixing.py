@@ -103,13 +103,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that the mix takes, with their size and the number of copies."""
+    """The rows of ``documents`` that the mix takes, with columns size and copies (mix_size, mix_copies where those names are taken)."""
     rows = C.materialize(sized(docs, "doc_id", "text", "source"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     cut = C.materialize(thresholds(rows, C.materialize(targets(sizes)))).select(F.col("source").alias("_s"), "whole", "last")
-    at = docs.withColumns({"_h": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS), "size": F.coalesce(F.regexp_count(F.col("text"), F.lit(C.WORD)), F.lit(0)).cast("long")})
-    copies = (F.col("whole") + F.coalesce((F.col("_h") <= F.col("last")).cast("int"), F.lit(0))).cast("long")
-    return at.join(cut, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", copies).filter("copies > 0").select(*docs.columns, "size", "copies")
+    own = [n if n not in docs.columns else f"mix_{n}" for n in ("size", "copies")]
+    at = C.pack(docs).withColumns({"h": F.substring(F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))), 1, DIGITS), "n": F.coalesce(F.regexp_count(F.col("row.text"), F.lit(C.WORD)), F.lit(0)).cast("long")})
+    copies = (F.col("whole") + F.coalesce((F.col("h") <= F.col("last")).cast("int"), F.lit(0))).cast("long")
+    return at.join(cut, F.col("row.source").eqNullSafe(F.col("_s"))).withColumn("copies", copies).filter("copies > 0").select("row.*", F.col("n").alias(own[0]), F.col("copies").alias(own[1]))
 
 
 def op8_mix_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,15 +112,15 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """The rows with each secret span of the text replaced by ``mask``; overlapping spans count as one."""
-    new = update_ledger(docs.filter("text is not null"), None, "doc_id", "text").filter("size(spans) > 0").select(F.col("blob").alias("_b"), F.col("spans").alias("_s"))
+    new = update_ledger(docs.filter("text is not null"), None, "doc_id", "text").filter("size(spans) > 0").select("blob", "spans")
     # pieces outside the spans, in order: each span moves the place up to which the text is dealt with
     walk = (
-        "aggregate(_s, named_struct('at', 0L, 'out', CAST(array() AS array<string>)), (s, x) -> IF(x.start >= s.at,"
-        f" named_struct('at', x.end, 'out', concat(s.out, array(concat(substring(text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), '{mask}')))),"
-        " named_struct('at', greatest(s.at, x.end), 'out', s.out)), s -> concat(array_join(s.out, ''), substring(text, CAST(s.at + 1 AS INT))))"
+        "aggregate(spans, named_struct('at', 0L, 'out', CAST(array() AS array<string>)), (s, x) -> IF(x.start >= s.at,"
+        f" named_struct('at', x.end, 'out', concat(s.out, array(concat(substring(row.text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), '{mask}')))),"
+        " named_struct('at', greatest(s.at, x.end), 'out', s.out)), s -> concat(array_join(s.out, ''), substring(row.text, CAST(s.at + 1 AS INT))))"
     )
-    rows = docs.withColumn("_k", F.sha2(F.col("text"), 256)).join(new, F.col("_k") == F.col("_b"), "left")
-    return rows.withColumn("text", F.expr(f"IF(_s IS NULL, text, {walk})")).select(*docs.columns)
+    rows = C.pack(docs).join(new, F.sha2(F.col("row.text"), 256) == F.col("blob"), "left")
+    return rows.select(F.col("row").withField("text", F.expr(f"IF(spans IS NULL, row.text, {walk})")).alias("row")).select("row.*")
 
 
 def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

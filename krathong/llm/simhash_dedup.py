@@ -225,14 +225,15 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     The document with the least id stays. Rows of one id are one document: if their texts differ, the
     least (text hash, text) stays; rows repeated whole stay once. Groups of null ids only keep one row in all.
     """
-    kept = C.materialize(simhash_groups(docs, radius=radius).select(F.col("component_id").alias("_kept")).distinct())
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    twice = docs.groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").select("_twice")
+    kept = C.materialize(simhash_groups(docs, radius=radius).select(F.col("component_id").alias("kept")).distinct())
+    doc_id = F.col("row.doc_id")
+    rows = C.pack(docs).join(kept, doc_id.eqNullSafe(F.col("kept")), "left_semi")
+    twice = docs.groupBy(F.col("doc_id").alias("twice")).count().filter("count > 1").select("twice")
     if not twice.limit(1).count():
-        return rows
-    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
-    one = rows.join(twice, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.col("text"))).alias("_r")).select("_r.*")
-    return rows.join(twice, same, "left_anti").unionByName(one)
+        return rows.select("row.*")
+    same = doc_id.eqNullSafe(F.col("twice"))
+    one = rows.join(twice, same, "left_semi").groupBy("row.doc_id").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.col("row.text"))).alias("row")).select("row")
+    return rows.join(twice, same, "left_anti").unionAll(one).select("row.*")
 
 
 def op3_simhash_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
