@@ -93,7 +93,9 @@ def normalize_numbers(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     c = F.lower(collapse(nfc(strip_bom(c))))
-    return normalize_numbers(fold_particles(collapse(punctuation_to_space(c))))
+    folded = fold_particles(collapse(punctuation_to_space(c)))
+    # numbers look at their input several times: bound as a lambda's variable it is computed once
+    return F.element_at(F.transform(F.array(folded), normalize_numbers), 1)
 
 
 def split_words(c: Column) -> Column:
