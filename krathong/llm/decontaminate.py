@@ -179,7 +179,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     out = None
     for leaks in leak_columns(benchmark, F.col(text_col)):
-        part = docs.select(F.col(id_col).alias("doc_id"), leaks.alias("_l")).select("doc_id", F.inline("_l"))
+        # the outer form: for an inner one the optimizer infers a filter on the array and evaluates the function twice
+        part = docs.select(F.col(id_col).alias("doc_id"), leaks.alias("_l")).select("doc_id", F.inline_outer("_l")).filter("similarity is not null")
         out = part if out is None else out.unionAll(part)
     return out
 
