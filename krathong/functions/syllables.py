@@ -29,7 +29,7 @@ def syllable_at(rest: Column) -> Column:
     return F.regexp_extract(rest, f"^(?:{FULL})", 0)
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
+def sound_of(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
@@ -75,61 +75,95 @@ def place_tone(roman: Column, tone: Column) -> Column:
     return nfc(put)
 
 
-#: Vowel patterns (pattern, vowel, priority): K a cluster, C a consonant (the first initial, the last final), T an optional tone mark.
+# Vowel patterns (pattern, vowel, priority). K a cluster, C a consonant (the first initial, the last
+# final), T an optional tone mark, all else itself.
 PATTERNS = [
-    ("เKีTยC", "iia", 3), ("เCีTยC", "iia", 3), ("เCีTย", "iia", 3), ("เKืTอC", "ʉʉa", 3), ("เCืTอC", "ʉʉa", 3), ("เCืTอ", "ʉʉa", 3), ("KTวC", "uua", 2), ("CัTว", "uua", 2),
-    ("เCTาะ", "ɔ", 2), ("เCTา", "ao", 2), ("เKTา", "ao", 2), ("เCิTC", "əə", 2), ("เCTอ", "əə", 2), ("เCTย", "əəi", 2), ("เCTC", "ee", 1), ("เCTะ", "e", 1), ("แCTC", "ɛɛ", 1),
-    ("แKTC", "ɛɛ", 1), ("แCTะ", "ɛ", 1), ("โCTC", "oo", 1), ("โCTะ", "o", 1), ("ไCTย", "ai", 1), ("CTาC", "aa", 1), ("KTาC", "aa", 1), ("CัTC", "a", 1), ("KัTC", "a", 1), ("CิTC", "i", 1),
-    ("CีTC", "ii", 1), ("CึTC", "ʉ", 1), ("CืTC", "ʉʉ", 1), ("CืTอ", "ʉʉ", 2), ("CุTC", "u", 1), ("CูTC", "uu", 1), ("CTอC", "ɔɔ", 2), ("KTอC", "ɔɔ", 2), ("CTรรC", "a", 2), ("CTC", "o", 0),
-    ("Cะ", "a", 0), ("Cา", "aa", 0), ("Cี", "ii", 0), ("Cู", "uu", 0), ("เC", "ee", 0), ("แC", "ɛɛ", 0), ("โC", "oo", 0), ("ไC", "ai", 0), ("ใC", "ai", 0), ("Cำ", "am", 0),
+    ("เKียวC", "iao", 100), ("เCียวC", "iao", 99), ("เKือยC", "ʉʉai", 98), ("เCือยC", "ʉʉai", 97),
+    ("เKียว", "iao", 95), ("เCียว", "iao", 94), ("เKือC", "ʉʉa", 93), ("เCือC", "ʉʉa", 92), ("เKียC", "iia", 91), ("เCียC", "iia", 90),
+    ("เKิTC", "əə", 89), ("เCิTC", "əə", 88),
+    ("เKีย", "iia", 85), ("เCีย", "iia", 84), ("เKือ", "ʉʉa", 83), ("เCือ", "ʉʉa", 82), ("เKาะ", "ɔ", 81), ("เCาะ", "ɔ", 80),
+    ("เKอะ", "ə", 79), ("เCอะ", "ə", 78), ("เKิC", "əə", 77), ("เCิC", "əə", 76), ("เKาC", "ao", 75), ("เCาC", "ao", 74),
+    ("KัวC", "ua", 73), ("CัวC", "ua", 72), ("Kาย", "aai", 71), ("Kาว", "aao", 70), ("แK็C", "ɛ", 69), ("แC็C", "ɛ", 68),
+    ("แKCC", "ɛɛ", 67), ("โKCC", "oo", 66), ("KรรC", "a", 65), ("CรรC", "a", 64),
+    ("KระC", "à", 68), ("CระC", "à", 67), ("Kระ", "à", 66), ("Cระ", "à", 65), ("KราC", "aa", 64), ("CราC", "aa", 63), ("Kรา", "aa", 62), ("Cรา", "aa", 61),
+    ("เKอ", "əə", 60), ("เCอ", "əə", 59), ("เKา", "ao", 58), ("เCา", "ao", 57), ("เKย", "əəi", 56), ("เCย", "əəi", 55), ("เKว", "eeo", 54), ("เCว", "eeo", 53),
+    ("เK็C", "e", 52), ("เC็C", "e", 51), ("เKC", "ee", 50), ("เCC", "ee", 49),
+    ("แKะ", "ɛ", 48), ("แCะ", "ɛ", 47), ("แKC", "ɛɛ", 46), ("แCC", "ɛɛ", 45), ("แKว", "ɛɛo", 44), ("แCว", "ɛɛo", 43),
+    ("โKะ", "o", 42), ("โCะ", "o", 41), ("โKC", "oo", 40), ("โCC", "oo", 39), ("โKย", "ooi", 38), ("โCย", "ooi", 37),
+    ("ไKย", "ai", 36), ("ไCย", "ai", 35), ("ใKย", "ai", 34), ("ใCย", "ai", 33),
+    ("Kัว", "ua", 32), ("Cัว", "ua", 31), ("Kวย", "uai", 32), ("Cวย", "uai", 31), ("Cาย", "aai", 28), ("Cาว", "aao", 27), ("Kรร", "an", 26), ("Cรร", "an", 25),
+    ("KัC", "a", 24), ("KาC", "aa", 23), ("KิC", "i", 22), ("KีC", "ii", 21), ("KึC", "ʉ", 20), ("KืC", "ʉʉ", 19), ("KุC", "u", 18), ("KูC", "uu", 17), ("KอC", "ɔɔ", 16),
+    ("เK", "ee", 15), ("เC", "ee", 14), ("แK", "ɛɛ", 13), ("แC", "ɛɛ", 12), ("โK", "oo", 11), ("โC", "oo", 10), ("ไK", "ai", 9), ("ไC", "ai", 8), ("ใK", "ai", 7), ("ใC", "ai", 6),
+    ("Cะ", "a", 5), ("CัTC", "a", 4), ("CัC", "a", 3), ("Cา", "aa", 2), ("CาTC", "aa", 1), ("CาC", "aa", 0), ("Cำ", "am", -1),
+    ("CิTC", "i", -2), ("CิC", "i", -3), ("Cิ", "i", -4), ("CีTC", "ii", -5), ("CีC", "ii", -6), ("Cี", "ii", -7),
+    ("CึTC", "ʉ", -8), ("CึC", "ʉ", -9), ("Cึ", "ʉ", -10), ("CืC", "ʉʉ", -11), ("Cื", "ʉʉ", -12),
+    ("CุTC", "u", -13), ("CุC", "u", -14), ("Cุ", "u", -15), ("CูTC", "uu", -16), ("CูC", "uu", -17), ("Cู", "uu", -18),
+    ("CTอC", "ɔɔ", -19), ("CอTC", "ɔɔ", -20), ("CอC", "ɔɔ", -21), ("Cอ", "ɔɔ", -22), ("C็อC", "ɔ", -23), ("Cร", "ɔɔn", -24),
+    ("CC", "o", -100), ("C", "ɔɔ", -101),
 ]
 #: Longest first, then by priority, then as declared.
 RANKED = sorted(PATTERNS, key=lambda p: (-len(p[0]), -p[2]))
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it; expressions stay small."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def pattern_regex(pattern: str) -> str:
-    out, seen = "", False
-    for ch in pattern:
-        if ch == "K":
-            out += "(?<k>" + "|".join(sorted(O.CLUSTERS)) + ")"
-            seen = True
+    """Groups 1 to 3 are the onset, the tone mark and the final; one that the pattern lacks is an empty group."""
+    out, onset = "", False
+    final = pattern.rindex("C") if pattern.count("C") > ("K" not in pattern) else -1
+    for i, ch in enumerate(pattern):
+        if i == final:
+            out += ("" if "T" in pattern else "()") + f"({C})"
         elif ch == "C":
-            out += f"({C})" if seen else f"(?<i>{C})"
-            seen = True
+            out += C if onset else f"({C})"
+            onset = True
+        elif ch == "K":
+            out += "(" + "|".join(sorted(O.CLUSTERS)) + ")"
+            onset = True
         else:
             out += f"({T}?)" if ch == "T" else ch
-    return "^" + out.replace("(?<k>", "(").replace("(?<i>", "(") + "$"
+    return f"^{out}{'()' * (3 - out.count('('))}$"
+
+
+def _rank(s: Column) -> Column:
+    return F.coalesce(*[F.when(s.rlike(pattern_regex(p)), F.lit(i + 1)) for i, (p, _, _) in enumerate(RANKED)])
 
 
 def match_pattern(syllable: Column) -> Column:
     """Rank (1 is the first) of the first pattern that the whole syllable matches, silent letters removed; null if none does."""
-    s = remove_silent(syllable)
-    return F.coalesce(*[F.when(s.rlike(pattern_regex(p)), F.lit(i + 1)) for i, (p, _, _) in enumerate(RANKED)])
+    return bound(remove_silent(syllable), _rank)
 
 
 def pattern_parts(syllable: Column) -> Column:
     """Onset, vowel, tone mark and final letter by the first pattern that matches, as a struct; null if none does."""
-    s = remove_silent(syllable)
-    case = None
-    for p, vowel, _ in RANKED:
-        rx = pattern_regex(p)
-        groups = [ch for ch in p if ch in "KCT"]
-        places = {"onset": groups.index("K") if "K" in groups else groups.index("C"), "mark": groups.index("T") if "T" in groups else None, "final": len(groups) - 1 if groups.count("C") > ("K" not in groups) else None}
-        parts = {k: F.lit("") if i is None else F.regexp_extract(s, rx, i + 1) for k, i in places.items()}
-        one = F.struct(F.lit(vowel).alias("vowel"), *[c.alias(k) for k, c in parts.items()])
-        case = F.when(s.rlike(rx), one) if case is None else case.when(s.rlike(rx), one)
-    return case
-
-
-def from_parts(m: Column) -> Column:
+    table = lambda xs: F.array(*map(F.lit, xs))
+    regexes, vowels = table([pattern_regex(p) for p, _, _ in RANKED]), table([v for _, v, _ in RANKED])
+
+    def parts(s, rank):
+        group = lambda i: F.call_function("regexp_extract", s, F.element_at(regexes, rank), F.lit(i))
+        return F.when(rank.isNotNull(), F.struct(F.element_at(vowels, rank).alias("vowel"), group(1).alias("onset"), group(2).alias("mark"), group(3).alias("final")))
+
+    return bound(remove_silent(syllable), lambda s: bound(_rank(s), lambda rank: parts(s, rank)))
+
+
+def from_parts(parts: Column) -> Column:
     """Romanization of what ``pattern_parts`` found; null for null."""
-    onset, vowel = m["onset"], m["vowel"]
-    sound = F.coalesce(_lookup(O.CLUSTERS, onset), _lookup(O.INITIAL, onset), F.lit(""))
-    final = F.coalesce(_lookup(O.FINAL, m["final"]), F.lit(""))
-    # before a sounded final the last letter of a long open o is written o
-    written = F.when(vowel.endswith("ɔɔ") & (final != ""), F.regexp_replace(vowel, "ɔ$", "o")).otherwise(vowel)
-    tone = tone_number(tone_class(onset), is_live(vowel, final, "pattern"), m["mark"], is_long(vowel), "pattern")
-    return F.when(m.isNotNull(), place_tone(F.concat(sound, written, final), tone))
+
+    def roman(m):
+        onset, vowel = m["onset"], m["vowel"]
+        sound = F.coalesce(sound_of(O.CLUSTERS, onset), sound_of(O.INITIAL, onset), F.lit(""))
+        final = F.coalesce(sound_of(O.FINAL, m["final"]), F.lit(""))
+        # before a sounded final the last letter of a long open o is written o
+        written = F.when(vowel.endswith("ɔɔ") & (final != ""), F.regexp_replace(vowel, "ɔ$", "o")).otherwise(vowel)
+        # a final letter without a sound leaves a short syllable dead, unlike no final at all
+        live = is_live(vowel, F.when((m["final"] != "") & (final == ""), "mute").otherwise(final), "pattern")
+        tone = tone_number(tone_class(onset), live, m["mark"], is_long(vowel), "pattern")
+        return F.when(m.isNotNull(), place_tone(F.concat(sound, written, final), tone))
+
+    return bound(parts, roman)
 
 
 def parse(syllable: Column) -> dict[str, Column]:
@@ -149,8 +183,8 @@ def build(p: dict[str, Column]) -> Column:
     lead, v, fin = p["lead"], p["vowel"], p["final"]
     f1 = F.substring(fin, 1, 1)
     two = F.length(p["onset"]) == 2
-    after = _lookup(O.INITIAL, F.substring(p["onset"], 2, 1))
-    onset = F.coalesce(F.when(two, F.coalesce(_lookup(O.CLUSTERS, p["onset"]), F.when(p["onset"].startswith("ห"), after), F.when(v.isin("ะ", "า"), F.concat(_lookup(O.INITIAL, F.substring(p["onset"], 1, 1)), F.lit("r"))))).otherwise(_lookup(O.INITIAL, p["onset"])), F.lit(""))
+    after = sound_of(O.INITIAL, F.substring(p["onset"], 2, 1))
+    onset = F.coalesce(F.when(two, F.coalesce(sound_of(O.CLUSTERS, p["onset"]), F.when(p["onset"].startswith("ห"), after), F.when(v.isin("ะ", "า"), F.concat(sound_of(O.INITIAL, F.substring(p["onset"], 1, 1)), F.lit("r"))))).otherwise(sound_of(O.INITIAL, p["onset"])), F.lit(""))
     simple = {"ะ": "a", "ั": "a", "า": "aa", "ิ": "i", "ี": "ii", "ึ": "ʉ", "ื": "ʉʉ", "ุ": "u", "ู": "uu", "ำ": "am"}
     e = F.when((v == "ี") & (f1 == "ย"), "iia").when((v == "ื") & (f1 == "อ"), "ʉʉa").when((v == "") & (f1 == "ย"), "əəi").when(v.startswith("า"), "ao").when(v == "ิ", "əə").when(v == "", "ee").otherwise("")
     vowel = (
@@ -159,12 +193,12 @@ def build(p: dict[str, Column]) -> Column:
         .when(lead == "โ", F.when(v == "", "oo").when(v == "ะ", "o").otherwise(""))
         .when(lead.isin("ไ", "ใ"), "ai")
         .when(v == "", F.when((p["onset"] == "ร") | f1.isin("", "ร"), "ɔɔ").otherwise("o"))
-        .otherwise(F.coalesce(_lookup(simple, F.substring(v, 1, 1)), F.lit("")))
+        .otherwise(F.coalesce(sound_of(simple, F.substring(v, 1, 1)), F.lit("")))
     )
     eaten = (lead == "เ") & ((v.isin("ี", "") & (f1 == "ย")))
-    sound = F.coalesce(_lookup(O.FINAL, F.when(eaten & (v == "ี"), F.substring(fin, 2, 1)).when(eaten, "").otherwise(f1)), F.lit(""))
+    sound = F.coalesce(sound_of(O.FINAL, F.when(eaten & (v == "ี"), F.substring(fin, 2, 1)).when(eaten, "").otherwise(f1)), F.lit(""))
     sound = F.when((lead == "เ") & (v == "ื") & (f1 == "อ"), "n").when((lead == "") & (v == "") & (p["onset"] == "ร") & (fin == ""), "n").otherwise(sound)
     cls = F.when(two & p["onset"].startswith("ห"), "high").otherwise(tone_class(p["onset"]))
-    tilde = two & (v == "ะ") & (lead == "") & _lookup(O.CLUSTERS, p["onset"]).isNull() & p["onset"].endswith("ร")
+    tilde = two & (v == "ะ") & (lead == "") & sound_of(O.CLUSTERS, p["onset"]).isNull() & p["onset"].endswith("ร")
     tone = tone_number(cls, is_live(vowel, sound, "build"), p["tone"], F.lit(False), "build")
     return F.when(tilde, F.concat(onset, F.lit("à~"), sound)).otherwise(place_tone(F.concat(onset, vowel, sound), tone))

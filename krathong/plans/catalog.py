@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import components as P
 from ..functions import orthography as O
 from ..functions import syllables as S
 from ..functions import textnorm as X
 from ..operators import evaluate as E
 from ..operators import lexicon as K
 from ..operators import segment as G
+from ..operators import syllabic as Y
 from . import fixtures as D
 
 _QUERIES: dict = {}
@@ -347,6 +349,27 @@ def syllable_parse(spark, d):
     return _words(spark, d).select("word", *[c.alias(k) for k, c in parts.items()])
 
 
+_SILENT = "regexp_replace(word, '(?s:.)์|[ก-ฮ][ะัาิีึืุูเแโใไๅำ]์', '', 'g')"
+
+
+@query(f"""WITH {_PARTS}, a AS (SELECT word, {_SILENT} AS s FROM {_ALL_WORDS}), b AS (SELECT word, regexp_extract(s, '^{S.L}?') AS lead, regexp_replace(s, '^{S.L}', '') AS body FROM a),
+c AS (SELECT word, lead, body, CASE WHEN regexp_matches(body, '^อย{S.V}') THEN 'y' WHEN starts_with(body, 'สวั') THEN 'w' ELSE '' END AS kind FROM b),
+d AS (SELECT *, CASE kind WHEN 'y' THEN 'อย' WHEN 'w' THEN 'สวั' ELSE regexp_extract(body, '^{S.C}?{S.C}?') END AS head FROM c),
+e AS (SELECT *, body[length(head) + 1:] AS rest, head[1:1] AS c1, head[2:2] AS c2, map_from_entries([{', '.join(f"('{k}', '{v}')" for k, v in O.CLUSTERS.items())}])[head] AS pair,
+  map_from_entries([{', '.join(f"('{k}', '{v}')" for k, v in O.INITIAL.items())}])[head[1:1]] AS single FROM d)
+SELECT word, CASE kind WHEN 'y' THEN 'y' WHEN 'w' THEN 's' ELSE coalesce(pair, single, '') END AS initial, c1 AS initial_thai, lead,
+  (CASE WHEN kind = 'w' THEN 'วั' WHEN kind = '' AND c2 = 'ว' AND pair IS NULL THEN 'ว' ELSE '' END) || array_to_string(regexp_extract_all(rest, '[{O.VOWEL}็]'), '') AS marks,
+  coalesce(regexp_extract_all(rest, '{S.T}')[-1], '') AS tone_mark, coalesce(regexp_extract_all(rest, '{S.C}')[-1], CASE WHEN kind = '' AND pair IS NULL AND c2 <> 'ว' THEN c2 END, '') AS final FROM e""")
+def syllable_components(spark, d):
+    return _words(spark, d).withColumn("c", P.components(F.col("word"))).select("word", "c.*")
+
+
+@query(f"SELECT vowel, final, regexp_matches(vowel, 'aa|ii|uu|ee|oo|ɔɔ|əə') AS long, final NOT IN ('k', 't', 'p') AS live FROM (VALUES ('a'), ('aa'), ('ai'), ('əə'), ('ɔ')) AS v(vowel), (VALUES (''), ('k'), ('n'), ('i')) AS f(final)")
+def live_dead(spark, d):
+    g = spark.sql("SELECT * FROM (VALUES ('a'), ('aa'), ('ai'), ('əə'), ('ɔ')) AS v(vowel), (VALUES (''), ('k'), ('n'), ('i')) AS f(final)")
+    return g.select("vowel", "final", S.is_long(F.col("vowel")).alias("long"), S.is_live(F.col("vowel"), F.col("final"), "pattern").alias("live"))
+
+
 # ---- segmentation --------------------------------------------------------------------------------
 
 
@@ -381,6 +404,14 @@ def explain_word(spark, d):
     return G.explain(_words(spark, d), _segment_lexicon(spark))
 
 
+@query()
+def words_by_syllables(spark, d):
+    """Both halves of each part name as the syllables given for the whole."""
+    words = _halves(spark, d).select("word", F.array("b", "a").alias("syllables")).unionAll(_v(spark, D.WORD_SQL).select("word", F.lit(None).cast("array<string>").alias("syllables")))
+    lex = _lex(spark)
+    return Y.by_syllables(words, _dict(spark), K.last_wins(lex.filter("priority = 1").filter(K.admit_syllable(F.col("thai"), F.col("translit")))), lex.filter("priority = 0"))
+
+
 @query()
 def sentence_pipeline(spark, d):
     """Every part name romanized: distinct words once, joined back to all parts."""

@@ -7,10 +7,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from krathong.functions import components as P
 from krathong.functions import syllables as S
 from krathong.functions import textnorm as X
 from krathong.operators import evaluate as E
 from krathong.operators import segment as G
+from krathong.operators import syllabic as Y
 from krathong.plans import catalog
 from krathong.sources import vocabulary
 
@@ -70,6 +72,19 @@ def one(spark, f, value):
         (lambda c: S.from_parts(S.pattern_parts(c)), "กอง", "gɔong"),
         (lambda c: S.build(S.parse(c)), "บ้า", "bâa"),
         (S.match_pattern, "ฟฟฟฟ", None),
+        (lambda c: S.from_parts(S.pattern_parts(c)), "เรียน", "riian"),
+        (lambda c: S.from_parts(S.pattern_parts(c)), "กระ", "gà"),
+        (lambda c: S.from_parts(S.pattern_parts(c)), "มาก", "mâak"),
+        (lambda c: S.from_parts(S.pattern_parts(c)), "แข็ง", "kɛ̌ng"),
+        (lambda c: S.from_parts(S.pattern_parts(c)), "นก", "nók"),
+        (lambda c: S.from_parts(S.pattern_parts(c)), None, None),
+        (lambda c: P.romanize(P.components(c)), "อยู่", "yùu"),
+        (lambda c: P.romanize(P.components(c)), "สวัส", "sùat"),
+        (lambda c: P.romanize(P.components(c)), "ด้วย", "dôi"),
+        (lambda c: P.romanize(P.components(c)), "หมา", "mǎa"),
+        (lambda c: P.romanize(P.components(c)), "เลย", "ləəii"),
+        (lambda c: P.romanize(P.components(c)), "", "ɔɔ"),
+        (lambda c: P.romanize(P.components(c)), None, None),
     ],
 )
 def test_traced(spark, f, x, want):
@@ -92,6 +107,19 @@ def test_segments_cover_their_word(spark):
     assert got["แดงกอง"] == ["แดง", "กอ", "ง"]  # after the entry the rules: without a vowel the next consonant is the final
 
 
+def test_assigned_syllables(spark):
+    rows = [("มากา", ["มา", "กา"]), ("มากา", ["x", "มา", "กา", "นก"]), ("มากา", ["มา"]), ("มากา", []), ("มากา", None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "w string, s array<string>").coalesce(1).select(Y.assign(F.col("w"), F.col("s"))).collect()]
+    assert got == [["มา", "กา"]] * 5
+
+
+def test_words_by_syllables(spark):
+    words = spark.createDataFrame([("มากา", ["มา", "กา"]), ("มากา", ["มา", "กา"]), ("ดี", None), ("", None), (None, None)], "word string, syllables array<string>")
+    table = lambda *r: spark.createDataFrame(r, "thai string, translit string")
+    got = Y.by_syllables(words, table(("ดี", "dii!")), table(("มา", "maa1")), table(("มา", "maa2"), ("กา", "gaa2"))).collect()
+    assert sorted((r.word, r.roman) for r in got) == [("", ""), ("ดี", "dii!"), ("มากา", "maa1gaa2")]
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "v").mkdir()
     (tmp_path / "v" / "a1.txt").write_text("big, large,ใหญ่,yài,,adj\nno thai here\n")
