@@ -167,38 +167,46 @@ def from_parts(parts: Column) -> Column:
 
 
 def parse(syllable: Column) -> dict[str, Column]:
-    """Components by position: leading vowel, onset of one or two consonants, vowels, tone mark, finals."""
+    """Components by position: leading vowel, onset of one letter, a cluster or any letter with ร, vowels, tone mark, finals."""
     s = remove_silent(syllable)
-    rx = f"^({L}?)({C}?)((?:(?<=ก|ข|ค|ป|พ|ผ|ฟ|ต|ท|ด|ห|ส|ศ|ซ|บ){C})?)(.*)$"
-    lead, one = F.regexp_extract(s, rx, 1), F.regexp_extract(s, rx, 2)
-    pair = F.regexp_extract(s, f"^{L}?({_PAIR}|{C}ร)", 1)
-    onset = F.when(pair != "", pair).otherwise(one)
+    lead = F.regexp_extract(s, f"^{L}?", 0)
+    onset = F.regexp_extract(s, f"^{L}?({'|'.join(sorted(O.CLUSTERS))}|{C}ร|{C}|)", 1)
     rest = F.substr(s, F.length(lead) + F.length(onset) + 1)
-    vowels = F.regexp_replace(rest, f"[^{O.VOWEL}]", "")
-    return {"lead": lead, "onset": onset, "vowel": vowels, "tone": F.regexp_extract(rest, f".*({T})", 1), "final": F.regexp_replace(rest, f"[^{O.CONSONANT}]", "")}
+    return {"lead": lead, "onset": onset, "vowel": F.regexp_replace(rest, f"[^{O.VOWEL}]", ""), "tone": F.regexp_extract(rest, f"^(?s:.*)({T})", 1), "final": F.regexp_replace(rest, f"[^{O.CONSONANT}]", "")}
+
+
+#: Vowels by their first written sign: alone, and after a leading vowel (the empty sign is the leading vowel alone).
+PLAIN_VOWELS = {"ะ": "a", "ั": "a", "า": "aa", "ิ": "i", "ี": "ii", "ึ": "ʉ", "ื": "ʉʉ", "ุ": "u", "ู": "uu", "ำ": "am"}
+LED_VOWELS = {"เ": "ee", "เา": "ao", "เิ": "əə", "แ": "ɛɛ", "แะ": "ɛ", "โ": "oo", "โะ": "o"}
 
 
 def build(p: dict[str, Column]) -> Column:
-    """Romanization from components: onset, vowel by its written parts, final, tone."""
-    lead, v, fin = p["lead"], p["vowel"], p["final"]
-    f1 = F.substring(fin, 1, 1)
-    two = F.length(p["onset"]) == 2
-    after = sound_of(O.INITIAL, F.substring(p["onset"], 2, 1))
-    onset = F.coalesce(F.when(two, F.coalesce(sound_of(O.CLUSTERS, p["onset"]), F.when(p["onset"].startswith("ห"), after), F.when(v.isin("ะ", "า"), F.concat(sound_of(O.INITIAL, F.substring(p["onset"], 1, 1)), F.lit("r"))))).otherwise(sound_of(O.INITIAL, p["onset"])), F.lit(""))
-    simple = {"ะ": "a", "ั": "a", "า": "aa", "ิ": "i", "ี": "ii", "ึ": "ʉ", "ื": "ʉʉ", "ุ": "u", "ู": "uu", "ำ": "am"}
-    e = F.when((v == "ี") & (f1 == "ย"), "iia").when((v == "ื") & (f1 == "อ"), "ʉʉa").when((v == "") & (f1 == "ย"), "əəi").when(v.startswith("า"), "ao").when(v == "ิ", "əə").when(v == "", "ee").otherwise("")
-    vowel = (
-        F.when(lead == "เ", e)
-        .when(lead == "แ", F.when(v == "", "ɛɛ").when(v == "ะ", "ɛ").otherwise(""))
-        .when(lead == "โ", F.when(v == "", "oo").when(v == "ะ", "o").otherwise(""))
-        .when(lead.isin("ไ", "ใ"), "ai")
-        .when(v == "", F.when((p["onset"] == "ร") | f1.isin("", "ร"), "ɔɔ").otherwise("o"))
-        .otherwise(F.coalesce(sound_of(simple, F.substring(v, 1, 1)), F.lit("")))
-    )
-    eaten = (lead == "เ") & ((v.isin("ี", "") & (f1 == "ย")))
-    sound = F.coalesce(sound_of(O.FINAL, F.when(eaten & (v == "ี"), F.substring(fin, 2, 1)).when(eaten, "").otherwise(f1)), F.lit(""))
-    sound = F.when((lead == "เ") & (v == "ื") & (f1 == "อ"), "n").when((lead == "") & (v == "") & (p["onset"] == "ร") & (fin == ""), "n").otherwise(sound)
-    cls = F.when(two & p["onset"].startswith("ห"), "high").otherwise(tone_class(p["onset"]))
-    tilde = two & (v == "ะ") & (lead == "") & sound_of(O.CLUSTERS, p["onset"]).isNull() & p["onset"].endswith("ร")
-    tone = tone_number(cls, is_live(vowel, sound, "build"), p["tone"], F.lit(False), "build")
-    return F.when(tilde, F.concat(onset, F.lit("à~"), sound)).otherwise(place_tone(F.concat(onset, vowel, sound), tone))
+    """Romanization from components: onset, vowel by the first of its written signs, final, tone."""
+
+    def sounds(x):
+        lead, onset, sign = x["lead"], x["onset"], F.substring(x["vowel"], 1, 1)
+        f1, f2 = F.substring(x["final"], 1, 1), F.substring(x["final"], 2, 1)
+        first = sound_of(O.INITIAL, F.substring(onset, 1, 1))
+        # a letter with ร that is no cluster sounds only before ะ and า; before ะ the vowel is cut short
+        loose = (F.length(onset) == 2) & ~onset.isin(*O.CLUSTERS)
+        cut = loose & (sign == "ะ")
+        initial = F.when(cut, F.concat(first, F.lit("rà~"))).when(loose & (sign == "า"), F.concat(first, F.lit("r"))).when(loose, "").when(F.length(onset) == 2, sound_of(O.CLUSTERS, onset)).otherwise(F.coalesce(first, F.lit("")))
+        e = lead == "เ"
+        iia, uea, oei = e & (sign == "ี") & (f1 == "ย"), e & (sign == "ื") & (f1 == "อ"), e & (sign == "") & (f1 == "ย")
+        open_r = (lead == "") & (sign == "") & onset.startswith("ร")
+        vowel = (
+            F.when(cut, "").when(iia, "iia").when(uea, "ʉʉa").when(oei, "əəi")
+            .when(lead.isin("ไ", "ใ"), "ai")
+            .when(lead != "", sound_of(LED_VOWELS, F.concat(lead, sign)))
+            .when(sign == "", F.when(open_r | f1.isin("", "ร"), "ɔɔ").otherwise("o"))
+            .otherwise(sound_of(PLAIN_VOWELS, sign))
+        )
+        letter = F.when(cut, f1).when(iia, f2).when(oei, "").otherwise(f1)
+        final = F.when(~cut & (uea | (open_r & (f1 == ""))), "n").otherwise(F.coalesce(sound_of(O.FINAL, letter), F.lit("")))
+        return F.struct(initial.alias("initial"), F.coalesce(vowel, F.lit("")).alias("vowel"), final.alias("final"), onset.alias("onset"), x["tone"].alias("tone"))
+
+    def roman(x):
+        tone = tone_number(tone_class(x["onset"]), is_live(x["vowel"], x["final"], "build"), x["tone"], F.lit(False), "build")
+        return F.when(x["onset"].isNotNull(), place_tone(F.concat(x["initial"], x["vowel"], x["final"]), tone))
+
+    return bound(bound(F.struct(*[c.alias(k) for k, c in p.items()]), sounds), roman)

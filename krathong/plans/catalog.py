@@ -341,7 +341,7 @@ def vowel_pattern_match(spark, d):
 
 
 @query(f"""WITH {_PARTS}, s AS (SELECT word, regexp_replace(word, '(?s:.)์|[ก-ฮ][ะัาิีึืุูเแโใไๅำ]์', '', 'g') AS s FROM {_ALL_WORDS}),
-p AS (SELECT word, s, regexp_extract(s, '^({S.L}?)', 1) AS lead, regexp_extract(s, '^{S.L}?({_PAIR_RX}|{S.C}ร)', 1) AS pair, regexp_extract(s, '^{S.L}?({S.C}?)', 1) AS one FROM s),
+p AS (SELECT word, s, regexp_extract(s, '^({S.L}?)', 1) AS lead, regexp_extract(s, '^{S.L}?({'|'.join(sorted(O.CLUSTERS))}|{S.C}ร)', 1) AS pair, regexp_extract(s, '^{S.L}?({S.C}?)', 1) AS one FROM s),
 q AS (SELECT word, lead, CASE WHEN pair <> '' THEN pair ELSE one END AS onset, s FROM p), r AS (SELECT *, s[length(lead) + length(onset) + 1:] AS rest FROM q)
 SELECT word, lead, onset, array_to_string(regexp_extract_all(rest, '{S.V}'), '') AS vowel, coalesce(regexp_extract_all(rest, '{S.T}')[-1], '') AS tone, array_to_string(regexp_extract_all(rest, '{S.C}'), '') AS final FROM r""")
 def syllable_parse(spark, d):

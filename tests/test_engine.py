@@ -71,6 +71,15 @@ def one(spark, f, value):
         (X.strip_tones, "nâa ɔ̌ɔ", "naa ɔɔ"),
         (lambda c: S.from_parts(S.pattern_parts(c)), "กอง", "gɔong"),
         (lambda c: S.build(S.parse(c)), "บ้า", "bâa"),
+        (lambda c: S.build(S.parse(c)), "หก", "hòk"),
+        (lambda c: S.build(S.parse(c)), "จระ", "jrà~"),
+        (lambda c: S.build(S.parse(c)), "จริง", "ing"),
+        (lambda c: S.build(S.parse(c)), "เพื่อน", "pʉ̂ʉan"),
+        (lambda c: S.build(S.parse(c)), "เดี่ยว", "dìiao"),
+        (lambda c: S.build(S.parse(c)), "ร", "rɔɔn"),
+        (lambda c: S.build(S.parse(c)), "โต๊ะ", "dtó"),
+        (lambda c: S.build(S.parse(c)), "", "ɔɔ"),
+        (lambda c: S.build(S.parse(c)), None, None),
         (S.match_pattern, "ฟฟฟฟ", None),
         (lambda c: S.from_parts(S.pattern_parts(c)), "เรียน", "riian"),
         (lambda c: S.from_parts(S.pattern_parts(c)), "กระ", "gà"),
