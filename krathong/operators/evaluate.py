@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.textnorm import contains_digit, fold_separators, has_precomposed, strip_tones
+from ..functions.textnorm import collapse, contains_digit, fold_separators, has_precomposed, normalize, split_words, strip_markers, strip_tones
 
 
 def greedy_matches(expected: Column, got: Column) -> Column:
@@ -18,7 +18,12 @@ def greedy_matches(expected: Column, got: Column) -> Column:
 
 def usable(inp: Column, expected: Column) -> Column:
     """Lines that count: not empty, no subtitle header, no digits, no precomposed accents in the golden text, no repetition mark."""
-    return (inp != "") & (expected != "") & ~inp.startswith("# Exported by Aegisub") & ~contains_digit(inp) & ~has_precomposed(expected) & ~inp.contains("ๆ")
+    return F.coalesce(collapse(inp) != "", F.lit(False)) & (normalize(expected) != "") & ~is_header(inp) & ~contains_digit(inp) & ~has_precomposed(expected) & ~inp.contains("ๆ")
+
+
+def is_header(inp: Column) -> Column:
+    """The line a subtitle editor writes first."""
+    return inp.startswith("#") & inp.contains("Aegisub")
 
 
 def pair_lines(inputs: DataFrame, golden: DataFrame) -> DataFrame:
@@ -38,6 +43,31 @@ def accuracy(passed: Column) -> list[Column]:
     return [total.alias("total"), good.alias("passed"), (total - good).alias("failed"), F.round(good * 100.0 / total, 6).alias("accuracy")]
 
 
+def dictionary_results(dictionary: DataFrame, romanized: DataFrame) -> DataFrame:
+    """(thai, expected, got, passed) of each entry without a space; ``romanized`` holds (word, roman) of the keys without markers."""
+    d = dictionary.filter(~F.col("thai").contains(" ")).select("thai", F.col("translit").alias("expected"), strip_markers(F.col("thai")).alias("_w"))
+    rows = d.join(romanized.select(F.col("word").alias("_w"), F.col("roman").alias("got")), "_w", "left")
+    return rows.select("thai", "expected", "got", F.coalesce(tone_blind_equal(strip_markers(F.col("expected")), F.col("got")), F.lit(False)).alias("passed"))
+
+
+def corpus_results(pairs: DataFrame) -> DataFrame:
+    """(name, line_no, input, expected, got, correct, matched, words) of each usable line of (name, line_no, input, expected, got).
+
+    ``got`` null: the line could not be romanized, a fallback; it counts as a line but its words do not.
+    """
+    rows = pairs.filter(usable(F.trim("input"), F.col("expected"))).withColumn("e", normalize(F.col("expected"))).withColumn("g", normalize(F.col("got")))
+    rows = rows.withColumn("ew", split_words(F.col("e"))).withColumn("gw", split_words(F.col("g")))
+    return rows.select("name", "line_no", "input", "expected", "got", F.coalesce(F.col("e") == F.col("g"), F.lit(False)).alias("correct"), greedy_matches(F.col("ew"), F.col("gw")).alias("matched"), F.when(F.col("got").isNotNull(), F.size("ew")).alias("words"))
+
+
+def corpus_report(results: DataFrame) -> DataFrame:
+    """One row: lines, correct lines, fallbacks, words, matched words and both accuracies (null without lines or words)."""
+    lines, good = F.count("*"), F.count_if("correct")
+    words, hit = F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("matched"), F.lit(0))
+    share = lambda a, b: F.round(a * 100.0 / F.nullif(b, F.lit(0)), 6)
+    return results.agg(lines.alias("lines"), good.alias("lines_correct"), F.count_if(F.col("got").isNull()).alias("fallbacks"), words.alias("words"), hit.alias("matched"), share(good, lines).alias("line_accuracy"), share(hit, words).alias("word_accuracy"))
+
+
 def first_failures(failures: DataFrame, n: int, *order: str) -> DataFrame:
     """The first ``n`` failures; with an explicit order the plan is a bounded top-k."""
     return failures.orderBy(*order).limit(n)

@@ -1,6 +1,6 @@
 """Longest-match segmentation and word transliteration over distinct words.
 
-Substrings of at most ``WINDOW`` characters are exploded with their place and equality-joined with
+Substrings of at most ``WINDOW`` characters (or as many as asked for) are exploded with their place and equality-joined with
 the lexicon; the longest hit of each place is kept by partial aggregation; the walk along a word is
 a fold over one small array. Only distinct words are worked on; callers join back.
 """
@@ -15,11 +15,11 @@ from ..functions.syllables import build, from_parts, parse, pattern_parts, sylla
 WINDOW = 8
 
 
-def matches(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+def matches(words: DataFrame, lexicon: DataFrame, window: int = WINDOW) -> DataFrame:
     """(word, pos, len, translit, tier): the longest lexicon hit at each place; of equal lengths the lower priority."""
     n = F.char_length("word")
     pos = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
-    sub = pos.select("word", "pos", F.explode(F.expr(f"sequence(1, least({WINDOW}, char_length(word) - pos + 1))")).alias("len"))
+    sub = pos.select("word", "pos", F.explode(F.expr(f"sequence(1, least({window}, char_length(word) - pos + 1))")).alias("len"))
     # a hit may not leave exactly one consonant behind
     rest = F.expr("substring(word, pos + len)")
     sub = sub.filter(~((F.char_length(rest) == 1) & rest.rlike("^[ก-ฮ]$"))).withColumn("s", F.expr("substring(word, pos, len)"))
@@ -27,10 +27,10 @@ def matches(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return sub.join(lex, "s").groupBy("word", "pos").agg(F.max_by(F.struct("len", "translit", "priority"), F.struct("len", -F.col("priority"), "translit")).alias("hit"))
 
 
-def segment(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+def segment(words: DataFrame, lexicon: DataFrame, window: int = WINDOW) -> DataFrame:
     """(word, idx, piece, translit, tier) of each distinct word: lexicon pieces, and rule syllables where no entry fits."""
     words = words.select("word").filter("word is not null and word <> ''").distinct()
-    hits = matches(words, lexicon).groupBy("word").agg(F.collect_list(F.struct("pos", "hit.len", "hit.translit", "hit.priority")).alias("hits"))  # at most one for each place
+    hits = matches(words, lexicon, window).groupBy("word").agg(F.collect_list(F.struct("pos", "hit.len", "hit.translit", "hit.priority")).alias("hits"))  # at most one for each place
     at = words.join(hits, "word", "left")
     none = F.expr("CAST(array() AS array<struct<pos:int,len:int,translit:string,priority:int>>)")
     found = lambda i: F.get(F.filter(F.coalesce("hits", none), lambda h: h["pos"] == i), F.lit(0))

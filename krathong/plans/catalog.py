@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import components as P
@@ -10,6 +11,7 @@ from ..functions import syllables as S
 from ..functions import textnorm as X
 from ..operators import evaluate as E
 from ..operators import lexicon as K
+from ..operators import lines as N
 from ..operators import segment as G
 from ..operators import syllabic as Y
 from . import fixtures as D
@@ -142,7 +144,7 @@ def precomposed_filter(spark, d):
 
 
 @query(
-    """SELECT CASE WHEN a.text = '' OR b.text = '' THEN 'empty' WHEN starts_with(a.text, '# Exported by Aegisub') THEN 'header' WHEN regexp_matches(a.text, '[0-9]') THEN 'digit'
+    """SELECT CASE WHEN a.text = '' OR b.text = '' THEN 'empty' WHEN starts_with(a.text, '#') AND contains(a.text, 'Aegisub') THEN 'header' WHEN regexp_matches(a.text, '[0-9]') THEN 'digit'
   WHEN regexp_matches(b.text, '[èéêìíîòóôùúû]') THEN 'precomposed' WHEN contains(a.text, 'ๆ') THEN 'repeat' ELSE 'kept' END AS reason, count(*) AS n
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY 1"""
 )
@@ -150,7 +152,7 @@ def skip_chain_counts(spark, d):
     c = _t(spark, d, "conversations")
     p = c.select("conv_id", "turn", F.col("text").alias("a")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"])
     a, b = F.col("a"), F.col("b")
-    why = F.when((a == "") | (b == ""), "empty").when(a.startswith("# Exported by Aegisub"), "header").when(X.contains_digit(a), "digit").when(X.has_precomposed(b), "precomposed").when(a.contains("ๆ"), "repeat").otherwise("kept")
+    why = F.when((a == "") | (b == ""), "empty").when(E.is_header(a), "header").when(X.contains_digit(a), "digit").when(X.has_precomposed(b), "precomposed").when(a.contains("ๆ"), "repeat").otherwise("kept")
     return p.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -248,8 +250,6 @@ def split_words(spark, d):
 @query("SELECT n_name, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(n_name, '\\d+') AS INT), 0), n_name) AS place FROM nation")
 def natural_sort(spark, d):
     n = _t(spark, d, "nation")  # twenty-five rows
-    from pyspark.sql import Window
-
     return n.select("n_name", F.row_number().over(Window.orderBy(X.first_number(F.col("n_name")), "n_name")).cast("long").alias("place"))
 
 
@@ -447,12 +447,12 @@ def _greedy_oracle(pairs: str) -> str:
   UNION ALL SELECT k, e, o, j + 1, CASE WHEN f IS NULL OR f = 0 THEN len(o) + 1 ELSE i + f END, m + CASE WHEN f > 0 THEN 1 ELSE 0 END FROM (SELECT *, list_position(o[i:], e[j + 1]) AS f FROM g WHERE j < len(e)))"""
 
 
-_TURNS = "SELECT a.conv_id * 1000 + a.turn AS k, list_filter(string_split(lower(a.text[1:400]), ' '), lambda w: w <> '') AS e, list_filter(string_split(lower(b.text[1:400]), ' '), lambda w: w <> '') AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+_TURNS = "SELECT a.conv_id * 1000 + a.turn AS k, list_filter(string_split(lower(a.text), ' '), lambda w: w <> '' AND w <> '-') AS e, list_filter(string_split(lower(b.text), ' '), lambda w: w <> '' AND w <> '-') AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 
 
 def _turn_pairs(spark, d):
     c = _t(spark, d, "conversations")
-    words = lambda x: X.split_words(F.lower(F.substring(x, 1, 400)))
+    words = lambda x: X.split_words(F.lower(x))
     a = c.select("conv_id", "turn", words("text").alias("e"))
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), words("text").alias("o"))
     return a.join(b, ["conv_id", "turn"])
@@ -499,11 +499,77 @@ def per_file_rollup(spark, d):
     return _t(spark, d, "documents").select(F.col("source").alias("name")).rollup("name").agg(F.count("*").alias("n"))
 
 
-@query("""WITH i AS (SELECT role AS name, conv_id * 1000 + turn AS line_no, text FROM conversations WHERE role <> 'system' OR turn < 1), g AS (SELECT role AS name, conv_id * 1000 + turn AS line_no, replace(text, ' ', '_') AS golden FROM conversations WHERE NOT (role = 'user' AND conv_id = 1)),
+@query("""WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS name, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS line_no FROM conversations),
+i AS (SELECT name, line_no, text FROM n WHERE role = 'user'), g AS (SELECT name, line_no, text AS golden FROM n WHERE role = 'assistant'),
 c AS (SELECT name FROM (SELECT name, count(*) AS n FROM i GROUP BY 1) JOIN (SELECT name, count(*) AS n FROM g GROUP BY 1) USING (name, n))
 SELECT name, line_no, text, golden FROM i JOIN g USING (name, line_no) WHERE name IN (SELECT name FROM c)""")
 def corpus_pairing(spark, d):
-    c = _t(spark, d, "conversations").withColumn("line_no", F.col("conv_id") * 1000 + F.col("turn"))
-    i = c.filter("role <> 'system' OR turn < 1").select(F.col("role").alias("name"), "line_no", "text")
-    g = c.filter("NOT (role = 'user' AND conv_id = 1)").select(F.col("role").alias("name"), "line_no", F.replace("text", F.lit(" "), F.lit("_")).alias("golden"))
-    return E.pair_lines(i, g)
+    """User and assistant turns as the two sides of a corpus; conversations with unequal sides do not pair."""
+    c = _t(spark, d, "conversations")
+    place = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long")
+    n = c.select(F.col("conv_id").cast("string").alias("name"), "role", "text", place.alias("line_no"))
+    side = lambda role, text: n.filter(F.col("role") == role).select("name", "line_no", F.col("text").alias(text))
+    return E.pair_lines(side("user", "text"), side("assistant", "golden"))
+
+
+_CORPUS = f"""SELECT o_orderpriority AS name, o_orderkey AS line_no, CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN '# Exported by Aegisub 3' WHEN 2 THEN 'ไป 7' WHEN 3 THEN 'มาๆ' ELSE concat('ไป', CASE WHEN o_custkey % 2 = 0 THEN ' มา' ELSE '' END) END AS input,
+  CASE o_custkey % 7 WHEN 0 THEN 'nâa' WHEN 1 THEN 'sà' WHEN 2 THEN 'nà kê' ELSE e.expected END AS expected, CASE WHEN o_orderkey % 11 = 0 THEN CAST(NULL AS STRING) WHEN o_custkey % 3 = 0 THEN e.expected ELSE e.got END AS got
+FROM orders JOIN (SELECT * FROM {D.PAIR_SQL}) e ON e.n = o_orderkey % 7 + 1"""
+_DUCK_WORDS = "list_filter(string_split({}, ' '), lambda w: w <> '' AND w <> '-')"
+
+
+@query(
+    f"""WITH RECURSIVE u AS (SELECT line_no AS k, {_duck_normalize('expected')} AS x, {_duck_normalize('got')} AS y FROM ({_CORPUS})
+  WHERE trim(input) <> '' AND {_duck_normalize('expected')} <> '' AND NOT (starts_with(input, '#') AND contains(input, 'Aegisub')) AND NOT regexp_matches(input, '[0-9]') AND NOT regexp_matches(expected, '[èéêìíîòóôùúû]') AND NOT contains(input, 'ๆ')),
+{_greedy_oracle(f"SELECT k, {_DUCK_WORDS.format('x')} AS e, {_DUCK_WORDS.format('y')} AS o FROM u WHERE y IS NOT NULL").removeprefix('RECURSIVE ')},
+w AS (SELECT sum(m) AS m, sum(len(e)) AS n FROM g WHERE j = len(e)), l AS (SELECT count(*) AS n, count(*) FILTER (WHERE x = y) AS ok, count(*) FILTER (WHERE y IS NULL) AS f FROM u)
+SELECT l.n AS lines, ok AS lines_correct, f AS fallbacks, w.n AS words, m AS matched, round(ok * 100.0 / l.n, 6) AS line_accuracy, round(m * 100.0 / w.n, 6) AS word_accuracy FROM l, w"""
+)
+def corpus_report(spark, d):
+    _t(spark, d, "orders").createOrReplaceTempView("orders")
+    return E.corpus_report(E.corpus_results(spark.sql(_CORPUS)))
+
+
+# ---- whole lines ---------------------------------------------------------------------------------
+
+
+def _lines_of_parts(spark, d):
+    h = _halves(spark, d)
+    k = F.col("p_partkey") % 6
+    text = F.when(k == 0, F.concat(F.lit("# "), "a")).when(k == 1, F.concat_ws(" ", "b", "a")).when(k == 2, F.lit("")).when(k == 3, F.concat(F.lit("x"), F.col("p_size").cast("string"))).otherwise(F.concat("b", "a"))
+    return h.select(F.col("p_size").cast("string").alias("file"), F.col("p_partkey").alias("line_no"), text.alias("text"))
+
+
+@query()
+def romanize_lines(spark, d):
+    """Lines made of part names: headers and foreign lines stay, the rest goes word by word."""
+    return N.romanize_lines(_lines_of_parts(spark, d), _dict(spark), _segment_lexicon(spark))
+
+
+@query()
+def romanize_sentences(spark, d):
+    lex = _lex(spark)
+    return N.romanize_sentences(_lines_of_parts(spark, d).select("text"), _dict(spark), lex.filter("priority = 1"), lex.filter("priority = 0"))
+
+
+@query()
+def words_by_given_syllables(spark, d):
+    """Part names with their halves as syllables, a repetition mark behind them, and words without syllables."""
+    words = _halves(spark, d).select("word", F.array("b", "a", F.lit("ๆ")).alias("syllables")).unionAll(_v(spark, D.WORD_SQL).select("word", F.lit(None).cast("array<string>").alias("syllables")))
+    lex = _lex(spark)
+    return N.by_given_syllables(words, K.last_wins(lex.filter("priority = 1").filter(K.admit_syllable(F.col("thai"), F.col("translit")))), lex.filter("priority = 0"), _segment_lexicon(spark))
+
+
+@query()
+def dictionary_test(spark, d):
+    """The dictionary against the rules alone and against itself: counts and classes of the first fifty failures of each."""
+    entries, lex = _dict(spark), _segment_lexicon(spark)
+    keys = entries.select(X.strip_markers(F.col("thai")).alias("word"))
+    modes = {"rules": G.transliterate(keys, lex), "dictionary": N.romanize_words(keys, entries, lex)}
+    out = None
+    for mode, roman in modes.items():
+        rows = E.dictionary_results(entries, roman)
+        one = rows.agg(*E.accuracy(F.col("passed"))).join(E.failure_classes(E.first_failures(rows.filter("not passed"), 50, "thai")))  # one row each
+        one = one.select(F.lit(mode).alias("mode"), "*")
+        out = one if out is None else out.unionAll(one)
+    return out

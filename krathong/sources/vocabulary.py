@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.textnorm import strip_bom, unescape_xml
+from ..operators.evaluate import pair_lines
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,9 +35,24 @@ def read_corpus(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return rows.select(F.expr(f"substring(file, 1, char_length(file) - {len(suffix)})").alias("name"), "line_no", F.replace(strip_bom(F.col("line")), F.lit("\\N"), F.lit(" ")).alias("text"))
 
 
+def discover_corpus(spark: SparkSession, path: str, input_suffix: str, golden_suffix: str) -> DataFrame:
+    """(name, line_no, input, expected) of all pairs ``<name><input_suffix>`` and ``<name><golden_suffix>`` under a folder.
+
+    A name with one side only, or with unequally many lines, is left out. Names in natural order:
+    ``orderBy(first_number(name), name, line_no)``.
+    """
+    at = path.rstrip("/")
+    inputs = read_corpus(spark, f"{at}/*{input_suffix}", input_suffix)
+    if input_suffix.endswith(golden_suffix) or golden_suffix.endswith(input_suffix):
+        inputs = inputs.filter(~F.concat("name", F.lit(input_suffix)).endswith(golden_suffix)) if len(golden_suffix) > len(input_suffix) else inputs
+    golden = read_corpus(spark, f"{at}/*{golden_suffix}", golden_suffix)
+    pairs = pair_lines(inputs, golden.withColumnRenamed("text", "expected"))
+    return pairs.select("name", "line_no", F.col("text").alias("input"), "expected")
+
+
 def write_failures(failures: DataFrame, path: str) -> None:
-    """Three lines for each failure (file, line_no, input, expected, got)."""
-    failures.select(F.format_string("%s:%d %s\n  expected: %s\n  got: %s", "file", "line_no", "input", "expected", "got").alias("value")).write.text(path)
+    """Three lines and a blank one for each failure (name, line_no, input, expected, got)."""
+    failures.select(F.format_string("[%s:%d] %s\n  Expected: %s\n  Got:      %s\n", "name", "line_no", "input", "expected", "got").alias("value")).write.text(path)
 
 
 def write_draft(words: DataFrame, path: str) -> None:

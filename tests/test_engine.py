@@ -11,6 +11,7 @@ from krathong.functions import components as P
 from krathong.functions import syllables as S
 from krathong.functions import textnorm as X
 from krathong.operators import evaluate as E
+from krathong.operators import lines as N
 from krathong.operators import segment as G
 from krathong.operators import syllabic as Y
 from krathong.plans import catalog
@@ -160,3 +161,48 @@ def test_flagship_and_rows_only_queries(spark):
     for r in pieces.orderBy("word", "idx").collect():
         again[r.word] = again.get(r.word, "") + (r.roman or "")
     assert joined == again
+
+def test_lines_and_sentences(spark):
+    table = lambda *r: spark.createDataFrame(r, "thai string, translit string")
+    words, lex = table(("แดง", "dɛɛng"), ("ฟ้า", "fáa"), ("แดง ฟ้า", "both")), spark.createDataFrame([("กา", "gaa", 1)], "thai string, translit string, priority int")
+    rows = [("f", 1, "﻿แดงฟ้า"), ("f", 2, "# แดง"), ("f", 3, ""), ("f", 4, "plain"), ("f", 5, "แดง  ฟ้ากา"), ("f", 6, "กา แดงกา"), ("f", 5, "แดง  ฟ้ากา"), ("f", 7, None)]
+    got = sorted((r.line_no, r.roman, r.fallback) for r in N.romanize_lines(spark.createDataFrame(rows, "file string, line_no int, text string"), words, lex).collect())
+    assert got == [(1, "dɛɛng fáa", False), (2, "# แดง", False), (3, "", False), (4, "plain", False), (5, "dɛɛng fáa gaa", False), (5, "dɛɛng fáa gaa", False), (6, "gaa dɛɛng gaa", False), (7, None, False)]
+    texts = spark.createDataFrame([("แดง ฟ้า",), ("แดงฟ้า",), ("แดง ฟ้ากา",), ("",), (None,)], "text string")
+    got = {r.text: r.roman for r in N.romanize_sentences(texts, words, table(("กา", "gaa1")), table(("กา", "gaa2"))).collect()}
+    assert got == {"แดง ฟ้า": "both", "แดงฟ้า": "dɛɛng-fáa", "แดง ฟ้ากา": "dɛɛng fáa gaa1", "": ""}
+    assert N.romanize_lines(spark.createDataFrame([], "file string, line_no int, text string"), words, lex).collect() == []
+
+
+def test_given_syllables(spark):
+    rows = [("a", ["มา", "ๆ", "กา"]), ("b", ["ๆ", "ก์", "มา", "ก์", "ๆ", "ๆ"]), ("กา", []), ("กา", None), ("c", ["ก์"]), (None, ["มา"]), ("a", ["มา", "ๆ", "กา"])]
+    table = lambda *r: spark.createDataFrame(r, "thai string, translit string")
+    lex = spark.createDataFrame([("กา", "gaa", 1)], "thai string, translit string, priority int")
+    got = N.by_given_syllables(spark.createDataFrame(rows, "word string, syllables array<string>"), table(("มา", "maa")), table(("มา", "no"), ("กา", "gaa!")), lex).collect()
+    assert sorted((r.word, r.syllables is None, r.roman, r.fallback) for r in got) == [("a", False, "maa-maa-gaa!", False), ("b", False, "maa-maa-maa", False), ("c", False, "", False), ("กา", False, "gaa", True), ("กา", True, "gaa", True)]
+
+
+def test_dictionary_results(spark):
+    d = spark.createDataFrame([("มา<n>", "ma-a"), ("ไป ไหน", "x"), ("กา", "gáa"), ("นา", "naa")], "thai string, translit string")
+    r = spark.createDataFrame([("มา", "maa"), ("กา", "gàa")], "word string, roman string")
+    got = E.dictionary_results(d, r).collect()
+    assert sorted((x.thai, x.got, x.passed) for x in got) == [("กา", "gàa", True), ("นา", None, False), ("มา<n>", "maa", True)]
+
+
+def test_corpus_results(spark):
+    rows = [("n", 1, " ไป มา ", "Bpai maa!", "bpai maa"), ("n", 2, "ไป", "bpai", None), ("n", 3, "# Aegisub x", "a", "a"), ("n", 4, "ไป 7", "a", "a"), ("n", 5, "ไปๆ", "a", "a"), ("n", 6, "ไป", "sà", "a"), ("n", 7, "ไป", "!", "a"), ("n", 8, "  ", "a", "a"), ("n", 9, "ไป มา", "a b", "x b"), ("n", 10, "# ไป", "sè", "a"), (None, 11, None, None, None)]
+    got = E.corpus_results(spark.createDataFrame(rows, "name string, line_no int, input string, expected string, got string")).orderBy("line_no")
+    assert [(r.line_no, r.correct, r.matched or 0, r.words) for r in got.collect()] == [(1, True, 2, 2), (2, False, 0, None), (6, False, 0, 1), (9, False, 0, 2)]
+    r = E.corpus_report(got).first()
+    assert (r.lines, r.lines_correct, r.fallbacks, r.words, r.matched, r.line_accuracy, r.word_accuracy) == (4, 1, 1, 5, 2, 25.0, 40.0)
+    none = E.corpus_report(got.filter("false")).first()
+    assert (none.lines, none.words, none.line_accuracy, none.word_accuracy) == (0, 0, None, None)
+
+
+def test_discovery_and_failure_log(spark, tmp_path):
+    for name, text in (("test2.txt", "ก\nข"), ("test2_gold.txt", "a\nb"), ("test10.txt", "ก\\Nค"), ("test10_gold.txt", "a b"), ("test3.txt", "ก"), ("test3_gold.txt", "a\nb"), ("test4.txt", "ก")):
+        (tmp_path / name).write_text(text)
+    got = vocabulary.discover_corpus(spark, str(tmp_path), ".txt", "_gold.txt").orderBy(X.first_number(F.col("name")), "name", "line_no").collect()
+    assert [tuple(r) for r in got] == [("test2", 1, "ก", "a"), ("test2", 2, "ข", "b"), ("test10", 1, "ก ค", "a b")]
+    vocabulary.write_failures(spark.createDataFrame([("n", 3, "ก", "a", "b")], "name string, line_no int, input string, expected string, got string"), str(tmp_path / "log"))
+    assert next((tmp_path / "log").glob("part-*.txt")).read_text() == "[n:3] ก\n  Expected: a\n  Got:      b\n\n"
