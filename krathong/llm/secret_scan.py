@@ -84,9 +84,15 @@ def update_ledger(history: DataFrame, ledger: DataFrame | None, path_col: str =
     return C.materialize(scan(unseen.groupBy("blob").agg(F.first("text").alias("text"))))
 
 
-def findings(history: DataFrame, ledger: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, blob, spans) of each row of the history; spans null where the ledger lacks the blob."""
-    own = ledger.filter(F.col("rule_version") == RULE_VERSION).groupBy(F.col("blob").alias("scanned")).agg(F.first("spans").alias("spans"))
+def findings(history: DataFrame, ledger: DataFrame, path_col: str = "path", text_col: str = "text", unique: bool = False) -> DataFrame:
+    """(path, blob, spans) of each row of the history; spans null where the ledger lacks the blob.
+
+    ``unique``: the ledger holds each blob and rule version once, as ``update_ledger`` returns it. Else repeats are
+    dropped into a table first: a join next to an aggregate could not have the copies of a hot blob dealt anew.
+    """
+    own = ledger.filter(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("scanned"), "spans")
+    if not unique:
+        own = C.materialize(own.groupBy("scanned").agg(F.first("spans").alias("spans")))
     return versions(history, path_col, text_col).select("path", "blob").join(own, F.col("blob") == F.col("scanned"), "left").select("path", "blob", "spans")
 
 
@@ -107,7 +113,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each get the findings of that text. Only the id and the text are read. An empty table gives none.
     """
     new = update_ledger(docs, ledger, id_col, text_col)
-    return digest(findings(docs, new if ledger is None else ledger.unionByName(new), id_col, text_col))
+    return digest(findings(docs, new if ledger is None else ledger.unionByName(new), id_col, text_col, unique=ledger is None))
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
