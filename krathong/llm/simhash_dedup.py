@@ -211,29 +211,38 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id). Other columns are not read, so their names cannot clash. An empty table gives none.
     """
     prints = C.materialize(fingerprints(docs, id_col, text_col, words))
+    named, least = _named(prints, radius)
+    named = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of each fingerprint, and (r, component_id) of each root: the least doc_id of its component."""
     nodes = C.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    named = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named, named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of ``documents`` that represent their group: one document of each.
+    """The rows of ``documents`` that represent their group: exactly one row of each, whatever its ids are.
 
-    The document with the least id stays. Rows of one id are one document: if their texts differ, the
-    least (text hash, text) stays; rows repeated whole stay once. Groups of null ids only keep one row in all.
+    The row with the least (doc_id, text hash, text digest) stays, null ids last; of rows that share id and
+    text, the least by their JSON. Rows of one id whose texts are in different groups count for each group.
     """
-    kept = C.materialize(simhash_groups(docs, radius=radius).select(F.col("component_id").alias("kept")).distinct())
-    doc_id = F.col("row.doc_id")
-    rows = C.pack(docs).join(kept, doc_id.eqNullSafe(F.col("kept")), "left_semi")
-    twice = docs.groupBy(F.col("doc_id").alias("twice")).count().filter("count > 1").select("twice")
+    digest = lambda t: F.coalesce(F.sha2(t, 256), F.lit(""))
+    # the id and the digest fix the text, and so the group: no two groups have the same key
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), digest("text").alias("digest"))
+    prints = C.materialize(fingerprints(docs.select(key.alias("key"), "text"), "key", "text", 4))
+    kept = C.materialize(_named(prints, radius)[1].select("component_id.id", "component_id.digest"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("d") == F.col("digest"))
+    rows = C.pack(docs).withColumn("d", digest("row.text")).join(kept, same, "left_semi")
+    often = prints.groupBy("doc_id.id", "doc_id.digest").count().filter("count > 1").select(F.col("id").alias("i"), F.col("digest").alias("g"))
+    twice = C.materialize(kept.join(often, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g")), "left_semi"))
     if not twice.limit(1).count():
         return rows.select("row.*")
-    same = doc_id.eqNullSafe(F.col("twice"))
-    one = rows.join(twice, same, "left_semi").groupBy("row.doc_id").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.col("row.text"))).alias("row")).select("row")
-    return rows.join(twice, same, "left_anti").unionAll(one).select("row.*")
+    one = rows.join(twice, same, "left_semi").groupBy("row.doc_id", "d").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return rows.join(twice, same, "left_anti").select("row").unionAll(one).select("row.*")
 
 
 def op3_simhash_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,18 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept) == [2, 7, 8]
 
 
+def test_each_group_keeps_one_row_whatever_its_ids(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon", "other words stand here in this text", "nothing of this is found elsewhere", "one more text that no other row has")
+    for ids, texts in (([None] * 4, [a, b, c, d]), ([7, 9, 7, 2], [a, a, b, b]), ([None, 1, None, None, None], [a, a, b, b, c]), ([3, 3, 3, None, None], [a, b, a, None, ""])):
+        df = spark.createDataFrame([(i, t, k % 2) for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, text string, k int")
+        kept = [(r.doc_id, r.text) for r in simhash_dedup.keep_one(df).collect()]
+        group = lambda t: brute_print(t)
+        want = {}
+        for i, t in zip(ids, texts):
+            want[group(t)] = min(want.get(group(t), math.inf), math.inf if i is None else i)
+        assert sorted((group(t), math.inf if i is None else i) for i, t in kept) == sorted(want.items())
+
+
 # ---- secrets
 
 
