@@ -16,9 +16,6 @@ from .segment import segment, transliterate
 from .syllabic import by_syllables
 from .tables import materialize
 
-#: Longest dictionary word that is told apart inside a run without spaces; longer ones count only where they stand alone.
-TOKEN_WINDOW = 24
-
 
 def _joined(pairs: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     """(key, parts): the non-empty values of each key in order."""
@@ -26,11 +23,14 @@ def _joined(pairs: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.filter(parts, lambda x: x.isNotNull() & (x != "")).alias("parts"))
 
 
-def tokens(words: DataFrame, dictionary: DataFrame, window: int = TOKEN_WINDOW) -> DataFrame:
+def tokens(words: DataFrame, dictionary: DataFrame, window: int | None = None) -> DataFrame:
     """(word, pos, token) of each distinct ``word`` (a run without spaces).
 
-    Words of the dictionary and foreign runs are one token. Null and empty words have none.
+    Words of the dictionary and foreign runs are one token. Null and empty words have none. ``window``: the
+    longest dictionary word that is told apart inside a run; if not given, the longest that there is.
     """
+    if window is None:
+        window = dictionary.select(F.max(F.char_length("thai"))).first()[0] or 1
     words = words.select("word").filter("word is not null and word <> ''").distinct()
     entries = dictionary.select("thai", "translit", F.lit(1).alias("priority"))
     known = lookup(words, dictionary).withColumn("whole", F.col("translit").isNotNull() | ~contains_thai(F.col("word")))

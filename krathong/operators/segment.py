@@ -15,11 +15,17 @@ from ..functions.syllables import build, from_parts, parse, pattern_parts, sylla
 WINDOW = 8
 
 
-def matches(words: DataFrame, lexicon: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(word, pos, len, translit, tier): the longest lexicon hit at each place; of equal lengths the lower priority."""
+def matches(words: DataFrame, lexicon: DataFrame, window: int = WINDOW, whole: bool = False) -> DataFrame:
+    """(word, pos, len, translit, tier): the longest lexicon hit at each place; of equal lengths the lower priority.
+
+    ``whole``: a word that is itself in the lexicon is a hit whatever its length.
+    """
     n = F.char_length("word")
     pos = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
-    sub = pos.select("word", "pos", F.explode(F.expr(f"sequence(1, least({window}, char_length(word) - pos + 1))")).alias("len"))
+    lens = f"sequence(1, least({window}, char_length(word) - pos + 1))"
+    if whole:
+        lens = f"concat({lens}, IF(pos = 1 AND char_length(word) > {window}, array(char_length(word)), array()))"
+    sub = pos.select("word", "pos", F.explode(F.expr(lens)).alias("len"))
     # a hit may not leave exactly one consonant behind
     rest = F.expr("substring(word, pos + len)")
     sub = sub.filter(~((F.char_length(rest) == 1) & rest.rlike("^[ก-ฮ]$"))).withColumn("s", F.expr("substring(word, pos, len)"))
@@ -27,10 +33,10 @@ def matches(words: DataFrame, lexicon: DataFrame, window: int = WINDOW) -> DataF
     return sub.join(lex, "s").groupBy("word", "pos").agg(F.max_by(F.struct("len", "translit", "priority"), F.struct("len", -F.col("priority"), "translit")).alias("hit"))
 
 
-def segment(words: DataFrame, lexicon: DataFrame, window: int = WINDOW) -> DataFrame:
+def segment(words: DataFrame, lexicon: DataFrame, window: int = WINDOW, whole: bool = False) -> DataFrame:
     """(word, idx, piece, translit, tier) of each distinct word: lexicon pieces, and rule syllables where no entry fits."""
     words = words.select("word").filter("word is not null and word <> ''").distinct()
-    hits = matches(words, lexicon, window).groupBy("word").agg(F.collect_list(F.struct("pos", "hit.len", "hit.translit", "hit.priority")).alias("hits"))  # at most one for each place
+    hits = matches(words, lexicon, window, whole).groupBy("word").agg(F.collect_list(F.struct("pos", "hit.len", "hit.translit", "hit.priority")).alias("hits"))  # at most one for each place
     at = words.join(hits, "word", "left")
     none = F.expr("CAST(array() AS array<struct<pos:int,len:int,translit:string,priority:int>>)")
     found = lambda i: F.get(F.filter(F.coalesce("hits", none), lambda h: h["pos"] == i), F.lit(0))
@@ -52,8 +58,11 @@ def transliterate(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def explain(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(word, idx, piece, tier, roman): where each piece of a word came from. Rules run once for each distinct piece."""
-    pieces = segment(words, lexicon)
+    """(word, idx, piece, tier, roman): where each piece of a word came from. Rules run once for each distinct piece.
+
+    A word that is itself an entry is one piece, however long it is; only other words are cut within the window.
+    """
+    pieces = segment(words, lexicon, whole=True)
     todo = pieces.filter("tier = 'rule'").select("piece").distinct()
     s = F.col("piece")
     # each step is a column of its own, so that no expression is copied into those that use it

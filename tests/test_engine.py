@@ -206,3 +206,18 @@ def test_discovery_and_failure_log(spark, tmp_path):
     assert [tuple(r) for r in got] == [("test2", 1, "ก", "a"), ("test2", 2, "ข", "b"), ("test10", 1, "ก ค", "a b")]
     vocabulary.write_failures(spark.createDataFrame([("n", 3, "ก", "a", "b")], "name string, line_no int, input string, expected string, got string"), str(tmp_path / "log"))
     assert "".join(p.read_text() for p in (tmp_path / "log").glob("part-*.txt")) == "[n:3] ก\n  Expected: a\n  Got:      b\n\n"
+
+
+def test_long_entries_are_found_whole(spark):
+    long, longer = "วิไกรโรจน์", "น้ำแข็งใหญ่ใหม่เย็นร้อนแดงจาน"
+    assert len(long) > G.WINDOW and len(longer) > 24
+    lex = spark.createDataFrame([(long, "syllable", 1), (long, "special", 0), ("มา", "maa", 1)], "thai string, translit string, priority int")
+    words = spark.createDataFrame([(long,), ("มา",), (long + "มา",), (None,), ("",)], "word string")
+    got = {(r.word, r.idx): (r.piece, r.tier, r.roman) for r in G.explain(words, lex).collect()}
+    assert got[long, 0] == (long, "special", "special") and (long, 1) not in got and got["มา", 0] == ("มา", "syllable", "maa")
+    assert got[long + "มา", 0][1] not in ("special", "syllable")
+    assert {r.word: r.roman for r in G.transliterate(words, lex).collect()}[long] == "special"
+    dictionary = spark.createDataFrame([(longer, "x"), ("มา", "maa")], "thai string, translit string")
+    run = spark.createDataFrame([("มา" + longer + "มา",)], "word string")
+    assert [r.token for r in N.tokens(run, dictionary).orderBy("pos").collect()] == ["มา", longer, "มา"]
+    assert N.tokens(run, dictionary.limit(0)).count() == 1
