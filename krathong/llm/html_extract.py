@@ -1,9 +1,12 @@
 """HTML extraction: text-to-tag ratio of lines from a streaming parser, smoothed and clustered.
 
 The standard library's event parser cuts a page into lines at block elements and counts the tags
-of each line. The ratio of text to tags is smoothed with a Gaussian over neighbouring lines and
-split in two clusters; the containers that hold lines of the upper cluster are the content regions.
-All text of a content region is returned but what stands in elements that are never article text.
+of each line. The logarithm of the ratio of text to tags is smoothed with a Gaussian over neighbouring
+lines and split in two clusters; the containers that hold lines of the upper cluster are the content
+regions, on every page. If articles and mains hold at least half of the upper cluster's text, they are the
+only regions. All text of a content region is returned but what stands in elements that are never article
+text, and so is what stands between or beside regions of the same parent, except, beside them, lists of
+links and divs that stand in the body itself.
 """
 
 from __future__ import annotations
@@ -37,8 +40,11 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, bool]] = []  # tag, excluded from here on, container, text dropped
         self.lines: list[tuple[str, int, int, bool]] = []
+        self.links: list[int] = []  # characters inside links, for each line
         self.strong: set[int] = set()
-        self.n, self.tags, self.buffer, self.state = 0, 0, [], (False, 0)
+        self.parent: dict[int, int] = {}
+        self.kind: dict[int, str] = {}
+        self.n, self.tags, self.buffer, self.state, self.linked = 0, 0, [], (False, 0), 0
 
     def top(self):
         return self.stack[-1] if self.stack else ("", False, 0, False)
@@ -47,8 +53,9 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.buffer).split())
         if text:
             self.lines.append((text, self.tags, self.state[1], self.state[0]))
+            self.links.append(self.linked)
             self.tags = 0
-        self.buffer = []
+        self.buffer, self.linked = [], 0
 
     def inside(self, *tags):
         return any(t in tags for t, *_ in self.stack)
@@ -68,6 +75,7 @@ class Lines(HTMLParser):
         before = out
         if tag in CONTAINERS and not (box in self.strong and tag not in ("article", "main")):
             self.n += 1
+            self.parent[self.n], self.kind[self.n] = box, tag
             box = self.n
             if tag in ("article", "main"):
                 self.strong.add(box)
@@ -112,6 +120,8 @@ class Lines(HTMLParser):
             self.cut()
             self.state = (out, box)
         self.buffer.append(data)
+        if self.inside("a"):
+            self.linked += len(data.strip())
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -140,16 +150,44 @@ def extract(html: str) -> str:
     p.cut()
     if not p.lines:
         return ""
-    ratio = smooth(np.array([len(t) / max(n, 1) for t, n, _, _ in p.lines]))
+    ratio = smooth(np.log1p([len(t) / max(n, 1) for t, n, _, _ in p.lines]))
     open_ = np.array([not out for *_, out in p.lines])
     if not open_.any():
         return ""
     high = (ratio >= threshold(ratio)) & open_
-    chosen = {p.lines[i][2] for i in np.flatnonzero(high if high.any() else open_)}
-    strong = p.strong & {box for _, _, box, out in p.lines if not out}
-    if strong:
-        chosen = strong & chosen or strong
-    return " ".join(t for t, _, box, out in p.lines if not out and box in chosen)
+    return " ".join(p.lines[i][0] for i in regions(p, np.flatnonzero(open_), np.flatnonzero(high if high.any() else open_)))
+
+
+def regions(p: Lines, lines: np.ndarray, high: np.ndarray) -> list[int]:
+    """Which of the open ``lines`` are content, given those of the upper cluster."""
+    box = {i: p.lines[i][2] for i in lines.tolist()}
+    mass = {i: len(p.lines[i][0]) for i in box}
+    inner = {i for i in high.tolist() if box[i] in p.strong}
+    tagged = 2 * sum(mass[i] for i in inner) >= sum(mass[i] for i in high.tolist())
+    chosen = {box[i] for i in (inner if tagged else high.tolist())}
+    out: set[int] = set()
+    for parent in {p.parent.get(b, 0) for b in chosen}:
+        # each line below the parent by the child that it stands in; the parent's own lines stand for themselves
+        below: dict[tuple[int, int], list[int]] = {}
+        took: list[int] = []
+        for i in box:
+            b, child, hit = box[i], 0, False
+            while b and b != parent:
+                hit |= b in chosen and p.parent[b] == parent
+                b, child = p.parent[b], b
+            if b == parent:
+                below.setdefault((child, 0 if child else i), []).append(i)
+                if hit:
+                    took.append(i)
+        first, last = took[0], took[-1]
+        frame = p.kind.get(parent, "body") in ("body", "html")
+        for (child, _), own in below.items():
+            if tagged:
+                beside = child in p.strong or parent in p.strong
+            else:
+                beside = 2 * sum(p.links[i] for i in own) <= sum(mass[i] for i in own) and not (frame and p.kind.get(child) == "div")
+            out.update(i for i in own if beside or first <= i <= last)
+    return sorted(out)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -345,6 +345,24 @@ def test_extract(page, want):
     assert html_extract.extract(page or "") == want
 
 
+PROSE = "A long paragraph of plain words that tell the story of this page, one after the other. " * 6
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # the clusters decide, though there is an article
+        (f"<article><a>One</a><br><a>Two</a><br><a>Go</a></article><div><p>{PROSE}</p><p>{PROSE}</p></div><div><a>Up</a></div>", f"{PROSE}{PROSE}"),
+        (f"<article><p>{PROSE}</p></article><div><a>Up</a><br><a>Down</a></div>", PROSE),
+        # short sections between and beside long ones stay, lists of links do not
+        (f"<div><div><a>Home</a><br><a>Map</a></div><section><h1>Title</h1></section><section><p>{PROSE * 9}</p></section><div><p>In short.</p></div><section><p>{PROSE}</p></section><section><p>The end.</p></section></div>", f"Title {PROSE * 9}In short. {PROSE}The end."),
+        (f"<main><h1>Title</h1><article><p>{PROSE}</p></article><article><p>Note.</p></article></main><div>Site</div>", f"Title {PROSE}Note."),
+    ],
+)
+def test_clusters_choose_regions(page, want):
+    assert html_extract.extract(page) == want.strip()
+
+
 def test_extract_pages_rows(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<article>" + "<p>x y</p>" * 20_000 + "</article>", "t")], "page_id long, url string, html string, text string")
     rows = html_extract.extract_pages(df).collect()
