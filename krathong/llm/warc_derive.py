@@ -25,7 +25,8 @@ from . import common as C
 RECORD = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, headers map<string,string>, block binary"
 #: Date of responses made from a table that has none.
 DATE = "2024-01-01T00:00:00Z"
-_DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|title)\b.*?(?:</\1\s*>|$)", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template|svg|title)(?=[\s/>])[^>]*>?", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>" if name else "-->", re.I) for name in ("", "script", "style", "noscript", "template", "svg", "title")}
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-z][^>]*>?", re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
@@ -65,9 +66,29 @@ def decode(payload: bytes, content_type: str) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def without_hidden(page: str) -> str:
+    """The page with a space for each comment and each element that is no text.
+
+    Without an end, a comment, script or style reaches to the end of the page, as in browsers; of other elements,
+    and of a self-closed svg, only the tag goes.
+    """
+    out, at, pos, endless = [], 0, 0, set()
+    while m := _OPEN.search(page, pos):
+        name, pos = (m[1] or "").lower(), m.end()
+        if name in endless or name == "svg" and m[0].endswith("/>"):
+            continue
+        close = _CLOSE[name].search(page, pos)
+        if close is None and name not in ("", "script", "style"):
+            endless.add(name)  # nor has a later one an end: no second search
+            continue
+        out.append(page[at : m.start()])
+        at = pos = close.end() if close else len(page)
+    return " ".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """Text of a page: one line for each block, white space collapsed, character references decoded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
+    text = _TAG.sub("", _BREAK.sub("\n", without_hidden(page)))
     return "\n".join(x for x in (" ".join(line.split()) for line in html_lib.unescape(text).split("\n")) if x)
 
 

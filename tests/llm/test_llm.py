@@ -393,6 +393,21 @@ def test_derivatives_link_and_round_trip(spark, tmp_path):
     assert warc_derive.derive(src.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one</p><svg class=i /><p>two</p><p>three</p>", "one\ntwo\nthree"),
+        ("<p>one</p><svg/><p>two</p><SVG a=b><text>x</text></svg><p>three</p>", "one\ntwo\nthree"),
+        ("<p>one</p><svg><p>two</p><template><noscript><title>three", "one\ntwo\nthree"),
+        ("<title>t</title><!-- <p>c</p> --><p>one<noscript>n</noscript></p><script>var a='</p>';</script><style>s</style>two<!-- to the end", "one\ntwo"),
+        ("one<script>var a", "one"),
+        ("<p>x</p><svg>" * 20_000, "\n".join("x" * 20_000)),
+    ],
+)
+def test_plain_text_of_open_elements(page, want):
+    assert warc_derive.plain_text(page) == want
+
+
 # ---- transcripts
 
 
