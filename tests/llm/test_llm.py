@@ -452,3 +452,88 @@ def test_pipeline_stages(spark):
     assert kept == sorted(kept, reverse=True) and 0 < kept[-1] < kept[0]
     assert not any("password=" in (r.text or "") and brute_spans(r.text)[0][0] for r in now.collect())
     assert not brute_leaks([(r.doc_id, r.text) for r in now.limit(40).collect()], [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+
+
+def brute_kept(rows):
+    """One row of each group: the least (id, text hash), null ids last."""
+    prints = [brute_print(r[1]) for r in rows]
+    group = [c for _, _, c in sorted(((i, f, c) for (i, f, c) in brute_groups([(k, f) for k, f in enumerate(prints)])))]
+    order = lambda r: (r[0] is None, r[0] or 0, (xxhash.xxh64_intdigest(r[1].encode(), 42) + 2**63) % 2**64 - 2**63)
+    best = {}
+    for g, r in zip(group, rows):
+        if g not in best or order(r) < order(best[g]):
+            best[g] = r
+    return list(best.values())
+
+
+def brute_redacted(t):
+    rules = [(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A, 12, 1), (r"AKIA[A-Z0-9]+", 0, 18, 0), (r"[0-9a-f]+", 0, 16, 0)]
+    hidden = sorted((m.start(), m.end()) for p, f, n, g in rules for m in re.finditer(p, t, f) if len(m[g]) >= n)
+    out, at = "", 0
+    for a, b in hidden:
+        if a >= at:
+            out += t[at:a] + "[secret]"
+        at = max(at, b)
+    return out + t[at:]
+
+
+def brute_mixed(rows):
+    """rows: (id, text, source); with copies, where there are any."""
+    sizes, by = Counter(), {}
+    for i, t, s in rows:
+        h = hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[: mixing.DIGITS]
+        sizes[s] += len(WORD.findall(t))
+        by.setdefault(s, []).append((h, len(WORD.findall(t)), (i, t, s)))
+    out = []
+    for s, target in brute_targets(sizes).items():
+        whole = math.floor(target / sizes[s]) if sizes[s] else 0
+        rest = target - whole * sizes[s]
+        for h, _, row in by[s]:
+            cum, own = sum(n for x, n, _ in by[s] if x <= h), sum(n for x, n, _ in by[s] if x == h)
+            more = rest > 0 and (cum <= rest or cum - own <= rest and cum - rest < rest - (cum - own))
+            out += [(*row, whole + more)] if whole + more else []
+    return out
+
+
+def test_each_stage_equals_brute_force(spark, real, tmp_path):
+    import corpus_pipeline as P
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(6)
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    rows = [(r.doc_id, r.text, r.source) for r in real.filter("n_chars between 400 and 2500").orderBy("doc_id").limit(60).collect()]
+    long = [r for r in rows if len(WORD.findall(r[1])) >= 100]
+    assert len(long) >= 16
+    a = [t for _, t, _ in long]
+    rows += [(None, a[0], "n"), (None, a[1] + " tail", "n"), (None, " ".join(WORD.findall(a[2])[::-1]), "n"), (None, " ".join(WORD.findall(a[3])[::-1]), None)]  # null ids
+    rows += [(900_000, " ".join(WORD.findall(a[k])[::-1]), "r") for k in (4, 5, 5)] + [(900_001, " ".join(WORD.findall(a[5])[::-1]) + " end", "r"), (long[6][0], a[7], "r")]  # repeated ids
+    rows += [(900_002, f"{a[8][::-1]} {items[0][1]}", "r"), (900_003, " ".join(WORD.findall(a[9])[::-1]) + " password=abcdefghijklmnop 0123456789abcdef0 x", "r"), (900_004, None, "r"), (900_005, "", "r")]
+    sf = str(tmp_path)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    bench.write.parquet(f"{sf}/benchmark.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    # the model sees the same table in the stage and here
+    model = quality_rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+
+    def good(t):
+        n, *_, rep = brute_rules(t)
+        return n >= 50 and 2 * rep <= n and quality_rules.measure([t], model).content_share[0] >= quality_rules.KEEP_SHARE
+
+    leaky = lambda rows: {d for d, _ in brute_leaks([(k, r[1]) for k, r in enumerate(rows)], items)}
+    brute = [
+        lambda rows: [r for r in rows if good(r[1] or "")],
+        brute_kept,
+        lambda rows: [r for at in [leaky(rows)] for k, r in enumerate(rows) if k not in at],
+        lambda rows: [(i, brute_redacted(t), s) for i, t, s in rows],
+        brute_mixed,
+    ]
+    now, seen = docs, rows
+    for (name, stage), f in zip(P.STAGES, brute, strict=True):
+        now = P.common.materialize(stage(spark, now, sf))
+        want = f(seen)
+        seen = [(r.doc_id, r.text, r.source) for r in now.collect()]
+        got = [(*r, c.copies) for r, c in zip(seen, now.collect())] if name == "mixing sources" else seen
+        assert Counter(got) == Counter(want), name
+        assert len(want) > 5
+        if name == "simhash near-dedup":
+            assert sum(r[0] is None for r in got) >= 2
