@@ -21,6 +21,8 @@ from .quality_rules import labelled_sample
 
 #: Bounds of the training sample: documents and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 5000, 20_000
+#: Rows of either label that a language needs for a cut of its own, and the width of the histogram's bins.
+LEAST, STEP = 20, 0.05
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: Function words by language.
 FUNCTION_WORDS = {
@@ -205,7 +207,45 @@ def score(texts: list[str], model: dict) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    return train(*labelled_sample(docs, labels, "toxic", TRAIN_DOCS, TRAIN_CHARS, lambda i: ~held_out(i)))
+    model = train(*labelled_sample(docs, labels, "toxic", TRAIN_DOCS, TRAIN_CHARS, lambda i: ~held_out(i)))
+    return calibrate(docs, labels, model)
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, model: dict) -> dict:
+    """The model with the cut of each language set on all labelled rows that are neither held out nor in the sample.
+
+    Rows that the model was fitted on would set the cuts too high. Only a histogram of the logits by language and
+    label reaches the driver. A language with fewer than ``LEAST`` such rows of either label keeps its cut from training.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang int, bin int")
+    def binned(t: pd.Series) -> pd.DataFrame:
+        z, lang = logits(C.clean(t), sent.value)
+        return pd.DataFrame({"lang": lang.astype(np.int32), "bin": np.floor(np.clip(z, -40, 40) / STEP).astype(np.int32)})
+
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y"))
+    known = known.filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id")))
+    # the sample is the first rows in hash order
+    last = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+    rows = docs.select("doc_id", "text").join(known.filter(F.xxhash64("doc_id") > F.lit(last)), "doc_id").select("y", binned("text").alias("b"))
+    hist = rows.groupBy("b.lang", "b.bin", "y").count().orderBy("lang", "bin", "y").collect()
+    model = model | {"cut": model["cut"].copy()}
+    for i in range(len(LANGS)):
+        mine = [r for r in hist if r.lang == i]
+        z, y, n = (np.array(x) for x in ([(r.bin + 0.5) * STEP for r in mine], [int(r.y) for r in mine], [r["count"] for r in mine]))
+        if n[y == 1].sum() >= LEAST and n[y == 0].sum() >= LEAST:
+            model["cut"][i] = _best_cut(z, y, n)
+    return model
+
+
+def _best_cut(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """As _threshold, over bins of n rows with the label y; a cut never parts a bin."""
+    at = np.unique(z)[::-1]
+    hit = np.cumsum([n[(z == x) & (y == 1)].sum() for x in at])
+    f1 = 2 * hit / (np.cumsum([n[z == x].sum() for x in at]) + n[y == 1].sum())
+    k = int(f1.argmax())
+    return float((at[k] + (at[k + 1] if k + 1 < len(at) else at[k] - 1)) / 2)
 
 
 def rate_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
