@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from krathong.llm import components, decontaminate, entry, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, toxicity, transcripts, warc_derive
+from krathong.llm import components, decontaminate, entry, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, toxicity, warc_derive
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -426,35 +426,6 @@ def test_plain_text_of_open_elements(page, want):
     assert warc_derive.plain_text(page) == want
 
 
-# ---- transcripts
-
-
-def test_transcripts(spark):
-    turns = spark.read.parquet(f"{SF}/conversations.parquet")
-    model = transcripts.fit(turns)
-    rows = entry.queries()["op9_transcript_hmm"](spark, SF).collect()
-    short = [r for r in rows if len(r.true_roles.split(",")) < 5]  # every marker is there
-    assert np.mean([r.roles == r.true_roles for r in short]) > 0.95
-    assert np.mean([r.roles == r.true_roles for r in rows]) > 0.7  # every fifth turn has no marker
-    assert transcripts.parse("", model) == [] and transcripts.parse(None, model) == []
-    got = transcripts.parse("User: hi there\nAssistant: hello\nmore of it", model)
-    assert got == [("user", "hi there"), ("assistant", "hello\nmore of it")]
-    odd = spark.createDataFrame([(None, 0, "user", "x"), (None, 0, "user", "y"), (1, None, None, None), (1, 700, "user", "z"), (1, 700, "user", "z")], "conv_id long, turn long, role string, text string")
-    assert transcripts.parse_transcripts(transcripts.transcripts(odd), model).count() == 4
-    assert transcripts.parse_transcripts(transcripts.transcripts(odd.limit(0)), model).count() == 0
-
-
-def test_decode_is_the_best_path():
-    rng = np.random.default_rng(1)
-    model = transcripts.train([transcripts.write_turns([("user", "hi?"), ("assistant", "a b c\nd")], 0)])
-    lines = ["User: a", "b?", "Assistant: c", "d e f g h i j"]
-    path, _ = transcripts.decode(lines, model)
-    seen = [transcripts.observe(x) for x in lines]
-    value = lambda p: model["start"][p[0]] + sum(model["trans"][a, b] for a, b in zip(p, p[1:])) + sum(e[s, o[i]] for s, o in zip(p, seen) for i, e in enumerate(model["emit"]))
-    every = np.stack(np.meshgrid(*[np.arange(transcripts.N)] * len(lines), indexing="ij"), -1).reshape(-1, len(lines))
-    assert math.isclose(value(path), max(map(value, every.tolist())))
-
-
 # ---- the pipeline
 
 
