@@ -63,6 +63,7 @@ def observed(lines: list[str], blank: bool = False) -> list[tuple]:
 
 
 _SIZES = (len(ROLES) + 1, len(_WORDS) + 1, len(_SENTENCES) + 1, 2, 2)
+_OFTEN = (0.01, 5, 5, 5, 0.5)
 
 
 def write_turns(turns: list[tuple[str, str]], style: int, bare=()) -> list[tuple[str, str, bool]]:
@@ -79,9 +80,10 @@ def write_turns(turns: list[tuple[str, str]], style: int, bare=()) -> list[tuple
 
 
 def train(transcripts: list[list[tuple[str, str, bool]]]) -> dict:
-    """Log-probabilities by counting, every event seen a little beforehand. ``trans`` has a last row for the start; ``end`` by state."""
+    """Log-probabilities by counting, every event seen beforehand: rarely for markers, more often for the vaguer features, so
+    that one odd line does not outweigh a marker. ``trans`` has a last row for the start; ``end`` by state."""
     trans, end = np.full((N + 1, N), 0.1), np.full(N, 0.1)
-    emit = [np.full((N, k), 0.5) for k in _SIZES]
+    emit = [np.full((N, k), often) for k, often in zip(_SIZES, _OFTEN)]
     for lines in transcripts:
         before, depth = START, 0
         for seen, (_, role, first) in zip(observed([x for x, *_ in lines]), lines):
