@@ -1,11 +1,16 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-Words are hashed to embeddings; filters of several widths run over the embedded words, are
-max-pooled over the text, rectified and weighed into one logit. The decision threshold is
-calibrated for each language on the training sample; the language is guessed from the text's own
-function words, never from a column. A word's embedding is the sum of those of its own hash and of its
-prefixes' hashes, so inflected forms share what was learned. One coordinate starts at the log-odds of its
-bucket in the sample, the rest at random; all are then trained.
+Words are hashed to embeddings; filters of several widths run over the embedded words. Each filter is
+max-pooled over equal parts of about ``SEGMENT`` words of the text and rectified; the largest of these maxima, which
+says how bad the worst place is, and their mean, which says how much of the text is like that, are weighed into
+one logit. A word's embedding is the sum of those of its own hash and of its prefixes' hashes, so
+inflected forms share what was learned. One coordinate starts at the log-odds of its bucket in the sample,
+the rest at random; all are then trained.
+
+The decision threshold is calibrated for each language, which is guessed from the text's own function words,
+never from a column. It is set on labelled rows that the scoring model has not seen: the sample's by
+cross-fitting, and all beyond the sample. Each language's own best cut counts by the number of its toxic
+rows against ``SHRINK``, the cut over all languages counts for the rest, so that no language falls back.
 """
 
 from __future__ import annotations
@@ -21,9 +26,13 @@ from .quality_rules import labelled_sample
 
 #: Bounds of the training sample: documents and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 5000, 20_000
-#: Rows of either label that a language needs for a cut of its own, and the width of the histogram's bins.
-LEAST, STEP = 20, 0.05
+#: Parts of the sample that are scored by a model trained on the others, and the weight of the cut over all languages.
+FOLDS, SHRINK = 3, 10
+#: Width of the bins of the histograms of logits.
+STEP = 0.05
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
+#: Words of a part of a text that is pooled by itself.
+SEGMENT = 32
 #: Function words by language.
 FUNCTION_WORDS = {
     "en": ["the", "of", "and", "to", "in", "that", "is", "for", "with", "was"],
@@ -37,7 +46,7 @@ _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
 #: Lengths of the prefixes that are hashed beside the whole word.
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 7)
 
 
 def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
@@ -79,46 +88,60 @@ def languages(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(hits.max(1) > 0, hits.argmax(1) + 1, 0)
 
 
-def _pooled(ids, n, emb, filters, with_arg=False):
-    """Rectified maxima of each filter over each text; on request where they stand, and the word vectors."""
-    out = np.zeros((len(n), len(WIDTHS) * FILTERS), np.float32)
-    arg = np.full(out.shape, -1, np.int64)
-    ends = np.cumsum(n)
-    starts = ends - n
+def _segments(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each segment, segments of each text): equal parts of at most SEGMENT words."""
+    per = -(-n // SEGMENT)
+    doc = np.repeat(np.arange(len(n)), per)
+    j = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+    return (np.cumsum(n) - n)[doc] + n[doc] * j // np.maximum(per[doc], 1), per
+
+
+def _activations(ids, n, emb, filters):
+    """(word vectors, value of each filter at each word): minus infinity where a filter would run into the next text."""
     vec = emb[ids[:, 0]]
     for i in range(1, ids.shape[1]):
         vec += emb[ids[:, i]]
+    ends, values = np.cumsum(n), []
     for j, k in enumerate(WIDTHS):
-        own = np.flatnonzero(n >= k)
-        if not len(own):
-            continue
         z = vec @ filters[j][0]
         for i in range(1, k):
             z[:-i] += vec[i:] @ filters[j][i]
-        for i in range(1, k):  # windows that would run into the next text
-            z[ends[own] - i] = -np.inf
-        # texts shorter than the filter are cut off by their own rows, which no window of another text needs
-        cols = slice(j * FILTERS, (j + 1) * FILTERS)
-        some = np.flatnonzero(n > 0)
-        best = np.maximum.reduceat(z, starts[some], axis=0)
-        out[some, cols] = np.where((n[some] >= k)[:, None], np.maximum(best, 0), 0)
-        if with_arg:
-            for d in own:
-                arg[d, cols] = starts[d] + z[starts[d] : ends[d]].argmax(0)
-    return (out, arg, vec) if with_arg else out
-
-
-def train(texts: list[str], toxic: list[int], seed: int = 11, epochs: int = 8, batch: int = 64, rate: float = 0.03) -> dict:
-    """Embeddings, filters, output weights and thresholds; a fifth of the sample picks the epoch and the thresholds."""
+        for i in range(1, k):
+            z[ends[n >= i] - i] = -np.inf
+        values.append(z)
+    return vec, np.concatenate(values, 1)
+
+
+def _pooled(ids, n, emb, filters, with_arg=False):
+    """Features of each text: the largest and the mean of the rectified maxima over its segments; on request what training needs."""
+    width = len(WIDTHS) * FILTERS
+    out = np.zeros((len(n), 2 * width), np.float32)
+    if not len(ids):
+        return (out, None) if with_arg else out
+    vec, z = _activations(ids, n, emb, filters)
+    starts, per = _segments(n)
+    best = np.maximum(np.maximum.reduceat(z, starts, axis=0), 0)
+    some = per > 0
+    at = (np.cumsum(per) - per)[some]
+    out[some, :width] = np.maximum.reduceat(best, at, axis=0)
+    out[some, width:] = np.add.reduceat(best, at, axis=0) / per[some, None]
+    if not with_arg:
+        return out
+    ends = np.append(starts[1:], len(ids))
+    arg = np.array([a + z[a:b].argmax(0) for a, b in zip(starts.tolist(), ends.tolist())])
+    return out, (vec, best, arg, per)
+
+
+def train(texts: list[str], toxic: list[int], seed: int = 11, epochs: int = 6, batch: int = 64, rate: float = 0.03) -> dict:
+    """Embeddings, filters and output weights; without both labels, a model that scores every text alike."""
     rng = np.random.default_rng(seed)
     y = np.array(toxic, np.float32)
+    width = len(WIDTHS) * FILTERS
     emb = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
     filters = [rng.normal(0, 0.2, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
-    out, bias = np.full(len(WIDTHS) * FILTERS, 0.2, np.float32), -2.0
+    out, bias = np.repeat(np.array([0.1, 0.3], np.float32), width), -2.0
     model = {"emb": emb, "filters": filters, "out": out, "bias": bias, "cut": np.zeros(len(LANGS))}
-    order = rng.permutation(len(y))
-    held, own = order[: len(y) // 5], order[len(y) // 5 :]
-    if len(set(y[own])) < 2 or len(set(y[held])) < 2:
+    if len(set(toxic)) < 2:
         return model
     runs = [hashed_words(texts[a:b]) for a, b in C.slices(texts)]
     ids, n = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
@@ -127,38 +150,37 @@ def train(texts: list[str], toxic: list[int], seed: int = 11, epochs: int = 8, b
     # log-odds of each bucket, by documents, drawn towards the base rate
     doc = np.repeat(np.arange(len(n)), n)
     pairs = np.unique((doc[:, None] * BUCKETS + ids).ravel())
-    train_doc = np.zeros(len(n), bool)
-    train_doc[own] = True
-    has = lambda mask: np.bincount(pairs[(mask & train_doc)[pairs // BUCKETS]] % BUCKETS, minlength=BUCKETS)
-    pos, neg, base = has(y == 1), has(y == 0), y[own].mean()
+    has = lambda mask: np.bincount(pairs[mask[pairs // BUCKETS]] % BUCKETS, minlength=BUCKETS)
+    pos, neg, base = has(y == 1), has(y == 0), y.mean()
     emb[:, 0] = np.clip(np.log((pos + 5 * base) / (pos + neg + 5) / base), -2, 3) / 3
     for f in filters:
         f[:, 0, :] = np.abs(f[:, 0, :]) + 0.3 / len(f)
     memory = {"emb": np.full_like(emb, 1e-3), "out": np.full_like(out, 1e-3), "f": [np.full_like(f, 1e-3) for f in filters], "b": 1e-3}
-    z_held = lambda: _pooled(words(held), n[held], emb, filters) @ out + bias
-    best = np.inf
     for _ in range(epochs):
-        order = rng.permutation(own)
+        order = rng.permutation(len(y))
         for a in range(0, len(order), batch):
             docs = order[a : a + batch]
             w = words(docs)
             if not len(w):
                 continue
-            p, arg, vec = _pooled(w, n[docs], emb, filters, True)
-            delta = 1 / (1 + np.exp(-np.clip(p @ out + bias, -30, 30))) - y[docs]
-            g_out = p.T @ delta / len(docs) + 1e-4 * out
-            back = delta[:, None] * out[None] * (p > 0) / len(docs)
-            g_bias = float(delta.mean())
+            p, (vec, best, arg, per) = _pooled(w, n[docs], emb, filters, True)
+            delta = (1 / (1 + np.exp(-np.clip(p @ out + bias, -30, 30))) - y[docs]).astype(np.float32) / len(docs)
+            g_out = p.T @ delta + 1e-4 * out
+            g_bias = float(delta.sum())
+            # of each segment's maximum: its share of the mean, and of the largest if it is that
+            seg = np.repeat(np.arange(len(docs)), per)
+            back = delta[seg, None] * (out[None, width:] / np.maximum(per[seg], 1)[:, None] + out[None, :width] * (best == p[seg, :width])) * (best > 0)
             for j, k in enumerate(WIDTHS):
                 d, f = np.nonzero(back[:, j * FILTERS : (j + 1) * FILTERS])
                 at, b = arg[d, f + j * FILTERS], back[d, f + j * FILTERS].astype(np.float32)
                 for i in range(k):
-                    g = np.zeros((FILTERS, DIM), np.float32)
-                    np.add.at(g, f, b[:, None] * vec[at + i])
+                    g = np.column_stack([np.bincount(f, b * vec[at + i, c], FILTERS) for c in range(DIM)]).astype(np.float32)
                     step = b[:, None] * filters[j][i].T[f]
                     names, inv = np.unique(w[at + i], return_inverse=True)
+                    inv = inv.reshape(len(at), -1)
                     total = np.zeros((len(names), DIM), np.float32)
-                    np.add.at(total, inv.reshape(len(at), -1), step[:, None, :])
+                    for c in range(DIM):
+                        total[:, c] = np.bincount(inv.ravel(), np.repeat(step[:, c], inv.shape[1]), len(names))
                     memory["emb"][names] += total**2
                     emb[names] -= rate * 0.2 * total / np.sqrt(memory["emb"][names])
                     memory["f"][j][i] += g.T**2
@@ -167,29 +189,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 11, epochs: int = 8, b
             out -= rate * g_out / np.sqrt(memory["out"])
             memory["b"] += g_bias**2
             bias -= rate * g_bias / np.sqrt(memory["b"])
-        z = np.clip(z_held(), -30, 30)
-        loss = float(np.mean(np.log1p(np.exp(-z)) * y[held] + np.log1p(np.exp(z)) * (1 - y[held])))
-        if loss < best:
-            best = loss
-            model |= {"emb": emb.copy(), "filters": [f.copy() for f in filters], "out": out.copy(), "bias": bias}
-    z, lang = logits([texts[i] for i in held], model)
-    yh = y[held]
-    model["cut"][:] = _threshold(z, yh)
-    for i in range(len(LANGS)):
-        mine = lang == i
-        if yh[mine].sum() >= 20 and (1 - yh[mine]).sum() >= 20:
-            model["cut"][i] = _threshold(z[mine], yh[mine])
-    return model
-
-
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the best F1, midway to the next lower one."""
-    order = np.argsort(-z)
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    k = int(f1.argmax())
-    low = z[order[k + 1]] if k + 1 < len(z) else z[order[k]] - 1
-    return float((z[order[k]] + low) / 2)
+    return model | {"bias": bias}
 
 
 def logits(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -206,41 +206,67 @@ def score(texts: list[str], model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z - model["cut"][lang], -40, 40)))
 
 
+def _bins(z: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(z, -40, 40) / STEP).astype(np.int32)
+
+
+def cross_fit(texts: list[str], toxic: list[int], seed: int = 11) -> list[tuple[int, int, int, int]]:
+    """(language, bin of the logit, label, rows) of the sample, each row scored by a model that was trained without it."""
+    y, fold = np.array(toxic, int), np.arange(len(texts)) % FOLDS
+    z, lang = np.zeros(len(y)), np.zeros(len(y), int)
+    for k in range(FOLDS):
+        own = np.flatnonzero(fold == k)
+        model = train([texts[i] for i in np.flatnonzero(fold != k)], y[fold != k].tolist(), seed + k)
+        z[own], lang[own] = logits([texts[i] for i in own], model)
+    keys, rows = np.unique(np.column_stack([lang, _bins(z), y]), axis=0, return_counts=True) if len(y) else (np.zeros((0, 3), int), [])
+    return [(*k, n) for k, n in zip(keys.tolist(), map(int, rows))]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    model = train(*labelled_sample(docs, labels, "toxic", TRAIN_DOCS, TRAIN_CHARS, lambda i: ~held_out(i)))
-    return calibrate(docs, labels, model)
+    """The model of the bounded sample, with the cut of each language set on all labelled rows outside the held-out fold."""
+    texts, toxic = labelled_sample(docs, labels, "toxic", TRAIN_DOCS, TRAIN_CHARS, lambda i: ~held_out(i))
+    model = train(texts, toxic)
+    return model | {"cut": cuts(cross_fit(texts, toxic) + beyond(docs, labels, model))}
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, model: dict) -> dict:
-    """The model with the cut of each language set on all labelled rows that are neither held out nor in the sample.
+def beyond(docs: DataFrame, labels: DataFrame, model: dict) -> list[tuple[int, int, int, int]]:
+    """(language, bin of the logit, label, rows) of all labelled rows that are neither held out nor in the sample.
 
-    Rows that the model was fitted on would set the cuts too high. Only a histogram of the logits by language and
-    label reaches the driver. A language with fewer than ``LEAST`` such rows of either label keeps its cut from training.
+    Only this histogram, of bounded size, reaches the driver.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang int, bin int")
     def binned(t: pd.Series) -> pd.DataFrame:
         z, lang = logits(C.clean(t), sent.value)
-        return pd.DataFrame({"lang": lang.astype(np.int32), "bin": np.floor(np.clip(z, -40, 40) / STEP).astype(np.int32)})
+        return pd.DataFrame({"lang": lang.astype(np.int32), "bin": _bins(z)})
 
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y"))
     known = known.filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id")))
     # the sample is the first rows in hash order
     last = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
     rows = docs.select("doc_id", "text").join(known.filter(F.xxhash64("doc_id") > F.lit(last)), "doc_id").select("y", binned("text").alias("b"))
-    hist = rows.groupBy("b.lang", "b.bin", "y").count().orderBy("lang", "bin", "y").collect()
-    model = model | {"cut": model["cut"].copy()}
+    return [(r.lang, r.bin, r.y, r.n) for r in rows.groupBy("b.lang", "b.bin", "y").agg(F.count("*").alias("n")).orderBy("lang", "bin", "y").collect()]
+
+
+def cuts(hist: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """The cut of each language: its own best one, drawn towards the one over all by the number of its toxic rows; zeros without both labels."""
+    h = np.array(hist, float).reshape(-1, 4)
+    lang, z, y, n = h[:, 0], (h[:, 1] + 0.5) * STEP, h[:, 2], h[:, 3]
+    if not n[y == 1].sum() or not n[y == 0].sum():
+        return np.zeros(len(LANGS))
+    every = _best_cut(z, y, n)
+    out = np.full(len(LANGS), every)
     for i in range(len(LANGS)):
-        mine = [r for r in hist if r.lang == i]
-        z, y, n = (np.array(x) for x in ([(r.bin + 0.5) * STEP for r in mine], [int(r.y) for r in mine], [r["count"] for r in mine]))
-        if n[y == 1].sum() >= LEAST and n[y == 0].sum() >= LEAST:
-            model["cut"][i] = _best_cut(z, y, n)
-    return model
+        mine = lang == i
+        toxic = n[mine & (y == 1)].sum()
+        if toxic and n[mine & (y == 0)].sum():
+            out[i] = (toxic * _best_cut(z[mine], y[mine], n[mine]) + SHRINK * every) / (toxic + SHRINK)
+    return out
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-    """As _threshold, over bins of n rows with the label y; a cut never parts a bin."""
+    """The middle of the logits with the best F1, over bins of n rows with the label y."""
     at = np.unique(z)[::-1]
     hit = np.cumsum([n[(z == x) & (y == 1)].sum() for x in at])
     f1 = 2 * hit / (np.cumsum([n[z == x].sum() for x in at]) + n[y == 1].sum())

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from krathong.llm import components, decontaminate, entry, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, toxicity, warc_derive
+from krathong.llm import components, decontaminate, entry, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, warc_derive
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -309,7 +309,7 @@ def auc(score, y):
     return (r[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
 
 
-@pytest.mark.parametrize(("module", "label", "score", "least"), [(quality_rank, "quality", quality_rank.rank_quality, 0.97), (toxicity, "toxic", toxicity.rate_toxicity, 0.9)])
+@pytest.mark.parametrize(("module", "label", "score", "least"), [(quality_rank, "quality", quality_rank.rank_quality, 0.97)])
 def test_held_out_accuracy(spark, module, label, score, least):
     sf = SF.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -323,24 +323,6 @@ def test_held_out_accuracy(spark, module, label, score, least):
     assert score(docs_of(spark, []), model).count() == 0
 
 
-def test_languages_are_calibrated_beyond_the_sample(spark, monkeypatch):
-    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
-    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 600)
-    model = toxicity.fit(docs, labels)
-    rows = docs.join(labels, "doc_id").filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).select("text", "toxic").collect()[600:]
-    z, lang = toxicity.logits([r.text or "" for r in rows], model)
-    y = np.array([r.toxic for r in rows])
-    f1 = lambda z, y, cut: 2 * y[z >= cut].sum() / max(1, (z >= cut).sum() + y.sum())
-    own = 0
-    for i in range(len(toxicity.LANGS)):
-        a, b = z[lang == i], y[lang == i]
-        if min(b.sum(), (1 - b).sum()) >= toxicity.LEAST:
-            own += 1
-            best = max(f1(a, b, c) for c in np.arange(-40, 40, toxicity.STEP))
-            assert f1(a, b, model["cut"][i]) >= best - 0.01
-    assert own >= 3 and len(set(model["cut"].tolist())) >= own
-
-
 # ---- HTML
 
 
