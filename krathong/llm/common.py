@@ -1,13 +1,13 @@
-"""Shared helpers of the training-data operators: tables, scratch space and Arrow plumbing."""
+"""Shared helpers of the training-data operators: tables, working tables and Arrow plumbing."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from krathong.operators.tables import made, materialize, release  # noqa: F401
+
 #: Words of a text wherever a contract speaks of words: runs without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,26 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local
-    mode) a folder under the warehouse is taken and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pack(df: DataFrame) -> DataFrame:
     """Each row as one struct column ``row``: what is added beside it cannot clash with the table's own columns."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
