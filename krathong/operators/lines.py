@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.textnorm import WHITE, contains_thai, nfc, remove_silent, strip_bom
 from .lexicon import layered, lookup
-from .segment import segment, transliterate
+from .segment import cut, key_of, keyed, transliterate
 from .syllabic import by_syllables
 from .tables import materialize
 
@@ -23,25 +23,31 @@ def _joined(pairs: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.filter(parts, lambda x: x.isNotNull() & (x != "")).alias("parts"))
 
 
+#: Parts tokens while they are one string; a run without spaces holds none.
+_SEP = "\n"
+
+
+def token_arrays(words: DataFrame, dictionary: DataFrame, window: int | None = None) -> DataFrame:
+    """(word, key, tokens) of each of the ``keyed`` words: runs without spaces, cut in words; see ``tokens``."""
+    if window is None:
+        window = dictionary.select(F.max(F.char_length("thai"))).first()[0] or 1
+    entries = dictionary.select("thai", "translit", F.lit(1).alias("priority"))
+    known = lookup(words, dictionary).withColumn("whole", F.col("translit").isNotNull() | ~contains_thai(F.col("word"))).drop("translit")
+    # pieces by the rules that follow one another are one token
+    joined = (
+        f"element_at(transform(array(pieces), ps -> array_join(transform(ps, (x, i) -> concat(IF(i = 0 OR x.tier <> 'rule' OR get(ps, i - 1).tier <> 'rule', '{_SEP}', ''), x.piece)), '')), 1)"
+    )
+    run = cut(known.filter("not whole").select("word", "key"), entries, window).select("word", "key", F.split(F.substring(F.expr(joined), 2, 2**31 - 1), _SEP, -1).alias("tokens"))
+    return known.filter("whole").select("word", "key", F.array("word").alias("tokens")).unionAll(run)
+
+
 def tokens(words: DataFrame, dictionary: DataFrame, window: int | None = None) -> DataFrame:
     """(word, pos, token) of each distinct ``word`` (a run without spaces).
 
     Words of the dictionary and foreign runs are one token. Null and empty words have none. ``window``: the
     longest dictionary word that is told apart inside a run; if not given, the longest that there is.
     """
-    if window is None:
-        window = dictionary.select(F.max(F.char_length("thai"))).first()[0] or 1
-    words = words.select("word").filter("word is not null and word <> ''").distinct()
-    entries = dictionary.select("thai", "translit", F.lit(1).alias("priority"))
-    known = lookup(words, dictionary).withColumn("whole", F.col("translit").isNotNull() | ~contains_thai(F.col("word")))
-    pieces = segment(known.filter("not whole"), entries, window).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("idx", "piece", "tier"))).alias("p"))
-    run = F.expr(
-        "aggregate(p, CAST(array() AS array<struct<token:string,known:boolean>>), (s, x) -> IF(x.tier = 'rule' AND NOT coalesce(try_element_at(s, -1).known, true),"
-        " concat(slice(s, 1, size(s) - 1), array(named_struct('token', concat(try_element_at(s, -1).token, x.piece), 'known', false))),"
-        " concat(s, array(named_struct('token', x.piece, 'known', x.tier <> 'rule')))))"
-    )
-    cut = pieces.select("word", F.posexplode(run).alias("pos", "t")).select("word", "pos", F.col("t.token").alias("token"))
-    return known.filter("whole").select("word", F.lit(0).alias("pos"), F.col("word").alias("token")).unionAll(cut)
+    return token_arrays(keyed(words), dictionary, window).select("word", F.posexplode_outer("tokens").alias("pos", "token"))
 
 
 def romanize_words(words: DataFrame, dictionary: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -53,14 +59,15 @@ def romanize_words(words: DataFrame, dictionary: DataFrame, lexicon: DataFrame)
 
 
 def _line_parts(texts: DataFrame, dictionary: DataFrame, roman) -> DataFrame:
-    """(text, parts) of distinct texts; ``roman`` gives (word, roman) of a table of words."""
-    chunks = texts.select("text", F.posexplode(F.split(F.trim(F.regexp_replace("text", WHITE, " ")), " ")).alias("at", "word"))
-    cut = materialize(tokens(chunks.select("word"), dictionary))
-    done = roman(cut.select(F.col("token").alias("word")).distinct()).select(F.col("word").alias("token"), "roman")
-    each = cut.join(done, "token", "left").select("word", "pos", "roman")
-    by_chunk = _joined(each, "word", "pos", "roman").select("word", F.col("parts").alias("own"))
-    back = chunks.join(by_chunk, "word").select("text", "at", "own")
-    return back.groupBy("text").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "own"))), lambda x: x["own"])).alias("parts"))
+    """(text, parts) of distinct texts; ``roman`` gives (word, roman) of a table of words. Texts and chunks go by their keys."""
+    texts = texts.select("text").withColumn("line", key_of(F.col("text")))
+    chunks = materialize(texts.select("line", F.posexplode_outer(F.split(F.trim(F.regexp_replace("text", WHITE, " ")), " ")).alias("at", "word")).filter("word is not null"))
+    by_key = chunks.withColumn("key", key_of(F.col("word"))).select("line", "at", "key")
+    cut_ = materialize(token_arrays(keyed(chunks), dictionary).select("key", F.posexplode_outer("tokens").alias("pos", "token")))
+    done = roman(cut_.select(F.col("token").alias("word")).distinct()).select(F.col("word").alias("token"), "roman")
+    by_chunk = _joined(cut_.join(done, "token", "left").select("key", "pos", "roman"), "key", "pos", "roman").select("key", F.col("parts").alias("own"))
+    back = by_key.join(by_chunk, "key").groupBy("line").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "own"))), lambda x: x["own"])).alias("parts"))
+    return texts.join(back, "line").select("text", "parts")
 
 
 def passes(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..operators import lexicon as K
 from ..operators import lines as N
 from ..operators import segment as G
 from ..operators import syllabic as Y
+from ..operators.tables import materialize
 from . import fixtures as D
 
 _QUERIES: dict = {}
@@ -46,6 +49,11 @@ def _v(spark, sql):
     return spark.sql(f"SELECT * FROM {sql}")
 
 
+def _orders(spark, d, sql):
+    """Rows of a query over the table of orders; no view of the session is touched."""
+    return spark.sql(re.sub(r"\b(FROM|JOIN) orders\b", r"\1 {orders}", sql), orders=_t(spark, d, "orders"))
+
+
 def _lex(spark):
     return _v(spark, D.LEX_SQL)
 
@@ -177,8 +185,7 @@ _COMBINED = "SELECT o_orderkey AS k, concat(substr('bpdtk', CAST(o_orderkey % 5
 
 @query(f"SELECT k, nfc_normalize(x) AS composed FROM ({_COMBINED.replace('substr(', 'substring(')})")
 def nfc(spark, d):
-    _t(spark, d, "orders").createOrReplaceTempView("orders")
-    return spark.sql(_COMBINED).select("k", X.nfc(F.col("x")).alias("composed"))
+    return _orders(spark, d, _COMBINED).select("k", X.nfc(F.col("x")).alias("composed"))
 
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -226,8 +233,7 @@ _ROMAN = f"SELECT o_orderkey AS k, concat(e.expected, CASE o_orderkey % 4 WHEN 0
 
 @query(f"SELECT k, {_duck_normalize('x')} AS normalized FROM ({_ROMAN})")
 def normalize_text(spark, d):
-    _t(spark, d, "orders").createOrReplaceTempView("orders")
-    return spark.sql(_ROMAN).select("k", X.normalize(F.col("x")).alias("normalized"))
+    return _orders(spark, d, _ROMAN).select("k", X.normalize(F.col("x")).alias("normalized"))
 
 
 @query(f"WITH {_PARTS} SELECT word, regexp_replace(word, '(?s:.)์|[ก-ฮ][ะัาิีึืุูเแโใไๅำ]์', '', 'g') AS kept FROM (SELECT DISTINCT word FROM parts UNION SELECT word FROM {D.WORD_SQL})")
@@ -417,7 +423,7 @@ def sentence_pipeline(spark, d):
     """Every part name romanized: distinct words once, joined back to all parts."""
     h = _halves(spark, d)
     tokens = h.select("p_partkey", F.posexplode(F.array("b", "a")).alias("pos", "word"))
-    roman = K.layered(tokens.select("word").distinct(), _dict(spark)).alias("x")
+    roman = materialize(K.layered(tokens.select("word").distinct(), _dict(spark)))  # read twice below
     known = roman.filter("translit is not null").select("word", F.col("translit").alias("roman"))
     ruled = G.transliterate(roman.filter("translit is null"), _segment_lexicon(spark))
     back = tokens.join(known.unionAll(ruled), "word")
@@ -429,14 +435,12 @@ _TOKENS = "SELECT o_custkey AS line, o_orderkey AS pos, CASE WHEN o_orderkey % 5
 
 @query(f"SELECT line, pos, token, CASE WHEN token = 'ๆ' THEN coalesce(last_value(CASE WHEN token <> 'ๆ' AND roman <> '' THEN roman END IGNORE NULLS) OVER (PARTITION BY line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE roman END AS roman FROM ({_TOKENS})")
 def mai_yamok_repeat(spark, d):
-    _t(spark, d, "orders").createOrReplaceTempView("orders")
-    return E.repeat_mark(spark.sql(_TOKENS), "line", "pos", "roman")
+    return E.repeat_mark(_orders(spark, d, _TOKENS), "line", "pos", "roman")
 
 
 @query(f"SELECT line, string_agg(roman, '-' ORDER BY pos) AS joined FROM ({_TOKENS}) GROUP BY line")
 def ordered_concat(spark, d):
-    _t(spark, d, "orders").createOrReplaceTempView("orders")
-    return E.ordered_concat(spark.sql(_TOKENS), ["line"], "pos", "roman", "-")
+    return E.ordered_concat(_orders(spark, d, _TOKENS), ["line"], "pos", "roman", "-")
 
 
 # ---- evaluation ----------------------------------------------------------------------------------
@@ -526,8 +530,7 @@ w AS (SELECT sum(m) AS m, sum(len(e)) AS n FROM g WHERE j = len(e)), l AS (SELEC
 SELECT l.n AS lines, ok AS lines_correct, f AS fallbacks, w.n AS words, m AS matched, round(ok * 100.0 / l.n, 6) AS line_accuracy, round(m * 100.0 / w.n, 6) AS word_accuracy FROM l, w"""
 )
 def corpus_report(spark, d):
-    _t(spark, d, "orders").createOrReplaceTempView("orders")
-    return E.corpus_report(E.corpus_results(spark.sql(_CORPUS)))
+    return E.corpus_report(E.corpus_results(_orders(spark, d, _CORPUS)))
 
 
 # ---- whole lines ---------------------------------------------------------------------------------

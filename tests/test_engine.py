@@ -221,3 +221,18 @@ def test_long_entries_are_found_whole(spark):
     run = spark.createDataFrame([("มา" + longer + "มา",)], "word string")
     assert [r.token for r in N.tokens(run, dictionary).orderBy("pos").collect()] == ["มา", longer, "มา"]
     assert N.tokens(run, dictionary.limit(0)).count() == 1
+
+
+def test_long_runs_are_cut_in_linear_time(spark):
+    import time
+
+    lex = spark.createDataFrame([("แดง", "dɛɛng", 1), ("ตลาด", "dta", 1)], "thai string, translit string, priority int")
+    text = "แดงกองบ้าเรียนกระทะตลาดประเทศ"
+    run, marks = text * (20_000 // len(text)), "ก" + "่" * 5000 + "า" * 100
+    began = time.time()
+    rows = G.segment(spark.createDataFrame([(run,), (marks,), (run,)], "word string"), lex).orderBy("word", "idx").collect()
+    assert "".join(r.piece for r in rows if r.word == run) == run and [r.piece for r in rows if r.word == marks] == [marks]
+    short = [r.piece for r in G.segment(spark.createDataFrame([(text * 3,)], "word string"), lex).orderBy("idx").collect()]
+    assert [r.piece for r in rows if r.word == run][: len(short) - 8] == short[:-8]
+    assert len(N.tokens(spark.createDataFrame([(run,)], "word string"), lex.select("thai", "translit")).collect()) > 1000
+    assert time.time() - began < 90
