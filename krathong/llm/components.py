@@ -26,24 +26,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node in a link; ``root`` is the least node of its component.
 
     ``edges`` has columns u and v of one orderable type. Self links, repeated and reversed links are
-    fine; a null end drops the link. Every round is written to the shared folder. Rounds are
-    logarithmic in practice; if ``max_rounds`` did not suffice the function raises.
+    fine; a null end drops the link. Every round is written to the shared folder. Rounds go on until a round
+    changes nothing: each points nodes to lesser ones, so they end; in practice their number is logarithmic.
     """
     now = C.materialize(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = lambda d: tuple(d.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = state(now)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    before, after = None, state(now)
+    while after[0] and after != before:
         now = C.materialize(_star(_star(now, True), False))
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, after = after, state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

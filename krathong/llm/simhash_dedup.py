@@ -5,8 +5,10 @@ then differ by at most one bit in at least one segment, so they share one of tha
 one-wildcard variants (the segment with one bit masked out, and which bit that is). Variants are
 equality-joined: rows are dealt by variant and each run of equal variants is verified by popcount.
 Runs longer than ``RUN`` are not compared in place; their members are cut into chunks and every
-pair of chunks is compared by a task of its own, so no task holds an unbounded group. What leaves
-a task is a spanning forest of the links found there, never all pairs of a group.
+pair of chunks is compared by a task of its own, so no task holds an unbounded group. Variants that a
+sample of the fingerprints shows to be hot are cut into chunks before they are dealt, so that
+their members do not meet in one task at all; the sample only chooses the route, what it misses goes the other
+one. What leaves a task is a spanning forest of the links found there, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .components import components
 
 #: Longest run of one variant that a task compares in place, and the chunk length beyond it.
 RUN = 1024
+#: One of so many fingerprints is looked at for hot variants, and at most so many of these are dealt in chunks at once.
+SAMPLE, HOT = 64, 4096
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -185,22 +189,41 @@ def _compare_chunks(radius: int):
     return run
 
 
+def hot_variants(nodes: DataFrame, radius: int) -> list[tuple[int, int, int]]:
+    """(k1, k2, members) of the variants that hold well over RUN fingerprints by a sample, the largest first; at most HOT of them."""
+    some = variants(nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0), radius).groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    return [(r.k1, r.k2, r.n * SAMPLE) for r in some.filter(F.col("n") * SAMPLE >= 4 * RUN).orderBy(F.desc("n"), "k1", "k2").limit(HOT).collect()]
+
+
+def _in_chunks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members (k1, k2, fp) dealt to each pair of chunks of their variant (a, b), given the chunks of each (h1, h2, n)."""
+    return (
+        members.join(sizes, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")))
+        .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .select("k1", "k2", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "fp")
+    )
+
+
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """Links (u, v) between distinct fingerprints that connect exactly those which chains of links within the radius connect."""
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = variants(nodes, radius).repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "fp")
+    every = variants(nodes, radius)
+    known = hot_variants(nodes, radius)
+    parts = []
+    if known:
+        at = spark.createDataFrame([(a, b, -(-size // RUN)) for a, b, size in known], "h1 int, h2 long, n int")
+        parts.append(_in_chunks(every, F.broadcast(at)))  # at most HOT rows
+        every = every.join(F.broadcast(at), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left_anti")
+    dealt = every.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2", "fp")
     found = C.materialize(dealt.mapInArrow(_compare_runs(radius), "u long, v long, k1 long, k2 long, hot boolean"))
-    near = found.filter("not hot").select("u", "v")
-    hot = found.filter("hot").select("k1", "k2", F.col("u").alias("fp"))
-    sizes = hot.groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.ceil(F.count("*") / RUN).cast("int").alias("n"))
-    part = (
-        hot.join(sizes, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")))
-        .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("k1", "k2", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "fp")
-    )
-    return near.unionAll(part.groupBy("k1", "k2", "a", "b").applyInArrow(_compare_chunks(radius), "u long, v long"))
+    out = found.filter("not hot").select("u", "v")
+    hot = found.filter("hot").select(F.col("k1").cast("int").alias("k1"), "k2", F.col("u").alias("fp"))
+    parts.append(_in_chunks(hot, hot.groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.ceil(F.count("*") / RUN).cast("int").alias("n"))))
+    for p in parts:
+        out = out.unionAll(p.groupBy("k1", "k2", "a", "b").applyInArrow(_compare_chunks(radius), "u long, v long"))
+    return out
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words: int = 4) -> DataFrame:
