@@ -31,33 +31,48 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     )
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``place``, the rank of each source by code point, null last.
+
+    Sources are dealt by ranges and counted in their range; how many stand in the ranges before is a table of one row for
+    each range. So no task sees all sources, of which there may be as many as there are hosts.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    n = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = C.materialize(sizes.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("range").agg(F.count("*").alias("n")).select(F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return parts.withColumn("own", own).join(F.broadcast(base), F.col("range") == F.col("r")).select(*sizes.columns, (F.col("base") + F.col("own") - 1).alias("place"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, source_size, target): weighted shares of the budget, capped, the excess dealt again by weight.
 
     Dealing the excess until no target is above its cap ends at min(cap, level * weight) with one level
-    for all sources: the highest level that is not above the ratio cap / weight of the source it is
-    worked out at, with all sources of lower ratio capped. There is one row for each source here, not for each document.
+    for all sources. It is dealt as told: the level of the open sources is worked out from sums over all sources, those above
+    their cap are closed, until none is. Each round is an aggregate of four numbers; sources never meet in one task.
     """
-    one = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(one) - 1, F.lit(len(weights))) + 1).cast("double")
-    s = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * float(cap))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
-    s = (
-        s.withColumn("budget", F.sum("source_size").over(whole) * float(share))
-        .withColumn("left_w", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.col("left_w"))
-        .withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(whole))
-    )
-    return s.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
+    w = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("place"), F.lit(len(weights))).cast("int") + 1).cast("double")
+    s = C.materialize(ranked(sizes).withColumn("w", w).withColumn("cap", F.col("source_size") * float(cap)).drop("place"))
+    level, closed = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("w") * level > F.col("cap")
+        r = s.agg(F.sum("source_size").alias("all"), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)).alias("kept"), F.sum(F.when(~over, F.col("w"))).alias("w"), F.count_if(over).alias("closed")).first()
+        if r.closed == closed or not r.w:
+            break
+        closed, level = r.closed, (r["all"] * float(share) - r.kept) / r.w
+    # sources that are closed in the last round stay so, as the level never falls
+    target = F.col("cap") if not r.w else F.least(F.col("cap"), F.col("w") * level)
+    return s.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """(source, source_size, target, whole, last): each document is taken ``whole`` times, once more if its hash is up to ``last``.
 
     ``last`` is null where nothing more is taken. The boundary hash itself is taken if that leaves the sum
-    nearer to the budget; a tie leaves it out. Rows of one id have one hash and stand or fall together.
+    nearer to the budget; a tie leaves it out. Rows of one id have one hash and stand or fall together: the sum misses the
+    target by at most half the words of one id in the source, which is much only where one id, or a null one, has much.
     """
     goal = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
@@ -92,8 +107,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, size, source_size, target, taken, copies) of each row; the same on every run.
 
     A null or empty text has size 0 and takes nothing. Rows without a source are a source of their own,
-    the last. Repeated rows have one hash and are taken alike; a null id hashes as the empty string.
-    Sources without words have target 0. Other columns are not read. An empty table gives none.
+    the last. Repeated rows have one hash and are taken alike; a null id hashes as the empty string, so all rows without an
+    id are taken alike. Sources without words have target 0. Other columns are not read. An empty table gives none.
     """
     rows = C.materialize(sized(docs, id_col, text_col, source_col))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -103,11 +118,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that the mix takes, with columns size and copies (mix_size, mix_copies where those names are taken)."""
+    """The rows of ``documents`` that the mix takes, with columns size and copies, as ``mix`` has them.
+
+    Where the names are taken, ``mix_`` goes before them until they are not. Null and empty texts have size 0 and are taken
+    like others of their hash; null ids and sources are as in ``mix``; repeated rows stay. An empty table gives none.
+    """
     rows = C.materialize(sized(docs, "doc_id", "text", "source"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     cut = C.materialize(thresholds(rows, C.materialize(targets(sizes)))).select(F.col("source").alias("_s"), "whole", "last")
-    own = [n if n not in docs.columns else f"mix_{n}" for n in ("size", "copies")]
+    own = ["size", "copies"]
+    while set(own) & set(docs.columns):
+        own = [f"mix_{n}" if n in docs.columns else n for n in own]
     at = C.pack(docs).withColumns({"h": F.substring(F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))), 1, DIGITS), "n": F.coalesce(F.regexp_count(F.col("row.text"), F.lit(C.WORD)), F.lit(0)).cast("long")})
     copies = (F.col("whole") + F.coalesce((F.col("h") <= F.col("last")).cast("int"), F.lit(0))).cast("long")
     return at.join(cut, F.col("row.source").eqNullSafe(F.col("_s"))).withColumn("copies", copies).filter("copies > 0").select("row.*", F.col("n").alias(own[0]), F.col("copies").alias(own[1]))
