@@ -224,29 +224,39 @@ def cross_fit(texts: list[str], toxic: list[int], seed: int = 11) -> list[tuple[
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model of the bounded sample, with the cut of each language set on all labelled rows outside the held-out fold."""
-    texts, toxic = labelled_sample(docs, labels, "toxic", TRAIN_DOCS, TRAIN_CHARS, lambda i: ~held_out(i))
-    model = train(texts, toxic)
-    return model | {"cut": cuts(cross_fit(texts, toxic) + beyond(docs, labels, model))}
+    model, hist = _trained(docs, labels)
+    return model | {"cut": cuts(hist + beyond(raw(docs, model), labels))}
 
 
-def beyond(docs: DataFrame, labels: DataFrame, model: dict) -> list[tuple[int, int, int, int]]:
-    """(language, bin of the logit, label, rows) of all labelled rows that are neither held out nor in the sample.
+def _trained(docs: DataFrame, labels: DataFrame) -> tuple[dict, list]:
+    texts, toxic = labelled_sample(docs, labels, "toxic", TRAIN_DOCS, TRAIN_CHARS, lambda i: ~held_out(i))
+    return train(texts, toxic), cross_fit(texts, toxic)
 
-    Only this histogram, of bounded size, reaches the driver.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang int, bin int")
-    def binned(t: pd.Series) -> pd.DataFrame:
+def raw(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, z, lang): logit and guessed language of each row, before any cut."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x DIM floats and the filters
+
+    @F.pandas_udf("z double, lang int")
+    def scored(t: pd.Series) -> pd.DataFrame:
         z, lang = logits(C.clean(t), sent.value)
-        return pd.DataFrame({"lang": lang.astype(np.int32), "bin": _bins(z)})
+        return pd.DataFrame({"z": z, "lang": lang.astype(np.int32)})
+
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), scored(F.col(f"`{text_col}`")).alias("r")).select("doc_id", "r.z", "r.lang")
+
 
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y"))
-    known = known.filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id")))
+def beyond(scored: DataFrame, labels: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(language, bin of the logit, label, rows) of all labelled rows that are neither held out nor in the sample.
+
+    Logits are joined with labels, never texts; only this histogram, of bounded size, reaches the driver.
+    """
+    known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y"))
+    known = known.filter("i is not null and y is not null").filter(~held_out(F.col("i")))
     # the sample is the first rows in hash order
-    last = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    rows = docs.select("doc_id", "text").join(known.filter(F.xxhash64("doc_id") > F.lit(last)), "doc_id").select("y", binned("text").alias("b"))
-    return [(r.lang, r.bin, r.y, r.n) for r in rows.groupBy("b.lang", "b.bin", "y").agg(F.count("*").alias("n")).orderBy("lang", "bin", "y").collect()]
+    last = known.select(F.xxhash64("i").alias("h")).orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+    at = F.floor(F.greatest(F.least("z", F.lit(40.0)), F.lit(-40.0)) / STEP).cast("int")
+    rows = scored.select("doc_id", "lang", at.alias("bin")).join(known.filter(F.xxhash64("i") > F.lit(last)), F.col("doc_id") == F.col("i"))
+    return [(r.lang, r.bin, r.y, r.n) for r in rows.groupBy("lang", "bin", "y").agg(F.count("*").alias("n")).orderBy("lang", "bin", "y").collect()]
 
 
 def cuts(hist: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -274,22 +284,25 @@ def _best_cut(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     return float((at[k] + (at[k + 1] if k + 1 < len(at) else at[k] - 1)) / 2)
 
 
+def rated(scored: DataFrame, cut: np.ndarray) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of rows (doc_id, z, lang)."""
+    z = F.col("z") - F.element_at(F.array(*[F.lit(float(c)) for c in cut]), F.col("lang") + 1)
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def rate_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row.
 
     Null and empty texts pool to zero and get that score. Only the text is scored. Repeated rows give repeated
-    results; a null id stays null and is not held out. An empty table gives none.
+    results; a null id stays null and is not held out. Other columns are not read. An empty table gives none.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x DIM floats and the filters
-
-    @F.pandas_udf("double")
-    def scored(t: pd.Series) -> pd.Series:
-        return pd.Series(score(C.clean(t), sent.value).astype(np.float64))
-
-    out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), scored(F.col(text_col)).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rated(raw(docs, model, id_col, text_col), model["cut"])
 
 
 def op6_text_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
-    return rate_toxicity(docs, fit(docs, C.table(spark, sf_dir, "labels")))
+    """Texts are scored once, into a narrow table from which the cuts are set and the result is made."""
+    docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
+    model, hist = _trained(docs, labels)
+    scored = C.materialize(raw(docs, model))
+    return rated(scored, cuts(hist + beyond(scored, labels)))
