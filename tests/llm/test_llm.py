@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from krathong.llm import components, decontaminate, entry, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, warc_derive
+from krathong.llm import components, decontaminate, entry, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,10 +120,11 @@ def test_groups_equal_brute_force(spark, real):
     assert groups(docs_of(spark, [])) == []
 
 
-@pytest.mark.parametrize("run", [4, 1024])
-def test_links_of_clusters(spark, monkeypatch, run):
-    """Tight clusters, with runs that fit a task and with runs that are cut into chunks."""
+@pytest.mark.parametrize(("run", "sample"), [(4, 64), (4, 2), (1024, 64)])
+def test_links_of_clusters(spark, monkeypatch, run, sample):
+    """Tight clusters, with runs that fit a task, runs that are cut into chunks, and variants known to be hot beforehand."""
     monkeypatch.setattr(simhash_dedup, "RUN", run)
+    monkeypatch.setattr(simhash_dedup, "SAMPLE", sample)
     rng = np.random.default_rng(3)
     fps = []
     for c in rng.integers(0, 2**63, 3).tolist():
@@ -180,16 +181,42 @@ def test_secrets_equal_brute_force(spark, real):
         assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == brute_spans(texts[r.doc_id])
 
 
-def test_only_unseen_blobs_are_scanned(spark):
+def test_only_unseen_pairs_are_scanned(spark, monkeypatch):
     first = docs_of(spark, SECRETS[:3])
     ledger = secret_scan.update_ledger(first, None, "doc_id")
     both = docs_of(spark, SECRETS[:4] + SECRETS[:1])
     new = secret_scan.update_ledger(both, ledger, "doc_id")
     assert ledger.count() == 3 and new.count() == 1
     found = secret_scan.findings(both, ledger.unionAll(new), "doc_id").collect()
-    assert len(found) == 5 and all(r.spans is not None for r in found)
-    old = ledger.withColumn("rule_version", F.lit("0"))
-    assert secret_scan.update_ledger(first, old, "doc_id").count() == 3
+    assert len(found) == 5 and all(r.spans is not None and r.rules == sorted(secret_scan.rule_names()) for r in found)
+    assert sorted(map(repr, secret_scan.secret_scan(both, ledger=ledger).collect())) == sorted(map(repr, secret_scan.secret_scan(both).collect()))
+    # one rule gets a new version: only that rule runs again, and its old findings go
+    rules = [(k, v + (k == "hex"), p.replace("{16,}", "{18,}") if k == "hex" else p, n, h) for k, v, p, n, h in secret_scan.RULES]
+    monkeypatch.setattr(secret_scan, "RULES", rules)
+    again = secret_scan.update_ledger(both, ledger.unionAll(new), "doc_id")
+    assert [r.rules for r in again.collect()] == [["hex@3"]] * 4
+    merged = secret_scan.findings(both, ledger.unionAll(new).unionAll(again).unionAll(again), "doc_id").collect()
+    alone = secret_scan.findings(both, secret_scan.update_ledger(both, None, "doc_id"), "doc_id").collect()
+    assert sorted(map(repr, merged)) == sorted(map(repr, alone)) and "hex@3" in merged[0].rules
+
+
+def test_ledger_store(spark, tmp_path):
+    store = secret_scan.Ledger(spark, str(tmp_path / "ledger"))
+    first, both = docs_of(spark, SECRETS[:3]), docs_of(spark, SECRETS + ODD)
+    assert [store.update(d, "doc_id").count() for d in (first, first, both, both)] == [3, 0, len(set(SECRETS) - set(SECRETS[:3])) + len({t or "" for t in ODD}), 0]
+    got = secret_scan.digest(store.findings(both, "doc_id"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, secret_scan.secret_scan(both).collect()))
+
+
+def test_secrets_of_odd_tables(spark):
+    many = " ".join(f"password=abcdefghij{i:05d}" for i in range(3000))
+    rows = [(None, many, "b", 1, "s"), (None, many, "b", 1, "s"), ("x", None, "b", 1, "s")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, blob string, rules int, spans string")
+    got = secret_scan.secret_scan(df).collect()
+    assert sorted((r.doc_id or "", r.n_assign) for r in got) == [("", 3000), ("", 3000), ("x", 0)] and got[0].base_sha256 in {brute_spans(many)[1], brute_spans("")[1]}
+    assert secret_scan.secret_scan(df.limit(0)).count() == 0 == secret_scan.redact(df.limit(0)).count()
+    masked = secret_scan.redact(df)
+    assert masked.columns == df.columns and sorted((r.text or "")[:17] for r in masked.collect()) == ["", "[secret] [secret]", "[secret] [secret]"]
 
 
 def test_redaction(spark):
@@ -301,6 +328,43 @@ def test_every_print_within_the_radius_shares_a_block(fp, bits):
     assert any((a ^ b).bit_count() <= decontaminate.RADIUS // decontaminate.BLOCKS for a, b in pairs)
 
 
+def test_the_radius_holds_similar_pairs():
+    """Of random pairs of windows with a similarity of 0.8 or more, hardly any differ in more bits than the radius; none is lost otherwise."""
+    rng = np.random.default_rng(7)
+    seen = within = found = 0
+    for _ in range(1500):
+        n = int(rng.integers(12, 120))
+        a = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        b = list(a)
+        for at in rng.choice(n, rng.integers(0, 1 + max(1, n // 45)), replace=False):
+            b[at] = f"x{at}"
+        if rng.random() < 0.4:
+            cut = int(rng.integers(0, 1 + n // 12))
+            b = b[cut:] + [f"y{i}" for i in range(cut)]
+        sh = lambda s: Counter(tuple(s[i : i + 5]) for i in range(len(s) - 4))
+        x, y = sh(a), sh(b)
+        both = sum((x & y).values())
+        if both < decontaminate.SIMILARITY * (x.total() + y.total() - both):
+            continue
+        prints = [int(decontaminate.window_prints(decontaminate.shingle_hashes(w, 5), n - 4)[0]) for w in (a, b)]
+        seen += 1
+        within += (prints[0] ^ prints[1]).bit_count() <= decontaminate.RADIUS
+        found += bool(decontaminate.Index([(1, " ".join(a))]).find(" ".join(["zz", *b, "zz"])))
+    print(seen, within, found)
+    assert seen > 700 and within >= 0.995 * seen and found >= 0.995 * seen
+
+
+def test_many_items_of_one_length_are_found_alike(monkeypatch):
+    """By the index and one by one."""
+    rng = np.random.default_rng(8)
+    items = [(i, "common opening words of all " + " ".join(f"w{x}" for x in rng.integers(0, 400, 30))) for i in range(300)]
+    index = decontaminate.Index(items)
+    texts = [items[5][1] + " tail", "head " + items[9][1] + " " + items[11][1], items[3][1].replace("common", "usual")]
+    got = [index.find(t) for t in texts]
+    monkeypatch.setattr(decontaminate, "FEW", 10**9)
+    assert [index.find(t) for t in texts] == got and [sorted(i for i, *_ in g) for g in got] == [[5], [9, 11], [3]]
+
+
 # ---- classifiers
 
 
@@ -369,45 +433,6 @@ def test_extract_pages_rows(spark):
     assert [r.n_chars for r in rows] == [0, 0, 4 * 20_000 - 1]
 
 
-# ---- WARC
-
-
-def test_derivatives_link_and_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a/", "<title>T &amp; t</title><p>Hi&nbsp;<b>you</b></p><a href='/x'>l</a>"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
-    src = warc_derive.responses(pages)
-    resp = {r.record_id: r for r in src.collect()}
-    rows = warc_derive.derive(src, "page_id").collect()
-    assert len(rows) == 6 and {r.record_type for r in rows} == {"conversion", "metadata"}
-    for r in rows:
-        assert r.refers_to in resp and r.date == warc_derive.DATE and r.block_digest == warc_derive.sha1(bytes(r.block))
-        body = bytes(resp[r.refers_to].block).split(b"\r\n\r\n", 1)[1]
-        assert r.payload_digest == warc_derive.sha1(body)
-    one = {r.record_type: r for r in rows if r.page_id == 1}
-    assert bytes(one["conversion"].block).decode() == "Hi you\nl"
-    meta = bytes(one["metadata"].block).decode()
-    assert f"conversion-record: {one['conversion'].record_id}" in meta and "title: T & t" in meta and "outlink: /x" in meta
-    file = tmp_path / "x.warc"
-    file.write_bytes(b"".join(warc_derive.serialize(r.asDict()) for r in rows))
-    back = warc_derive.read_warc(spark, str(file)).collect()
-    assert [(r.record_id, r.refers_to, bytes(r.block)) for r in back] == [(r.record_id, r.refers_to, bytes(r.block)) for r in rows]
-    assert warc_derive.derive(src.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("<p>one</p><svg class=i /><p>two</p><p>three</p>", "one\ntwo\nthree"),
-        ("<p>one</p><svg/><p>two</p><SVG a=b><text>x</text></svg><p>three</p>", "one\ntwo\nthree"),
-        ("<p>one</p><svg><p>two</p><template><noscript><title>three", "one\ntwo\nthree"),
-        ("<title>t</title><!-- <p>c</p> --><p>one<noscript>n</noscript></p><script>var a='</p>';</script><style>s</style>two<!-- to the end", "one\ntwo"),
-        ("one<script>var a", "one"),
-        ("<p>x</p><svg>" * 20_000, "\n".join("x" * 20_000)),
-    ],
-)
-def test_plain_text_of_open_elements(page, want):
-    assert warc_derive.plain_text(page) == want
-
-
 # ---- the pipeline
 
 
