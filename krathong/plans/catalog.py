@@ -18,6 +18,7 @@ from ..operators import segment as G
 from ..operators import syllabic as Y
 from ..operators.tables import materialize
 from . import fixtures as D
+from . import oracles as Q
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
@@ -336,12 +337,7 @@ def syllable_split(spark, d):
     return _words(spark, d).select("word", S.extract_syllables(F.col("word")).alias("syllables"))
 
 
-def _duck_rank() -> str:
-    s = "regexp_replace(word, '(?s:.)์|[ก-ฮ][ะัาิีึืุูเแโใไๅำ]์', '', 'g')"
-    return "CASE " + " ".join(f"WHEN regexp_full_match({s}, '{S.pattern_regex(p)[1:-1]}') THEN {i + 1}" for i, (p, _, _) in enumerate(S.RANKED)) + " END"
-
-
-@query(f"WITH {_PARTS} SELECT word, {_duck_rank()} AS rank FROM {_ALL_WORDS}")
+@query(f"WITH {_PARTS}, a AS (SELECT word, {Q.silent('word')} AS s FROM {_ALL_WORDS}) SELECT word, CAST(min(rank) AS INT) AS rank FROM a LEFT JOIN (SELECT * FROM {Q.pattern_table()}) ON regexp_full_match(s, whole) GROUP BY word")
 def vowel_pattern_match(spark, d):
     return _words(spark, d).select("word", S.match_pattern(F.col("word")).alias("rank"))
 
@@ -355,17 +351,7 @@ def syllable_parse(spark, d):
     return _words(spark, d).select("word", *[c.alias(k) for k, c in parts.items()])
 
 
-_SILENT = "regexp_replace(word, '(?s:.)์|[ก-ฮ][ะัาิีึืุูเแโใไๅำ]์', '', 'g')"
-
-
-@query(f"""WITH {_PARTS}, a AS (SELECT word, {_SILENT} AS s FROM {_ALL_WORDS}), b AS (SELECT word, regexp_extract(s, '^{S.L}?') AS lead, regexp_replace(s, '^{S.L}', '') AS body FROM a),
-c AS (SELECT word, lead, body, CASE WHEN regexp_matches(body, '^อย{S.V}') THEN 'y' WHEN starts_with(body, 'สวั') THEN 'w' ELSE '' END AS kind FROM b),
-d AS (SELECT *, CASE kind WHEN 'y' THEN 'อย' WHEN 'w' THEN 'สวั' ELSE regexp_extract(body, '^{S.C}?{S.C}?') END AS head FROM c),
-e AS (SELECT *, body[length(head) + 1:] AS rest, head[1:1] AS c1, head[2:2] AS c2, map_from_entries([{', '.join(f"('{k}', '{v}')" for k, v in O.CLUSTERS.items())}])[head] AS pair,
-  map_from_entries([{', '.join(f"('{k}', '{v}')" for k, v in O.INITIAL.items())}])[head[1:1]] AS single FROM d)
-SELECT word, CASE kind WHEN 'y' THEN 'y' WHEN 'w' THEN 's' ELSE coalesce(pair, single, '') END AS initial, c1 AS initial_thai, lead,
-  (CASE WHEN kind = 'w' THEN 'วั' WHEN kind = '' AND c2 = 'ว' AND pair IS NULL THEN 'ว' ELSE '' END) || array_to_string(regexp_extract_all(rest, '[{O.VOWEL}็]'), '') AS marks,
-  coalesce(regexp_extract_all(rest, '{S.T}')[-1], '') AS tone_mark, coalesce(regexp_extract_all(rest, '{S.C}')[-1], CASE WHEN kind = '' AND pair IS NULL AND c2 <> 'ว' THEN c2 END, '') AS final FROM e""")
+@query(Q.query(_PARTS, f"todo AS (SELECT word AS piece FROM {_ALL_WORDS})", Q.components("todo", "c"), "SELECT piece AS word, initial, initial_thai, lead, marks, tone_mark, final FROM ccomp"))
 def syllable_components(spark, d):
     return _words(spark, d).withColumn("c", P.components(F.col("word"))).select("word", "c.*")
 
@@ -384,33 +370,44 @@ def _segment_lexicon(spark):
     return lex.groupBy("thai").agg(F.min_by("translit", F.struct("priority", -F.col("line_no"))).alias("translit"), F.min("priority").alias("priority"))
 
 
-_SEG = f"""RECURSIVE {_PARTS}, lx AS (SELECT thai, arg_min(translit, priority * 100 - line_no) AS translit, min(priority) AS priority FROM {D.LEX_SQL} GROUP BY thai),
-w AS (SELECT word FROM {_ALL_WORDS} WHERE word <> ''),
-h AS (SELECT word, pos, arg_max(translit, n) AS translit, arg_max(priority, n) AS priority, max(n) AS n FROM (SELECT word, pos, n, word[pos + n:] AS tail, l.translit, l.priority
-  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM w) p, (SELECT unnest(range(1, 9)) AS n) k JOIN lx l ON l.thai = p.word[p.pos:p.pos + k.n - 1] AND p.pos + k.n - 1 <= length(p.word))
-  WHERE NOT (length(tail) = 1 AND regexp_matches(tail, '[ก-ฮ]')) GROUP BY word, pos),
-r AS (SELECT word, CAST(1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS idx, '' AS piece, CAST(NULL AS VARCHAR) AS translit, '' AS tier FROM w
-  UNION ALL SELECT word, pos + n, idx + 1, word[pos:pos + n - 1], translit, CASE WHEN priority IS NULL THEN 'rule' WHEN priority = 0 THEN 'special' ELSE 'syllable' END
-  FROM (SELECT r.word, r.pos, r.idx, h.translit, h.priority, coalesce(h.n, CASE WHEN s <> '' THEN length(s) ELSE {_plain_length('word[pos:]')} END) AS n
-    FROM (SELECT word, pos, idx, regexp_extract(word[pos:], '^(?:{S.SHAPES})') AS s FROM r WHERE pos <= length(word)) r LEFT JOIN h USING (word, pos)))"""
+_LX = f"lx AS (SELECT thai, arg_min(translit, priority * 100 - line_no) AS translit, min(priority) AS priority FROM {D.LEX_SQL} GROUP BY thai)"
+_W = f"w AS (SELECT word FROM {_ALL_WORDS} WHERE word <> '')"
+_ADMITTED = """adm AS (SELECT thai, arg_max(translit, file || lpad(CAST(line_no AS VARCHAR), 9, '0')) AS translit FROM lex
+  WHERE priority = 1 AND NOT contains(thai, ' ') AND ((length(thai) <= 5 AND NOT contains(translit, '-')) OR length(thai) <= 3) GROUP BY thai),
+lay AS (SELECT thai, translit FROM adm UNION ALL SELECT thai, translit FROM lex WHERE priority = 0 AND thai NOT IN (SELECT thai FROM adm))"""
+#: Length of the longest word of the dictionary.
+_REACH = max(len(thai) for thai, _, priority, *_ in D.LEXICON if priority == 1)
 
 
-@query(f"WITH {_SEG.replace(_plain_length('word[pos:]'), _plain_length('r.word[r.pos:]'))} SELECT word, CAST(idx - 1 AS INT) AS idx, piece, translit, tier FROM r WHERE idx > 0")
+@query(Q.query(_PARTS, _LX, _W, Q.segments("w", "lx", "s", 8), "SELECT word, idx, piece, translit, tier FROM sseg"))
 def longest_match_segment(spark, d):
     return G.segment(_words(spark, d), _segment_lexicon(spark))
 
 
-@query()
+@query(Q.query(_PARTS, _LX, _W, Q.transliterated("w", "lx", "t"), "SELECT word, roman FROM ttr"))
 def transliterate_words(spark, d):
     return G.transliterate(_words(spark, d), _segment_lexicon(spark))
 
 
-@query()
+@query(Q.query(_PARTS, _LX, _W, Q.transliterated("w", "lx", "t"), "SELECT word, idx, piece, tier, roman FROM tpc"))
 def explain_word(spark, d):
     return G.explain(_words(spark, d), _segment_lexicon(spark))
 
 
-@query()
+@query(
+    Q.query(
+        _PARTS, _LEX, _ADMITTED, f"gv AS (SELECT DISTINCT word, [b, a] AS syl FROM parts), alone AS (SELECT DISTINCT word FROM {D.WORD_SQL})",
+        # a syllable that does not spell the word on from where it stands is passed over
+        "ga AS (SELECT word, syl, 0 AS j, 0 AS done, CAST([] AS VARCHAR[]) AS out FROM gv WHERE word NOT IN (SELECT thai FROM dict) UNION ALL SELECT word, syl, j + 1, CASE WHEN fits THEN done + length(x) ELSE done END, CASE WHEN fits THEN list_append(out, x) ELSE out END"
+        " FROM (SELECT *, syl[j + 1] AS x, done < length(word) AND word[done + 1:done + length(syl[j + 1])] = syl[j + 1] AS fits FROM ga WHERE j < len(syl)))",
+        "gd AS (SELECT word, syl, out, done >= length(word) AND len(out) > 0 AS covered FROM ga WHERE j = len(syl)), rest AS (SELECT word FROM alone UNION SELECT word FROM gd WHERE NOT covered)",
+        Q.by_syllables("rest", "dict", "lay", "b"),
+        "gp AS (SELECT word, unnest(out) AS piece, unnest(range(len(out))) AS idx FROM gd WHERE covered), gt AS (SELECT DISTINCT piece FROM gp)",
+        Q.components("gt", "g"),
+        "SELECT word, syl AS syllables, string_agg(coalesce(l.translit, c.roman), '' ORDER BY idx) AS roman FROM gd JOIN gp USING (word) LEFT JOIN lay l ON l.thai = piece LEFT JOIN gcomp c USING (piece) WHERE covered GROUP BY word, syl"
+        " UNION ALL SELECT word, syl, roman FROM gd JOIN bbs USING (word) WHERE NOT covered UNION ALL SELECT word, syl, translit FROM gv JOIN dict ON thai = word UNION ALL SELECT word, NULL, roman FROM alone JOIN bbs USING (word)",
+    )
+)
 def words_by_syllables(spark, d):
     """Both halves of each part name as the syllables given for the whole."""
     words = _halves(spark, d).select("word", F.array("b", "a").alias("syllables")).unionAll(_v(spark, D.WORD_SQL).select("word", F.lit(None).cast("array<string>").alias("syllables")))
@@ -418,7 +415,13 @@ def words_by_syllables(spark, d):
     return Y.by_syllables(words, _dict(spark), K.last_wins(lex.filter("priority = 1").filter(K.admit_syllable(F.col("thai"), F.col("translit")))), lex.filter("priority = 0"))
 
 
-@query()
+@query(
+    Q.query(
+        _PARTS, _LEX, _LX, "hw AS (SELECT DISTINCT unnest([a, b]) AS word FROM parts), un AS (SELECT word FROM hw WHERE word NOT IN (SELECT thai FROM dict))", Q.transliterated("un", "lx", "t"),
+        "rw AS (SELECT thai AS word, translit AS roman FROM dict UNION ALL SELECT word, roman FROM ttr)",
+        "SELECT p_partkey, y.roman || '-' || x.roman AS roman FROM parts JOIN rw x ON x.word = a JOIN rw y ON y.word = b",
+    )
+)
 def sentence_pipeline(spark, d):
     """Every part name romanized: distinct words once, joined back to all parts."""
     h = _halves(spark, d)
@@ -543,19 +546,46 @@ def _lines_of_parts(spark, d):
     return h.select(F.col("p_size").cast("string").alias("file"), F.col("p_partkey").alias("line_no"), text.alias("text"))
 
 
-@query()
+_LINES = """lines AS (SELECT CAST(p_size AS VARCHAR) AS file, p_partkey AS line_no, CASE p_partkey % 6 WHEN 0 THEN '# ' || a WHEN 1 THEN b || ' ' || a WHEN 2 THEN '' WHEN 3 THEN 'x' || CAST(p_size AS VARCHAR) ELSE b || a END AS text FROM parts),
+dictp AS (SELECT thai, translit, 1 AS priority FROM dict)"""
+_CHUNKS = "ck AS (SELECT text, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS nth FROM todo), cw AS (SELECT DISTINCT word FROM ck)"
+
+
+@query(
+    Q.query(
+        _PARTS, _LEX, _LX, _LINES, r"todo AS (SELECT DISTINCT text FROM lines WHERE text <> '' AND NOT starts_with(text, '#') AND regexp_matches(text, '[\x{0E00}-\x{0E7F}]'))", _CHUNKS, Q.tokenized("cw", "dictp", "k", _REACH),
+        "tw AS (SELECT DISTINCT token AS word FROM ktok WHERE token NOT IN (SELECT thai FROM dict))", Q.transliterated("tw", "lx", "t"),
+        "rw AS (SELECT thai AS token, nfc_normalize(translit) AS roman FROM dict UNION ALL SELECT word, roman FROM ttr), done AS (SELECT text, string_agg(roman, ' ' ORDER BY nth, pos) AS roman FROM ck JOIN ktok USING (word) JOIN rw USING (token) WHERE roman <> '' GROUP BY text)",
+        "SELECT file, line_no, text, coalesce(done.roman, text) AS roman, false AS fallback FROM lines LEFT JOIN done USING (text)",
+    )
+)
 def romanize_lines(spark, d):
     """Lines made of part names: headers and foreign lines stay, the rest goes word by word."""
     return N.romanize_lines(_lines_of_parts(spark, d), _dict(spark), _segment_lexicon(spark))
 
 
-@query()
+@query(
+    Q.query(
+        _PARTS, _LEX, _LINES, "todo AS (SELECT DISTINCT text FROM lines WHERE text NOT IN (SELECT thai FROM dict)), lay AS (SELECT thai, arg_min(translit, CASE priority WHEN 1 THEN '0' ELSE '1' END || translit) AS translit FROM lex GROUP BY thai)", _CHUNKS, Q.tokenized("cw", "dictp", "k", _REACH),
+        "tw AS (SELECT DISTINCT token AS word FROM ktok)", Q.by_syllables("tw", "dict", "lay", "b"),
+        "done AS (SELECT text, CASE WHEN contains(text, ' ') THEN string_agg(roman, ' ' ORDER BY nth, pos) ELSE string_agg(roman, '-' ORDER BY nth, pos) END AS roman FROM ck JOIN ktok USING (word) JOIN bbs ON bbs.word = token WHERE roman <> '' GROUP BY text)",
+        "SELECT DISTINCT text, coalesce(d.translit, done.roman, '') AS roman FROM lines LEFT JOIN dict d ON d.thai = text LEFT JOIN done USING (text)",
+    )
+)
 def romanize_sentences(spark, d):
     lex = _lex(spark)
     return N.romanize_sentences(_lines_of_parts(spark, d).select("text"), _dict(spark), lex.filter("priority = 1"), lex.filter("priority = 0"))
 
 
-@query()
+@query(
+    Q.query(
+        _PARTS, _LEX, _LX, _ADMITTED, f"pw AS (SELECT DISTINCT word, b, a FROM parts), cl AS (SELECT DISTINCT piece, {Q.silent('piece')} AS word FROM (SELECT unnest([a, b]) AS piece FROM pw)), un AS (SELECT DISTINCT word FROM cl WHERE word NOT IN (SELECT thai FROM lay) UNION SELECT word FROM {D.WORD_SQL})", Q.transliterated("un", "lx", "t"),
+        "rp AS (SELECT piece, coalesce(lay.translit, ttr.roman, '') AS roman FROM cl LEFT JOIN lay ON thai = cl.word LEFT JOIN ttr ON ttr.word = cl.word)",
+        # the repetition mark says the last part before it once more
+        "SELECT word, [b, a, 'ๆ'] AS syllables, array_to_string(list_filter([y.roman, x.roman, coalesce(nullif(x.roman, ''), y.roman)], lambda r: r <> ''), '-') AS roman, false AS fallback FROM pw JOIN rp x ON x.piece = a JOIN rp y ON y.piece = b"
+        f" UNION ALL SELECT word, NULL, roman, true FROM (SELECT DISTINCT word FROM {D.WORD_SQL}) JOIN ttr USING (word)",
+    )
+)
 def words_by_given_syllables(spark, d):
     """Part names with their halves as syllables, a repetition mark behind them, and words without syllables."""
     words = _halves(spark, d).select("word", F.array("b", "a", F.lit("ๆ")).alias("syllables")).unionAll(_v(spark, D.WORD_SQL).select("word", F.lit(None).cast("array<string>").alias("syllables")))
@@ -563,7 +593,23 @@ def words_by_given_syllables(spark, d):
     return N.by_given_syllables(words, K.last_wins(lex.filter("priority = 1").filter(K.admit_syllable(F.col("thai"), F.col("translit")))), lex.filter("priority = 0"), _segment_lexicon(spark))
 
 
-@query()
+def _fold(x: str) -> str:
+    return f"strip_accents(replace(replace({x}, '-', ''), '~', ''))"
+
+
+_BARE = "regexp_replace(expected, '<[^>]+>', '', 'g')"
+
+
+@query(
+    Q.query(
+        _LEX, _LX, "ks AS (SELECT thai, translit AS expected, regexp_replace(thai, '<[^>]+>', '', 'g') AS word FROM dict WHERE NOT contains(thai, ' ')), kw AS (SELECT DISTINCT word FROM ks)", Q.transliterated("kw", "lx", "t"),
+        "g AS (SELECT 'rules' AS mode, thai, expected, roman AS got FROM ks LEFT JOIN ttr USING (word) UNION ALL SELECT 'dictionary', ks.thai, expected, coalesce(nfc_normalize(dict.translit), roman) FROM ks LEFT JOIN dict ON dict.thai = word LEFT JOIN ttr USING (word))",
+        f"e AS (SELECT *, coalesce({_fold(_BARE)} = {_fold('got')}, false) AS ok FROM g)",
+        "f AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY thai) AS n FROM e WHERE NOT ok)",
+        "c AS (SELECT mode, count(*) FILTER (WHERE strlen(expected) <> strlen(got)) AS length_errors, count(*) FILTER (WHERE strlen(expected) = strlen(got) AND strip_accents(expected) = strip_accents(got)) AS tone_errors, count(*) FILTER (WHERE strlen(expected) = strlen(got) AND strip_accents(expected) <> strip_accents(got)) AS other_errors FROM f WHERE n <= 50 GROUP BY mode)",
+        "SELECT mode, count(*) AS total, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, round(count(*) FILTER (WHERE ok) * 100.0 / count(*), 6) AS accuracy, coalesce(any_value(length_errors), 0) AS length_errors, coalesce(any_value(tone_errors), 0) AS tone_errors, coalesce(any_value(other_errors), 0) AS other_errors FROM e LEFT JOIN c USING (mode) GROUP BY mode",
+    )
+)
 def dictionary_test(spark, d):
     """The dictionary against the rules alone and against itself: counts and classes of the first fifty failures of each."""
     entries, lex = _dict(spark), _segment_lexicon(spark)
