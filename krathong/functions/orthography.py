@@ -7,9 +7,13 @@ INITIAL = {
     "น": "n", "บ": "b", "ป": "bp", "ผ": "p", "ฝ": "f", "พ": "p", "ฟ": "f", "ภ": "p", "ม": "m", "ย": "y", "ร": "r", "ฤ": "rʉ",
     "ล": "l", "ฦ": "lʉ", "ว": "w", "ศ": "s", "ษ": "s", "ส": "s", "ห": "h", "ฬ": "l", "อ": "", "ฮ": "h",
 }
-# Final sounds, as groups of letters.
-FINAL_GROUPS = {"k": "กขฃคฅฆ", "ng": "ง", "t": "จฉชซฌฎฏฐฑฒดตถทธศษส", "n": "ญณนรลฬ", "p": "บปผฝพฟภ", "m": "ม", "i": "ย", "o": "ว", "": "หอฮ"}
-FINAL = {c: s for s, letters in FINAL_GROUPS.items() for c in letters}
+# Final sounds.
+FINAL = {
+    "ก": "k", "ข": "k", "ฃ": "k", "ค": "k", "ฅ": "k", "ฆ": "k", "ง": "ng", "จ": "t", "ฉ": "t", "ช": "t", "ซ": "t", "ฌ": "t",
+    "ญ": "n", "ฎ": "t", "ฏ": "t", "ฐ": "t", "ฑ": "t", "ฒ": "t", "ณ": "n", "ด": "t", "ต": "t", "ถ": "t", "ท": "t", "ธ": "t",
+    "น": "n", "บ": "p", "ป": "p", "ผ": "p", "ฝ": "p", "พ": "p", "ฟ": "p", "ภ": "p", "ม": "m", "ย": "i", "ร": "n", "ล": "n",
+    "ว": "o", "ศ": "t", "ษ": "t", "ส": "t", "ห": "", "ฬ": "n", "อ": "", "ฮ": "",
+}
 # Tone classes; letters in neither are mid.
 HIGH, LOW = "ขฃฉฐถผฝศษสห", "คฅฆงชซฌญฑฒณทธนพฟภมยรลวฬฮ"
 # Clusters and their sounds; those that begin with ห take the high class.

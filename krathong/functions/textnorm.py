@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,12 +39,9 @@ def strip_bom(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Composes the romanization's alphabet: five vowels by four tone marks."""
-    for base, composed in O.PRECOMPOSED.items():
-        for form in (base, base.upper()):
-            for mark, one in zip(O.TONE_MARKS, composed):
-                c = F.replace(c, F.lit(form + mark), F.lit(one if form == base else one.upper()))
-    return c
+    """Canonical composition of any text, in the JVM. Characters below U+0300 are composed already, so most texts pass by one test."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike(r"[^\x{0}-\x{2FF}]"), composed).otherwise(c)
 
 
 def strip_tones(c: Column) -> Column:
@@ -110,10 +110,19 @@ def first_number(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(c, r"\d+", 0).try_cast("int"), F.lit(0))
 
 
-def unescape_xml(c: Column) -> Column:
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    return c
+def unescape_html(c: Column) -> Column:
+    """Character references of all kinds, named and numbered. For vocabulary files, which are small; nulls stay null."""
+
+    @F.pandas_udf("string")
+    def unescaped(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: html.unescape(v) if isinstance(v, str) else None)
+
+    return unescaped(c)
+
+
+def verdict(a: Column, b: Column) -> Column:
+    """OK or FAIL: whether two texts are equal; a null equals nothing."""
+    return F.when(a == b, "OK").otherwise("FAIL")
 
 
 def byte_and_char_length(c: Column) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.textnorm import collapse, contains_digit, fold_separators, has_precomposed, normalize, split_words, strip_markers, strip_tones
+from ..functions.textnorm import collapse, contains_digit, fold_separators, has_precomposed, normalize, split_words, strip_bom, strip_markers, strip_tones, verdict
 
 
 def greedy_matches(expected: Column, got: Column) -> Column:
@@ -16,9 +16,13 @@ def greedy_matches(expected: Column, got: Column) -> Column:
     return F.aggregate(expected, F.struct(F.lit(1).alias("i"), F.lit(0).alias("m")), step, lambda s: s["m"])
 
 
-def usable(inp: Column, expected: Column) -> Column:
-    """Lines that count: not empty, no subtitle header, no digits, no precomposed accents in the golden text, no repetition mark."""
-    return F.coalesce(collapse(inp) != "", F.lit(False)) & (normalize(expected) != "") & ~is_header(inp) & ~contains_digit(inp) & ~has_precomposed(expected) & ~inp.contains("ๆ")
+def usable(inp: Column, expected: Column, by_rules: bool = False) -> Column:
+    """Lines that count: not empty, no subtitle header, no digits, no precomposed accents in the golden text, no repetition mark.
+
+    ``by_rules``: the shorter chain of the run without a dictionary, which keeps lines with such accents and marks.
+    """
+    kept = F.coalesce(collapse(inp) != "", F.lit(False)) & (normalize(expected) != "") & ~is_header(inp) & ~contains_digit(inp)
+    return kept if by_rules else kept & ~has_precomposed(expected) & ~inp.contains("ๆ")
 
 
 def is_header(inp: Column) -> Column:
@@ -44,18 +48,24 @@ def accuracy(passed: Column) -> list[Column]:
 
 
 def dictionary_results(dictionary: DataFrame, romanized: DataFrame) -> DataFrame:
-    """(thai, expected, got, passed) of each entry without a space; ``romanized`` holds (word, roman) of the keys without markers."""
+    """(thai, expected, got, passed, verdict) of each entry without a space; ``verdict`` says whether both are equal as written; ``romanized`` holds (word, roman) of the keys without markers."""
     d = dictionary.filter(~F.col("thai").contains(" ")).select("thai", F.col("translit").alias("expected"), strip_markers(F.col("thai")).alias("_w"))
     rows = d.join(romanized.select(F.col("word").alias("_w"), F.col("roman").alias("got")), "_w", "left")
-    return rows.select("thai", "expected", "got", F.coalesce(tone_blind_equal(strip_markers(F.col("expected")), F.col("got")), F.lit(False)).alias("passed"))
+    return rows.select("thai", "expected", "got", F.coalesce(tone_blind_equal(strip_markers(F.col("expected")), F.col("got")), F.lit(False)).alias("passed"), verdict(F.col("expected"), F.col("got")).alias("verdict"))
 
 
-def corpus_results(pairs: DataFrame) -> DataFrame:
+def corpus_results(pairs: DataFrame, by_rules: bool = False) -> DataFrame:
     """(name, line_no, input, expected, got, correct, matched, words) of each usable line of (name, line_no, input, expected, got).
 
     ``got`` null: the line could not be romanized, a fallback; it counts as a line but its words do not.
+    ``by_rules``: the run without a dictionary. A mark of byte order goes from the input first, the chain of
+    filters is shorter, and lines that could not be romanized do not count at all.
     """
-    rows = pairs.filter(usable(F.trim("input"), F.col("expected"))).withColumn("e", normalize(F.col("expected"))).withColumn("g", normalize(F.col("got")))
+    inp = strip_bom(F.trim("input")) if by_rules else F.trim("input")
+    rows = pairs.filter(usable(inp, F.col("expected"), by_rules))
+    if by_rules:
+        rows = rows.filter("got is not null")
+    rows = rows.withColumn("e", normalize(F.col("expected"))).withColumn("g", normalize(F.col("got")))
     rows = rows.withColumn("ew", split_words(F.col("e"))).withColumn("gw", split_words(F.col("g")))
     return rows.select("name", "line_no", "input", "expected", "got", F.coalesce(F.col("e") == F.col("g"), F.lit(False)).alias("correct"), greedy_matches(F.col("ew"), F.col("gw")).alias("matched"), F.when(F.col("got").isNotNull(), F.size("ew")).alias("words"))
 

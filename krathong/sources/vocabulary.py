@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.textnorm import strip_bom, unescape_xml
+from ..functions.textnorm import strip_bom, unescape_html
 from ..operators.evaluate import pair_lines
 
 
@@ -19,11 +19,22 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, gloss, thai, translit) of every line ``gloss,thai,translit,...``; the gloss may hold commas."""
     rows = _lines(spark, path).withColumn("tail", F.regexp_extract("line", r"(.*),(.*\p{IsThai}.*)", 2)).filter("tail <> ''")
     cells = F.split("tail", ",")
-    return rows.select("file", "line_no", F.regexp_extract("line", r"(.*),(.*\p{IsThai}.*)", 1).alias("gloss"), unescape_xml(F.get(cells, F.lit(0))).alias("thai"), unescape_xml(F.coalesce(F.get(cells, F.lit(1)), F.lit(""))).alias("translit"))
+    return rows.select("file", "line_no", F.regexp_extract("line", r"(.*),(.*\p{IsThai}.*)", 1).alias("gloss"), unescape_html(F.get(cells, F.lit(0))).alias("thai"), unescape_html(F.coalesce(F.get(cells, F.lit(1)), F.lit(""))).alias("translit"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
 
 
 def read_secondary(spark: SparkSession, path: str) -> DataFrame:
-    """(thai, translit) of tab-separated lines; blank lines, # comments and half-empty rows are dropped."""
+    """(thai, translit, file, line_no) of tab-separated lines; blank lines, # comments and half-empty rows are dropped.
+
+    A file that is not there is an empty lexicon.
+    """
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "thai string, translit string, file string, line_no int")
     lines = _lines(spark, path).select(F.trim("line").alias("line"), "file", "line_no").filter("line <> '' and not startswith(line, '#')")
     cells = F.split("line", "\t", 2)
     return lines.select(F.trim(F.get(cells, F.lit(0))).alias("thai"), F.trim(F.get(cells, F.lit(1))).alias("translit"), "file", "line_no").filter("thai <> '' and translit <> ''")
