@@ -30,13 +30,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node in a link; ``root`` is the least node of its component.
 
     ``edges`` has columns u and v of one orderable type. Self links, repeated and reversed links are
-    fine; a null end drops the link. Every round is written to the shared folder. Rounds go on until a round
-    changes nothing: each points nodes to lesser ones, so they end; in practice their number is logarithmic.
+    fine; a null end drops the link. Every round is written to the shared folder. Rounds go on until every link
+    points to a node that points to none: each round points nodes to lesser ones, so they end; in practice their number
+    is logarithmic.
     """
     now = C.materialize(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = lambda d: tuple(d.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before, after = None, state(now)
-    while after[0] and after != before:
+    while not _settled(now):
         now = C.materialize(_star(_star(now, True), False))
-        before, after = after, state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether no node has two links to lesser ones and none that is linked to links on: each node is counted by how it stands."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").limit(1).count() == 0

@@ -241,7 +241,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _named(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """(fp, root) of each fingerprint, and (r, component_id) of each root: the least doc_id of its component."""
-    nodes = C.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return named, named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
