@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _coded(x):
+    if isinstance(x, np.ndarray):
+        return {"type": str(x.dtype), "shape": x.shape, "data": base64.b64encode(np.ascontiguousarray(x).tobytes()).decode()}
+    return [_coded(v) for v in x] if isinstance(x, (list, tuple)) else {k: _coded(v) for k, v in x.items()} if isinstance(x, dict) else x.item() if isinstance(x, np.generic) else x
+
+
+def _decoded(x):
+    if isinstance(x, dict) and set(x) == {"type", "shape", "data"}:
+        return np.frombuffer(base64.b64decode(x["data"]), x["type"]).reshape(x["shape"]).copy()
+    return [_decoded(v) for v in x] if isinstance(x, list) else {k: _decoded(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+
+def save_model(spark: SparkSession, model: dict, path: str) -> None:
+    """Keeps a fitted model (arrays, numbers and lists of them) as a one-row table, so that later runs need not fit again."""
+    spark.createDataFrame([(json.dumps(_coded(model)),)], "model string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    return _decoded(json.loads(spark.read.parquet(path).first()[0]))
+
+
 def pack(df: DataFrame) -> DataFrame:
     """Each row as one struct column ``row``: what is added beside it cannot clash with the table's own columns."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

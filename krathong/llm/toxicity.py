@@ -189,7 +189,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 11, epochs: int = 6, b
             out -= rate * g_out / np.sqrt(memory["out"])
             memory["b"] += g_bias**2
             bias -= rate * g_bias / np.sqrt(memory["b"])
-    return model | {"bias": bias}
+    return model | {"bias": float(bias)}
 
 
 def logits(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from krathong.llm import components, decontaminate, mixing, quality_rank, quality_rules, simhash_dedup
+from krathong.llm import components, decontaminate, mixing, quality_rank, quality_rules, simhash_dedup, toxicity, transcripts
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977} filler." for i in range(60_000))
@@ -44,6 +44,14 @@ def test_quality_rules(spark, docs, labels):
     assert quality_rules.measure([GOOD * 8, ""], untrained).content_share.tolist() == [1.0, 0.0]
 
 
+def test_models_are_kept(spark, docs, labels, tmp_path):
+    texts = [r.text or "" for r in docs.limit(40).collect()]
+    convs = spark.read.parquet(f"{SF}/conversations.parquet")
+    for k, (model, judge) in enumerate([(quality_rules.fit(docs, labels), lambda m: quality_rules.measure(texts, m).content_share.tolist()), (quality_rank.fit(docs, labels), lambda m: quality_rank.score(texts, m).tolist()), (toxicity.fit(docs, labels), lambda m: toxicity.score(texts, m).tolist()), (transcripts.fit(convs), lambda m: [transcripts.parse(t, m) for t in texts])]):
+        quality_rules.C.save_model(spark, model, str(tmp_path / str(k)))
+        assert judge(quality_rules.C.load_model(spark, str(tmp_path / str(k)))) == judge(model)
+
+
 def test_verdict_by_hand(docs, labels):
     """kept is what Viterbi's labels say by the share of words, decoded here by comparing all paths of short texts."""
     model = quality_rules.fit(docs, labels)
