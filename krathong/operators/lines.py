@@ -23,6 +23,11 @@ def _joined(pairs: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.filter(parts, lambda x: x.isNotNull() & (x != "")).alias("parts"))
 
 
+def real_tokens(tokens: Column) -> Column:
+    """Without those that hold nothing but spaces."""
+    return F.filter(tokens, lambda t: F.trim(t) != "")
+
+
 #: Parts tokens while they are one string; a run without spaces holds none.
 _SEP = "\n"
 

@@ -17,6 +17,7 @@ from ..operators import lines as N
 from ..operators import segment as G
 from ..operators import syllabic as Y
 from ..operators.tables import materialize
+from ..sources import vocabulary as R
 from . import fixtures as D
 from . import oracles as Q
 
@@ -622,3 +623,77 @@ def dictionary_test(spark, d):
         one = one.select(F.lit(mode).alias("mode"), "*")
         out = one if out is None else out.unionAll(one)
     return out
+
+
+# ---- files and lines -----------------------------------------------------------------------------
+
+_VOCABULARY = f"""SELECT file, line_no, CASE line_no % 3 WHEN 0 THEN concat('to go, to come,', thai, ',', translit) WHEN 1 THEN concat('one | two,', thai, ',', translit, ',slang,n,a > b') ELSE concat('n&lt;x&gt;,&lt;n&gt;', thai, ',', translit) END AS line FROM {D.LEX_SQL}
+UNION ALL SELECT 'orders.txt', CAST(o_orderkey AS INT), CASE o_orderkey % 3 WHEN 0 THEN 'no word here, none' WHEN 1 THEN concat('gloss ', CAST(o_orderkey AS STRING), ',มา', CAST(o_custkey % 10 AS STRING), ',maa') ELSE 'มา without comma' END FROM orders"""
+_FIELDS = r"'(.*),(.*\p{Thai}.*)'"
+
+
+@query(
+    f"""SELECT file, line_no, gloss, replace(replace(cells[1], '&lt;', '<'), '&gt;', '>') AS thai, replace(replace(coalesce(cells[2], ''), '&lt;', '<'), '&gt;', '>') AS translit
+FROM (SELECT file, line_no, regexp_extract(line, {_FIELDS}, 1) AS gloss, string_split(regexp_extract(line, {_FIELDS}, 2), ',') AS cells FROM ({_VOCABULARY}) WHERE regexp_matches(line, {_FIELDS}))"""
+)
+def vocabulary_scan(spark, d):
+    return R.vocabulary_rows(_orders(spark, d, _VOCABULARY))
+
+
+_SECONDARY = "SELECT 'o.tsv' AS file, o_orderkey AS line_no, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN '# note' WHEN 2 THEN concat(' มา', CAST(o_custkey AS STRING), chr(9), ' maa', chr(9), 'x ') WHEN 3 THEN concat('นก', chr(9)) WHEN 4 THEN 'no tab' ELSE concat('นก', chr(9), 'nók') END AS line FROM orders"
+
+
+@query(
+    f"""SELECT thai, translit, file, line_no FROM (SELECT file, line_no, trim(line[:strpos(line, chr(9)) - 1]) AS thai, trim(line[strpos(line, chr(9)) + 1:]) AS translit
+FROM (SELECT file, line_no, trim(line) AS line FROM ({_SECONDARY})) WHERE line <> '' AND NOT starts_with(line, '#') AND contains(line, chr(9))) WHERE thai <> '' AND translit <> ''"""
+)
+def secondary_scan(spark, d):
+    return R.secondary_rows(_orders(spark, d, _SECONDARY))
+
+
+#: Lines with a mark of byte order in front and behind, and with written line breaks.
+_SUBTITLES = "SELECT o_orderkey AS line_no, concat(CASE WHEN o_orderkey % 4 = 0 THEN '﻿' ELSE '' END, 'ไป', CASE WHEN o_orderkey % 3 = 0 THEN concat(chr(92), 'N', chr(92), 'N') ELSE ' ' END, 'มา', '﻿') AS line FROM orders"
+_NO_MARK = "CASE WHEN starts_with(line, '﻿') THEN line[2:] ELSE line END"
+
+
+@query(f"SELECT line_no, replace({_NO_MARK}, chr(92) || 'N', ' ') AS text FROM ({_SUBTITLES})")
+def line_scan(spark, d):
+    return _orders(spark, d, _SUBTITLES).select("line_no", R.subtitle_line(F.col("line")).alias("text"))
+
+
+@query(f"SELECT line_no, {_NO_MARK} AS bare FROM ({_SUBTITLES})")
+def strip_bom(spark, d):
+    return _orders(spark, d, _SUBTITLES).select("line_no", X.strip_bom(F.col("line")).alias("bare"))
+
+
+@query("SELECT '[' || p_brand || ':' || p_size || '] ' || p_name || chr(10) || '  Expected: ' || p_type || chr(10) || '  Got:      ' || p_brand || chr(10) AS value FROM part")
+def failure_log(spark, d):
+    p = _t(spark, d, "part")
+    return R.failure_records(p.select(F.col("p_brand").alias("name"), F.col("p_size").alias("line_no"), F.col("p_name").alias("input"), F.col("p_type").alias("expected"), F.col("p_brand").alias("got")))
+
+
+@query("SELECT doc_id, list_filter(string_split(replace(text, '.', ' '), ' '), lambda w: trim(w) <> '') AS tokens FROM documents")
+def token_filter(spark, d):
+    return _t(spark, d, "documents").select("doc_id", N.real_tokens(F.split(F.replace("text", F.lit("."), F.lit(" ")), " ")).alias("tokens"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = l_linestatus THEN 'OK' ELSE 'FAIL' END AS verdict FROM lineitem")
+def verdicts(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.verdict(F.col("l_returnflag"), F.col("l_linestatus")).alias("verdict"))
+
+
+@query("SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS text FROM pages")
+def character_references(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.unescape_html(F.col("html")).alias("text"))
+
+
+@query(
+    f"""WITH RECURSIVE u AS (SELECT line_no AS k, {_duck_normalize('expected')} AS x, {_duck_normalize('got')} AS y FROM ({_CORPUS})
+  WHERE trim(input) <> '' AND {_duck_normalize('expected')} <> '' AND NOT (starts_with(input, '#') AND contains(input, 'Aegisub')) AND NOT regexp_matches(input, '[0-9]') AND got IS NOT NULL),
+{_greedy_oracle(f"SELECT k, {_DUCK_WORDS.format('x')} AS e, {_DUCK_WORDS.format('y')} AS o FROM u").removeprefix('RECURSIVE ')},
+w AS (SELECT sum(m) AS m, sum(len(e)) AS n FROM g WHERE j = len(e)), l AS (SELECT count(*) AS n, count(*) FILTER (WHERE x = y) AS ok FROM u)
+SELECT l.n AS lines, ok AS lines_correct, CAST(0 AS BIGINT) AS fallbacks, w.n AS words, m AS matched, round(ok * 100.0 / l.n, 6) AS line_accuracy, round(m * 100.0 / w.n, 6) AS word_accuracy FROM l, w"""
+)
+def corpus_report_by_rules(spark, d):
+    """The corpus as the run without a dictionary counts it: a shorter chain of filters."""
+    return E.corpus_report(E.corpus_results(_orders(spark, d, _CORPUS), by_rules=True))

@@ -15,13 +15,17 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("line_no", F.col("line_no") + 1).withColumn("line", F.regexp_replace("line", "\r$", ""))
 
 
-def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, gloss, thai, translit) of every line ``gloss,thai,translit,...``; the gloss may hold commas."""
-    rows = _lines(spark, path).withColumn("tail", F.regexp_extract("line", r"(.*),(.*\p{IsThai}.*)", 2)).filter("tail <> ''")
+def vocabulary_rows(lines: DataFrame) -> DataFrame:
+    """(file, line_no, gloss, thai, translit) of every line ``gloss,thai,translit,...`` of (file, line_no, line); the gloss may hold commas."""
+    rows = lines.withColumn("tail", F.regexp_extract("line", r"(.*),(.*\p{IsThai}.*)", 2)).filter("tail <> ''")
     cells = F.split("tail", ",")
     return rows.select("file", "line_no", F.regexp_extract("line", r"(.*),(.*\p{IsThai}.*)", 1).alias("gloss"), unescape_html(F.get(cells, F.lit(0))).alias("thai"), unescape_html(F.coalesce(F.get(cells, F.lit(1)), F.lit(""))).alias("translit"))
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return vocabulary_rows(_lines(spark, path))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
@@ -35,15 +39,25 @@ def read_secondary(spark: SparkSession, path: str) -> DataFrame:
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], "thai string, translit string, file string, line_no int")
-    lines = _lines(spark, path).select(F.trim("line").alias("line"), "file", "line_no").filter("line <> '' and not startswith(line, '#')")
+    return secondary_rows(_lines(spark, path))
+
+
+def secondary_rows(lines: DataFrame) -> DataFrame:
+    """(thai, translit, file, line_no) of tab-separated lines (file, line_no, line), both sides trimmed."""
+    lines = lines.select(F.trim("line").alias("line"), "file", "line_no").filter("line <> '' and not startswith(line, '#')")
     cells = F.split("line", "\t", 2)
     return lines.select(F.trim(F.get(cells, F.lit(0))).alias("thai"), F.trim(F.get(cells, F.lit(1))).alias("translit"), "file", "line_no").filter("thai <> '' and translit <> ''")
 
 
+def subtitle_line(line):
+    """A written line break becomes a space, a mark of byte order goes."""
+    return F.replace(strip_bom(line), F.lit("\\N"), F.lit(" "))
+
+
 def read_corpus(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """(name, line_no, text) of files ``<name><suffix>``; a written line break becomes a space, a BOM goes."""
     rows = _lines(spark, path).filter(F.col("file").endswith(suffix))
-    return rows.select(F.expr(f"substring(file, 1, char_length(file) - {len(suffix)})").alias("name"), "line_no", F.replace(strip_bom(F.col("line")), F.lit("\\N"), F.lit(" ")).alias("text"))
+    return rows.select(F.expr(f"substring(file, 1, char_length(file) - {len(suffix)})").alias("name"), "line_no", subtitle_line(F.col("line")).alias("text"))
 
 
 def discover_corpus(spark: SparkSession, path: str, input_suffix: str, golden_suffix: str) -> DataFrame:
@@ -61,9 +75,13 @@ def discover_corpus(spark: SparkSession, path: str, input_suffix: str, golden_su
     return pairs.select("name", "line_no", F.col("text").alias("input"), "expected")
 
 
+def failure_records(failures: DataFrame) -> DataFrame:
+    """(value) of each failure (name, line_no, input, expected, got): three lines and an empty one."""
+    return failures.select(F.format_string("[%s:%d] %s\n  Expected: %s\n  Got:      %s\n", "name", "line_no", "input", "expected", "got").alias("value"))
+
+
 def write_failures(failures: DataFrame, path: str) -> None:
-    """Three lines and a blank one for each failure (name, line_no, input, expected, got)."""
-    failures.select(F.format_string("[%s:%d] %s\n  Expected: %s\n  Got:      %s\n", "name", "line_no", "input", "expected", "got").alias("value")).write.text(path)
+    failure_records(failures).write.text(path)
 
 
 def write_draft(words: DataFrame, path: str) -> None:
