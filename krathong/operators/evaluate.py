@@ -54,6 +54,14 @@ def dictionary_results(dictionary: DataFrame, romanized: DataFrame) -> DataFrame
     return rows.select("thai", "expected", "got", F.coalesce(tone_blind_equal(strip_markers(F.col("expected")), F.col("got")), F.lit(False)).alias("passed"), verdict(F.col("expected"), F.col("got")).alias("verdict"))
 
 
+def dictionary_report(results: DataFrame, n: int = 50) -> DataFrame:
+    """One row: counts and accuracy of all results, and classes of the first ``n`` failures in order of the word."""
+    counts, classes = results.agg(*accuracy(F.col("passed"))), failure_classes(first_failures(results.filter("not passed"), n, "thai"))
+    every = counts.unionByName(classes, allowMissingColumns=True)  # two rows, each null where the other counts
+    names = [*counts.columns, *classes.columns]
+    return every.agg(*[F.max(c).alias(c) for c in names])
+
+
 def corpus_results(pairs: DataFrame, by_rules: bool = False) -> DataFrame:
     """(name, line_no, input, expected, got, correct, matched, words) of each usable line of (name, line_no, input, expected, got).
 

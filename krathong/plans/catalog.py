@@ -619,8 +619,7 @@ def dictionary_test(spark, d):
     out = None
     for mode, roman in modes.items():
         rows = E.dictionary_results(entries, roman)
-        one = rows.agg(*E.accuracy(F.col("passed"))).join(E.failure_classes(E.first_failures(rows.filter("not passed"), 50, "thai")))  # one row each
-        one = one.select(F.lit(mode).alias("mode"), "*")
+        one = E.dictionary_report(rows).select(F.lit(mode).alias("mode"), "*")
         out = one if out is None else out.unionAll(one)
     return out
 
