@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node points its larger (large) or its smaller (small) neighbours at the least node around it.
 
     The minimum is partially aggregated before its shuffle. Joined back it would meet all links of a node in one task, so it is
-    repeated ``SALT`` times and the links of a node are dealt over as many tasks by their other end.
+    repeated ``SALT`` times and the links of a node are dealt over as many tasks by their other end. The hint keeps it from
+    being broadcast by a size measured before it is repeated.
     """
     if large:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
     dealt = low.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    at = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(dealt, (F.col("u") == F.col("c")) & (F.col("s") == F.col("k")))
+    at = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(dealt.hint("merge"), (F.col("u") == F.col("c")) & (F.col("s") == F.col("k")))
     out = at.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = at.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select(F.col("c").alias("u"), F.col("m").alias("v")))

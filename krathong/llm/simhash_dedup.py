@@ -209,7 +209,8 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     """Links (u, v) between distinct fingerprints that connect exactly those which chains of links within the radius connect."""
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = variants(nodes, radius)
+    # each fingerprint becomes 64 rows: dealt evenly first, as a shuffle of so small rows ends in few tasks
+    every = variants(nodes.repartition(n, "fp"), radius)
     known = hot_variants(nodes, radius)
     parts = []
     if known:
