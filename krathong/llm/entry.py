@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, toxicity, transcripts, warc_derive
+from . import decontaminate, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, toxicity, transcripts, vector_codes, warc_derive
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
             mixing.op8_mix_thresholds,
             transcripts.op9_transcript_hmm,
             decontaminate.op10_window_simhash,
+            vector_codes.op13_vector_codes,
         )
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_blob_ledger": secret_scan.ORACLE, "op8_mix_thresholds": mixing.ORACLE}
+    return {"op4_blob_ledger": secret_scan.ORACLE, "op8_mix_thresholds": mixing.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
