@@ -47,7 +47,7 @@ def integers(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.
     kept[owner[bad]] = False
     fit = kept & (length == width)
     fit[owner[np.abs(values) > LARGEST]] = False
-    return values[fit[owner]].astype(np.int64).reshape(-1, width), kept, fit
+    return values[fit[owner]].astype(np.int64).reshape(int(fit.sum()), width), kept, fit
 
 
 def cuts(width: int) -> list[tuple[int, int]]:
