@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, decontaminate, html_extract, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, toxicity, transcripts, vector_codes, warc_derive
+from . import conversation_repair, decontaminate, html_extract, jaccard_join, mixing, quality_rank, quality_rules, secret_scan, simhash_dedup, toxicity, transcripts, vector_codes, warc_derive
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
             mixing.op8_mix_thresholds,
             transcripts.op9_transcript_hmm,
             decontaminate.op10_window_simhash,
+            jaccard_join.op11_ngram_jaccard,
             conversation_repair.op12_conversation_repair,
             vector_codes.op13_vector_codes,
         )
