@@ -59,6 +59,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WHITE, " "))
 
 
+def trim_space(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, rf"^{WHITE}|{WHITE}\z", "")
+
+
 def fold_particles(c: Column) -> Column:
     """Particles whose tone is written both ways lose it, after a space."""
     for word, plain in (("mǎi", "mai"), ("mái", "mai")):

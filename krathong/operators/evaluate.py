@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.textnorm import collapse, contains_digit, fold_separators, has_precomposed, normalize, split_words, strip_bom, strip_markers, strip_tones, verdict
+from ..functions.textnorm import contains_digit, fold_separators, has_precomposed, normalize, split_words, strip_bom, strip_markers, strip_tones, trim_space, verdict
 
 
 def greedy_matches(expected: Column, got: Column) -> Column:
@@ -16,13 +16,19 @@ def greedy_matches(expected: Column, got: Column) -> Column:
     return F.aggregate(expected, F.struct(F.lit(1).alias("i"), F.lit(0).alias("m")), step, lambda s: s["m"])
 
 
-def usable(inp: Column, expected: Column, by_rules: bool = False) -> Column:
-    """Lines that count: not empty, no subtitle header, no digits, no precomposed accents in the golden text, no repetition mark.
+def skip_reason(text: Column, expected: Column, by_rules: bool = False) -> Column:
+    """Why a line does not count, null for one that does: empty, a subtitle header, digits, precomposed accents in the golden text, a repetition mark.
 
-    ``by_rules``: the shorter chain of the run without a dictionary, which keeps lines with such accents and marks.
+    White space of any kind around the input is not looked at. ``by_rules``: the shorter chain of the run without a dictionary, which keeps lines with
+    such accents and marks; behind the white space a mark of byte order goes from the input.
     """
-    kept = F.coalesce(collapse(inp) != "", F.lit(False)) & (normalize(expected) != "") & ~is_header(inp) & ~contains_digit(inp)
-    return kept if by_rules else kept & ~has_precomposed(expected) & ~inp.contains("ๆ")
+    inp = strip_bom(trim_space(text)) if by_rules else trim_space(text)
+    why = F.when(F.coalesce(inp, F.lit("")) == "", "empty").when(F.coalesce(normalize(expected), F.lit("")) == "", "empty").when(is_header(inp), "header").when(contains_digit(inp), "digit")
+    return why if by_rules else why.when(has_precomposed(expected), "precomposed").when(inp.contains("ๆ"), "repeat")
+
+
+def usable(text: Column, expected: Column, by_rules: bool = False) -> Column:
+    return skip_reason(text, expected, by_rules).isNull()
 
 
 def is_header(inp: Column) -> Column:
@@ -69,8 +75,7 @@ def corpus_results(pairs: DataFrame, by_rules: bool = False) -> DataFrame:
     ``by_rules``: the run without a dictionary. A mark of byte order goes from the input first, the chain of
     filters is shorter, and lines that could not be romanized do not count at all.
     """
-    inp = strip_bom(F.trim("input")) if by_rules else F.trim("input")
-    rows = pairs.filter(usable(inp, F.col("expected"), by_rules))
+    rows = pairs.filter(usable(F.col("input"), F.col("expected"), by_rules))
     if by_rules:
         rows = rows.filter("got is not null")
     rows = rows.withColumn("e", normalize(F.col("expected"))).withColumn("g", normalize(F.col("got")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.textnorm import WHITE, contains_thai, nfc, remove_silent, strip_bom
+from ..functions.textnorm import WHITE, contains_thai, nfc, remove_silent, strip_bom, trim_space
 from .lexicon import layered, lookup
 from .segment import cut, key_of, keyed, transliterate
 from .syllabic import by_syllables
@@ -24,8 +24,8 @@ def _joined(pairs: DataFrame, key: str, pos: str, value: str) -> DataFrame:
 
 
 def real_tokens(tokens: Column) -> Column:
-    """Without those that hold nothing but spaces."""
-    return F.filter(tokens, lambda t: F.trim(t) != "")
+    """Without those that hold nothing but white space."""
+    return F.filter(tokens, lambda t: trim_space(t) != "")
 
 
 #: Parts tokens while they are one string; a run without spaces holds none.

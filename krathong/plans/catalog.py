@@ -153,17 +153,27 @@ def precomposed_filter(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.has_precomposed(F.col("text")).alias("precomposed"))
 
 
+#: White space around a text, by a number: none, a tab, a no-break space and a space, an ideographic space before a line feed.
+_PADDED = "concat(CASE CAST({n} % 4 AS INT) WHEN 1 THEN '\t' WHEN 2 THEN '\u00a0 ' WHEN 3 THEN '\u3000\n' ELSE '' END, {x}, CASE CAST({n} % 3 AS INT) WHEN 1 THEN ' \u00a0' WHEN 2 THEN '\t' ELSE '' END)"
+#: The characters of white space as a trim of DuckDB takes them.
+_SPACES = " \t\n\x0b\x0c\r\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _trimmed(x: str) -> str:
+    return f"trim({x}, '{_SPACES}')"
+
+
+_FIRST = _PADDED.format(n="a.turn", x="CASE WHEN a.turn % 5 = 4 THEN '' WHEN a.turn % 5 = 3 THEN concat('# Aegisub ', a.text) ELSE a.text END")
+_PAIRED = f"SELECT a.conv_id, a.turn, {_FIRST} AS inp, {_PADDED.format(n='b.turn', x='b.text')} AS golden FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+
+
 @query(
-    """SELECT CASE WHEN a.text = '' OR b.text = '' THEN 'empty' WHEN starts_with(a.text, '#') AND contains(a.text, 'Aegisub') THEN 'header' WHEN regexp_matches(a.text, '[0-9]') THEN 'digit'
-  WHEN regexp_matches(b.text, '[èéêìíîòóôùúû]') THEN 'precomposed' WHEN contains(a.text, 'ๆ') THEN 'repeat' ELSE 'kept' END AS reason, count(*) AS n
-FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY 1"""
+    f"""SELECT CASE WHEN t = '' OR regexp_full_match(golden, '[\\p{{P}}\\p{{S}}{_SPACES}]*') THEN 'empty' WHEN starts_with(t, '#') AND contains(t, 'Aegisub') THEN 'header' WHEN regexp_matches(t, '[0-9]') THEN 'digit'
+  WHEN regexp_matches(golden, '[èéêìíîòóôùúû]') THEN 'precomposed' WHEN contains(t, 'ๆ') THEN 'repeat' ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT {_trimmed('inp')} AS t, golden FROM ({_PAIRED})) GROUP BY 1"""
 )
 def skip_chain_counts(spark, d):
-    c = _t(spark, d, "conversations")
-    p = c.select("conv_id", "turn", F.col("text").alias("a")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"])
-    a, b = F.col("a"), F.col("b")
-    why = F.when((a == "") | (b == ""), "empty").when(E.is_header(a), "header").when(X.contains_digit(a), "digit").when(X.has_precomposed(b), "precomposed").when(a.contains("ๆ"), "repeat").otherwise("kept")
-    return p.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
+    p = spark.sql(re.sub(r"\bconversations\b", "{conversations}", _PAIRED), conversations=_t(spark, d, "conversations"))
+    return p.groupBy(F.coalesce(E.skip_reason(F.col("inp"), F.col("golden")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS stripped FROM pages")
@@ -520,7 +530,8 @@ def corpus_pairing(spark, d):
     return E.pair_lines(side("user", "text"), side("assistant", "golden"))
 
 
-_CORPUS = f"""SELECT o_orderpriority AS name, o_orderkey AS line_no, CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN '# Exported by Aegisub 3' WHEN 2 THEN 'ไป 7' WHEN 3 THEN 'มาๆ' ELSE concat('ไป', CASE WHEN o_custkey % 2 = 0 THEN ' มา' ELSE '' END) END AS input,
+_INPUT = "CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN '# Exported by Aegisub 3' WHEN 2 THEN 'ไป 7' WHEN 3 THEN 'มาๆ' ELSE concat('ไป', CASE WHEN o_custkey % 2 = 0 THEN ' มา' ELSE '' END) END"
+_CORPUS = f"""SELECT o_orderpriority AS name, o_orderkey AS line_no, {_PADDED.format(n='o_custkey', x=_INPUT)} AS input,
   CASE o_custkey % 7 WHEN 0 THEN 'nâa' WHEN 1 THEN 'sà' WHEN 2 THEN 'nà kê' ELSE e.expected END AS expected, CASE WHEN o_orderkey % 11 = 0 THEN CAST(NULL AS STRING) WHEN o_custkey % 3 = 0 THEN e.expected ELSE e.got END AS got
 FROM orders JOIN (SELECT * FROM {D.PAIR_SQL}) e ON e.n = o_orderkey % 7 + 1"""
 _DUCK_WORDS = "list_filter(string_split({}, ' '), lambda w: w <> '' AND w <> '-')"
@@ -528,7 +539,7 @@ _DUCK_WORDS = "list_filter(string_split({}, ' '), lambda w: w <> '' AND w <> '-'
 
 @query(
     f"""WITH RECURSIVE u AS (SELECT line_no AS k, {_duck_normalize('expected')} AS x, {_duck_normalize('got')} AS y FROM ({_CORPUS})
-  WHERE trim(input) <> '' AND {_duck_normalize('expected')} <> '' AND NOT (starts_with(input, '#') AND contains(input, 'Aegisub')) AND NOT regexp_matches(input, '[0-9]') AND NOT regexp_matches(expected, '[èéêìíîòóôùúû]') AND NOT contains(input, 'ๆ')),
+  WHERE {_trimmed('input')} <> '' AND {_duck_normalize('expected')} <> '' AND NOT (starts_with({_trimmed('input')}, '#') AND contains(input, 'Aegisub')) AND NOT regexp_matches(input, '[0-9]') AND NOT regexp_matches(expected, '[èéêìíîòóôùúû]') AND NOT contains(input, 'ๆ')),
 {_greedy_oracle(f"SELECT k, {_DUCK_WORDS.format('x')} AS e, {_DUCK_WORDS.format('y')} AS o FROM u WHERE y IS NOT NULL").removeprefix('RECURSIVE ')},
 w AS (SELECT sum(m) AS m, sum(len(e)) AS n FROM g WHERE j = len(e)), l AS (SELECT count(*) AS n, count(*) FILTER (WHERE x = y) AS ok, count(*) FILTER (WHERE y IS NULL) AS f FROM u)
 SELECT l.n AS lines, ok AS lines_correct, f AS fallbacks, w.n AS words, m AS matched, round(ok * 100.0 / l.n, 6) AS line_accuracy, round(m * 100.0 / w.n, 6) AS word_accuracy FROM l, w"""
@@ -639,12 +650,12 @@ def vocabulary_scan(spark, d):
     return R.vocabulary_rows(_orders(spark, d, _VOCABULARY))
 
 
-_SECONDARY = "SELECT 'o.tsv' AS file, o_orderkey AS line_no, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN '# note' WHEN 2 THEN concat(' มา', CAST(o_custkey AS STRING), chr(9), ' maa', chr(9), 'x ') WHEN 3 THEN concat('นก', chr(9)) WHEN 4 THEN 'no tab' ELSE concat('นก', chr(9), 'nók') END AS line FROM orders"
+_SECONDARY = "SELECT 'o.tsv' AS file, o_orderkey AS line_no, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN '# note' WHEN 2 THEN concat(chr(9), 'มา', CAST(o_custkey AS STRING), '\u00a0', chr(9), ' maa', chr(9), 'x\u00a0', chr(9)) WHEN 3 THEN concat('นก', chr(9)) WHEN 4 THEN 'no tab' ELSE concat('นก', chr(9), 'nók') END AS line FROM orders"
 
 
 @query(
-    f"""SELECT thai, translit, file, line_no FROM (SELECT file, line_no, trim(line[:strpos(line, chr(9)) - 1]) AS thai, trim(line[strpos(line, chr(9)) + 1:]) AS translit
-FROM (SELECT file, line_no, trim(line) AS line FROM ({_SECONDARY})) WHERE line <> '' AND NOT starts_with(line, '#') AND contains(line, chr(9))) WHERE thai <> '' AND translit <> ''"""
+    f"""SELECT thai, translit, file, line_no FROM (SELECT file, line_no, {_trimmed('line[:strpos(line, chr(9)) - 1]')} AS thai, {_trimmed('line[strpos(line, chr(9)) + 1:]')} AS translit
+FROM (SELECT file, line_no, {_trimmed('line')} AS line FROM ({_SECONDARY})) WHERE line <> '' AND NOT starts_with(line, '#') AND contains(line, chr(9))) WHERE thai <> '' AND translit <> ''"""
 )
 def secondary_scan(spark, d):
     return R.secondary_rows(_orders(spark, d, _SECONDARY))
@@ -671,9 +682,9 @@ def failure_log(spark, d):
     return R.failure_records(p.select(F.col("p_brand").alias("name"), F.col("p_size").alias("line_no"), F.col("p_name").alias("input"), F.col("p_type").alias("expected"), F.col("p_brand").alias("got")))
 
 
-@query("SELECT doc_id, list_filter(string_split(replace(text, '.', ' '), ' '), lambda w: trim(w) <> '') AS tokens FROM documents")
+@query(f"SELECT doc_id, list_filter(string_split(replace(replace(text, '.', ' \t '), ',', ' \u00a0 '), ' '), lambda w: {_trimmed('w')} <> '') AS tokens FROM documents")
 def token_filter(spark, d):
-    return _t(spark, d, "documents").select("doc_id", N.real_tokens(F.split(F.replace("text", F.lit("."), F.lit(" ")), " ")).alias("tokens"))
+    return _t(spark, d, "documents").select("doc_id", N.real_tokens(F.split(F.replace(F.replace("text", F.lit("."), F.lit(" \t ")), F.lit(","), F.lit(" \u00a0 ")), " ")).alias("tokens"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = l_linestatus THEN 'OK' ELSE 'FAIL' END AS verdict FROM lineitem")
@@ -688,7 +699,7 @@ def character_references(spark, d):
 
 @query(
     f"""WITH RECURSIVE u AS (SELECT line_no AS k, {_duck_normalize('expected')} AS x, {_duck_normalize('got')} AS y FROM ({_CORPUS})
-  WHERE trim(input) <> '' AND {_duck_normalize('expected')} <> '' AND NOT (starts_with(input, '#') AND contains(input, 'Aegisub')) AND NOT regexp_matches(input, '[0-9]') AND got IS NOT NULL),
+  WHERE {_trimmed('input')} <> '' AND {_duck_normalize('expected')} <> '' AND NOT (starts_with({_trimmed('input')}, '#') AND contains(input, 'Aegisub')) AND NOT regexp_matches(input, '[0-9]') AND got IS NOT NULL),
 {_greedy_oracle(f"SELECT k, {_DUCK_WORDS.format('x')} AS e, {_DUCK_WORDS.format('y')} AS o FROM u").removeprefix('RECURSIVE ')},
 w AS (SELECT sum(m) AS m, sum(len(e)) AS n FROM g WHERE j = len(e)), l AS (SELECT count(*) AS n, count(*) FILTER (WHERE x = y) AS ok FROM u)
 SELECT l.n AS lines, ok AS lines_correct, CAST(0 AS BIGINT) AS fallbacks, w.n AS words, m AS matched, round(ok * 100.0 / l.n, 6) AS line_accuracy, round(m * 100.0 / w.n, 6) AS word_accuracy FROM l, w"""

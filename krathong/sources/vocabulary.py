@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.textnorm import strip_bom, unescape_html
+from ..functions.textnorm import strip_bom, trim_space, unescape_html
 from ..operators.evaluate import pair_lines
 
 
@@ -43,10 +43,10 @@ def read_secondary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def secondary_rows(lines: DataFrame) -> DataFrame:
-    """(thai, translit, file, line_no) of tab-separated lines (file, line_no, line), both sides trimmed."""
-    lines = lines.select(F.trim("line").alias("line"), "file", "line_no").filter("line <> '' and not startswith(line, '#')")
+    """(thai, translit, file, line_no) of tab-separated lines (file, line_no, line), white space of any kind trimmed from the line and from both sides."""
+    lines = lines.select(trim_space(F.col("line")).alias("line"), "file", "line_no").filter("line <> '' and not startswith(line, '#')")
     cells = F.split("line", "\t", 2)
-    return lines.select(F.trim(F.get(cells, F.lit(0))).alias("thai"), F.trim(F.get(cells, F.lit(1))).alias("translit"), "file", "line_no").filter("thai <> '' and translit <> ''")
+    return lines.select(trim_space(F.get(cells, F.lit(0))).alias("thai"), trim_space(F.get(cells, F.lit(1))).alias("translit"), "file", "line_no").filter("thai <> '' and translit <> ''")
 
 
 def subtitle_line(line):
