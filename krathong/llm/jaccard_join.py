@@ -9,9 +9,10 @@ costs about one comparison of shingles for each, not one for each pair.
 What is split over tasks. Two sets that link differ in at most a ninth of their summed sizes, D shingles. If the
 space of shingles is cut into P ranges, more than D of which hold something of one of them, some range holds exactly the same shingles of both. So
 each set is dealt by a hash of each of its ranges, and sets that share none never link. P comes from a ladder of sizes by
-the summed size; a set uses each step that a partner may have in common with it. Sets that share ranges, directly or in chains, form blocks; a block is what one tree is built over, and
-the shingles of each set travel only to its own block. Blocks of too many sets or shingles are cut into chunks, every pair of which is a
-task of its own.
+the summed size; a set uses each step that a partner may have in common with it. The sets that share a range form a run (a run that comes with many ranges
+is taken once); their points go into a tree, and a spanning forest of the pairs that its bound leaves joins runs into blocks. Shingles themselves travel only to the
+block of their set, where a tree again chooses the pairs to verify. Blocks of too many sets or shingles are cut into chunks, every pair of which is a
+task of its own, and so are runs; the work on one grows with the square of the different sets in it.
 
 Shingles and sets go by 64-bit hashes.
 """
@@ -19,7 +20,7 @@ Shingles and sets go by 64-bit hashes.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -110,16 +111,29 @@ def links_sets(overlap: int, a: int, b: int) -> bool:
     return RATIO[1] * overlap >= RATIO[0] * (a + b)
 
 
+def count_vector(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each group, with a first byte for the width of a count. A power of two of groups, so that vectors fold onto each other."""
+    groups = 1 << min(max(math.ceil(math.log2(max(len(s), 1) / 8)), 4), 8)
+    count = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    width = next(w for w in (1, 2, 4) if count.max() < 1 << 8 * w)
+    return bytes([width]) + count.astype(f"<u{width}").tobytes()
+
+
+def points_of(vectors: list[bytes]) -> np.ndarray:
+    """The vectors as rows of one array, folded to the least number of groups among them."""
+    counts = [np.frombuffer(v, f"<u{v[0]}", offset=1) for v in vectors]
+    groups = min(map(len, counts))
+    return np.stack([c.reshape(-1, groups).sum(0, dtype=np.int32) for c in counts])
+
+
 class Tree:
     """An R-tree over count vectors, packed by halving at the coordinate that varies most; upper corners and sizes by level, the leaves first."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        most = max(map(len, sets))
-        self.groups = 1 << min(max(math.ceil(math.log2(max(most, 1) / 4)), 4), 11)
-        points = np.stack([np.bincount((s & np.uint64(self.groups - 1)).astype(np.int64), minlength=self.groups) for s in sets]).astype(np.int32)
-        self.order = self._packed(points, np.arange(len(sets)))
-        self.points, self.size = points[self.order], np.array([len(sets[i]) for i in self.order])
-        at = np.arange(0, len(sets), LEAF)
+    def __init__(self, points: np.ndarray):
+        size = points.sum(1)
+        self.order = self._packed(points, np.arange(len(points)))
+        self.points, self.size = points[self.order], size[self.order]
+        at = np.arange(0, len(points), LEAF)
         self.high, self.least, self.most, self.begin = [np.maximum.reduceat(self.points, at)], [np.minimum.reduceat(self.size, at)], [np.maximum.reduceat(self.size, at)], [at]
         while len(self.high[-1]) > 1:
             up = np.arange(0, len(self.high[-1]), FAN)
@@ -152,12 +166,25 @@ class Tree:
         return at[RATIO[1] * np.minimum(self.points[at], point).sum(1) >= RATIO[0] * (n + self.size[at])]
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def near_forest(points: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that the bound leaves: it connects whatever links connect, and more."""
+    if len(points) == 2:
+        return [(0, 1)] if links_sets(np.minimum(*points).sum(), *points.sum(1)) else []
+    tree, out, label = Tree(points), [], np.arange(len(points))
+    for q in range(1, len(points)):
+        near = tree.reach(q, label)
+        while len(near):
+            out.append((int(tree.order[near[0]]), int(tree.order[q])))
+            label[label == label[q]] = label[near[0]]
+            near = near[label[near] != label[q]]
+    return out
+
+
+def forest(sets: list[np.ndarray], points: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect exactly those sets which chains of links connect. With ``side``, only pairs of different sides count."""
     if len(sets) < 2:
         return []
-    tree, out = Tree(sets), []
-    label = np.arange(len(sets))
+    tree, out, label = Tree(points), [], np.arange(len(sets))
     for q in range(1, len(sets)):
         near = tree.reach(q, label)
         if side is not None:
@@ -179,7 +206,7 @@ def _prints(kind: pa.DataType):
         memo, seen = Words(), set()
         for b in batches:
             ids, texts, hashes = b.columns
-            n, c, h, keys = [], [], [], []
+            n, c, h, keys, vectors = [], [], [], [], []
             for t, own in zip(C.clean(texts.to_pylist()), hashes.to_pylist()):
                 s = shingle_set(t, memo)
                 name = int(np.int64(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))) if len(s) else None
@@ -188,28 +215,80 @@ def _prints(kind: pa.DataType):
                 c.append(name)
                 h.append(own if new else None)
                 keys.append(range_keys(s).view(np.int64) if new else None)
+                vectors.append(count_vector(s) if new else None)
                 if new:
                     if len(seen) > MEMO:
                         seen.clear()
                     seen.add(name)
-            yield pa.RecordBatch.from_arrays([ids.cast(kind), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(h, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "c", "h", "keys"])
+            yield pa.RecordBatch.from_arrays([ids.cast(kind), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(h, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vectors, pa.binary())], ["doc_id", "n", "c", "h", "keys", "vector"])
 
     return run
 
 
-def _stars(batches):
-    """For mapInArrow over rows sorted by (key, set): each set of a key is linked to the first one."""
-    key, hub = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for b in batches:
-        k, c = (np.concatenate([held, col.to_numpy()]) for held, col in zip((key, hub), b.columns))
-        if not len(k):
-            continue
-        new = np.concatenate(([True], k[1:] != k[:-1]))
-        first = c[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-        key, hub = k[-1:], first[-1:]
-        at = np.flatnonzero(c != first)
-        u, v = (np.unique(np.stack([c[at], first[at]]), axis=1)) if len(at) else (c[at], first[at])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+def _runs(batches):
+    """For mapInArrow over rows sorted by (key, set): (run, set) of each key that several sets share.
+
+    A run is named after its sets, so that one which comes with many keys is seen as one. One of more than RUN sets comes as all pairs of its halves of
+    RUN.
+    """
+    seen: set = set()
+
+    def named(members):
+        if len(members) > RUN:
+            half = RUN // 2
+            cuts = [members[a : a + half] for a in range(0, len(members), half)]
+            parts = [np.concatenate([x, y]) for i, x in enumerate(cuts) for y in cuts[i + 1 :]]
+        else:
+            parts = [members]
+        for p in parts:
+            name = xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63)
+            if name not in seen:
+                if len(seen) > MEMO:
+                    seen.clear()
+                seen.add(name)
+                yield np.full(len(p), name, np.int64), p
+
+    key, sets = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in _with_end(batches):
+        if b is not None:
+            key, sets = (np.concatenate([held, col.to_numpy()]) for held, col in zip((key, sets), b.columns))
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))
+        else:
+            cut = len(key)
+        k, c, key, sets = key[:cut], sets[:cut], key[cut:], sets[cut:]
+        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))[: len(k)]
+        k, c = k[fresh], c[fresh]
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[: len(k)])
+        ends = np.concatenate((starts[1:], [len(k)]))
+        several = np.flatnonzero(ends - starts > 1)
+        out = [x for i in several for x in named(c[starts[i] : ends[i]])]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]))], ["run", "c"])
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _near(batches):
+    """For mapInArrow over (run, set, vector) sorted by run: (u, v) of a forest of the pairs that the bound leaves in each run."""
+    run, sets, vectors = [], [], []
+    for b in _with_end(batches):
+        if b is not None:
+            for held, col in zip((run, sets, vectors), b.columns):
+                held.extend(col.to_pylist())
+        cut = 0 if not run else len(run) if b is None else bisect_left(run, run[-1])
+        out, at = [], 0
+        while at < cut:
+            end = bisect_right(run, run[at], lo=at, hi=cut)
+            out += [(sets[at + i], sets[at + j]) for i, j in near_forest(points_of(vectors[at:end]))] if end - at > 1 else []
+            at = end
+        run, sets, vectors = run[cut:], sets[cut:], vectors[cut:]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
 
 
 def _members(batches):
@@ -239,7 +318,7 @@ def _joined(key, table):
     values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
     sets = [values[ends[i] : ends[i + 1]] for i in first]
     side = None if key[1].as_py() == key[2].as_py() else table.column("chunk").to_numpy()[first]
-    found = forest(sets, side)
+    found = forest(sets, points_of([count_vector(s) for s in sets]), side)
     at = lambda k: pa.array([int(names[first[x[k]]]) for x in found], pa.int64())
     return pa.table({"u": at(0), "v": at(1)})
 
@@ -248,8 +327,10 @@ def links(prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Links (u, v) between hashes of sets, as many as connect what links connect."""
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = prints.filter("keys is not null").select(F.explode("keys").alias("key"), "c")
-    stars = keys.repartition(n, "key").sortWithinPartitions("key", "c").mapInArrow(_stars, "u long, v long")
-    blocks = components(stars).select(F.col("node"), F.col("root").alias("b"))
+    runs = keys.repartition(n, "key").sortWithinPartitions("key", "c").mapInArrow(_runs, "run long, c long").distinct()
+    vectors = prints.filter("vector is not null").groupBy(F.col("c").alias("o")).agg(F.first("vector").alias("vector"))
+    near = runs.join(vectors, F.col("c") == F.col("o")).select("run", "c", "vector").repartition(n, "run").sortWithinPartitions("run", "c").mapInArrow(_near, "u long, v long")
+    blocks = components(near).select(F.col("node"), F.col("root").alias("b"))
     sets = prints.filter("h is not null").groupBy("c").agg(F.min("h").alias("h"), F.first("n").alias("n"))
     sets = C.materialize(sets.join(blocks, F.col("c") == F.col("node")).select("c", "h", "n", "b"))
     sizes = sets.groupBy(F.col("b").alias("o")).agg(F.greatest(F.ceil(F.count("*") / RUN), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("m")).filter("m > 1")
@@ -270,7 +351,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     kind = src.schema["doc_id"].dataType
-    prints = C.materialize(src.select("doc_id", "t", F.xxhash64("t").alias("h")).mapInArrow(_prints(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n long, c long, h long, keys array<long>"))
+    prints = C.materialize(src.select("doc_id", "t", F.xxhash64("t").alias("h")).mapInArrow(_prints(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n long, c long, h long, keys array<long>, vector binary"))
     roots = components(links(prints, docs, text_col))
     classes = prints.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots, F.col("c") == F.col("node"), "left").select(F.col("c").alias("name"), "least", F.coalesce("root", "c").alias("root"))

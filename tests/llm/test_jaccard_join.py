@@ -118,11 +118,36 @@ def test_unrelated_sets_share_none():
     assert len(every) < 0.75 * 300 * 460
 
 
+def points(sets):
+    return J.points_of([J.count_vector(s) for s in sets])
+
+
+def test_count_vectors_fold():
+    rng = np.random.default_rng(4)
+    a, b = (np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (90, 1500))
+    pts = points([a, b])
+    assert pts.shape[1] == 16 and pts.sum(1).tolist() == [90, 1500]
+    assert pts[1].tolist() == np.bincount((b % np.uint64(16)).astype(int), minlength=16).tolist()
+    assert J.count_vector(np.arange(0, 2**20, 2, dtype=np.uint64))[0] == 2
+
+
+def test_near_forest_keeps_what_the_bound_leaves():
+    rng, memo = random.Random(6), J.Words()
+    pts = points([J.shingle_set(t, memo) for t in corpus(rng, [40, 90] * 6)])
+    label = list(range(len(pts)))
+    for i, j in J.near_forest(pts):
+        assert J.links_sets(np.minimum(pts[i], pts[j]).sum(), pts[i].sum(), pts[j].sum())
+        label = [label[i] if x == label[j] else x for x in label]
+    for i, j in combinations(range(len(pts)), 2):
+        if J.links_sets(np.minimum(pts[i], pts[j]).sum(), pts[i].sum(), pts[j].sum()):
+            assert label[i] == label[j]
+
+
 def test_tree_bounds_never_lose_a_link():
     rng = random.Random(11)
     memo = J.Words()
     sets = [J.shingle_set(t, memo) for t in corpus(rng, [30, 80, 200] * 10)]
-    tree = J.Tree(sets)
+    tree = J.Tree(points(sets))
     alone = np.arange(len(sets))
     tried = 0
     for q in range(1, len(sets)):
@@ -140,4 +165,4 @@ def test_copies_cost_one_comparison_each(monkeypatch):
     base = [f"w{k}" for k in range(300)]
     sets = [J.shingle_set(" ".join(varied(rng, base, 1)), memo) for _ in range(400)]
     monkeypatch.setattr(J, "links_sets", lambda *x: calls.append(x) or J.RATIO[1] * x[0] >= J.RATIO[0] * (x[1] + x[2]))
-    assert len(J.forest(sets)) == 399 and len(calls) < 800
+    assert len(J.forest(sets, points(sets))) == 399 and len(calls) < 800
