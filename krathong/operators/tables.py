@@ -23,11 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path for a working table, which ``release`` deletes with the others."""
+    _MADE.append(f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` and reads it back: what is used several times is worked out once, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from ..operators import lexicon as K
 from ..operators import lines as N
 from ..operators import segment as G
 from ..operators import syllabic as Y
-from ..operators.tables import materialize
+from ..operators.tables import materialize, new_path
 from ..sources import vocabulary as R
 from . import fixtures as D
 from . import oracles as Q
@@ -671,6 +671,15 @@ def line_scan(spark, d):
     return _orders(spark, d, _SUBTITLES).select("line_no", R.subtitle_line(F.col("line")).alias("text"))
 
 
+@query("SELECT concat(o_orderkey, ' ', o_orderpriority) AS line, row_number() OVER (PARTITION BY o_orderkey % 16 ORDER BY o_orderkey) AS line_no FROM orders")
+def numbered_lines(spark, d):
+    """Orders written as text files, read again by many tasks with the number of each line in its file."""
+    path, key = new_path(spark), F.col("o_orderkey")
+    rows = _t(spark, d, "orders").select((key % 16).alias("part"), key.alias("key"), F.concat_ws(" ", key, "o_orderpriority").alias("value"))
+    rows.repartition(16, "part").sortWithinPartitions("part", "key").drop("key").write.partitionBy("part").text(path)
+    return R.numbered_lines(spark, path).select("line", "line_no")
+
+
 @query(f"SELECT line_no, {_NO_MARK} AS bare FROM ({_SUBTITLES})")
 def strip_bom(spark, d):
     return _orders(spark, d, _SUBTITLES).select("line_no", X.strip_bom(F.col("line")).alias("bare"))

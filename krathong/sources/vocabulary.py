@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.textnorm import strip_bom, trim_space, unescape_html
 from ..operators.evaluate import pair_lines
+from ..operators.tables import materialize
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): whole files, cut at line feeds, so numbers are exact. Vocabulary files are small; a file is one row."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return raw.withColumn("line_no", F.col("line_no") + 1).withColumn("line", F.regexp_replace("line", "\r$", ""))
+#: Up to so many splits are broadcast, a row each: at 128 MB a split, 500 TB.
+SPLITS = 4_000_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files, numbers from 1; a file of any size is shared by many tasks.
+
+    The text reader deals each file in splits, whose lines keep their order. How many lines each split has is counted first; the lines before a
+    split are the prefix sum of its file's splits, and a line's place within its split is how far its running row number is from the split's least. So lines are
+    read twice but never shuffled; what is joined back is one row a split. Lines end at line feeds, a carriage return before one goes, and
+    nothing follows a last line feed.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select("value", F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    splits = materialize(rows.groupBy("path", "at").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    shift = splits.select(F.col("path").alias("p"), F.col("at").alias("a"), (F.coalesce(before, F.lit(0)) - F.col("least") + 1).alias("shift"))
+    if splits.count() <= SPLITS:
+        shift = F.broadcast(shift)
+    placed = rows.join(shift, (F.col("path") == F.col("p")) & (F.col("at") == F.col("a")))
+    return placed.select("file", (F.col("id") + F.col("shift")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def vocabulary_rows(lines: DataFrame) -> DataFrame:
@@ -23,7 +41,7 @@ def vocabulary_rows(lines: DataFrame) -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    return vocabulary_rows(_lines(spark, path))
+    return vocabulary_rows(numbered_lines(spark, path))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -38,8 +56,8 @@ def read_secondary(spark: SparkSession, path: str) -> DataFrame:
     A file that is not there is an empty lexicon.
     """
     if not _exists(spark, path):
-        return spark.createDataFrame([], "thai string, translit string, file string, line_no int")
-    return secondary_rows(_lines(spark, path))
+        return spark.createDataFrame([], "thai string, translit string, file string, line_no long")
+    return secondary_rows(numbered_lines(spark, path))
 
 
 def secondary_rows(lines: DataFrame) -> DataFrame:
@@ -56,7 +74,7 @@ def subtitle_line(line):
 
 def read_corpus(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """(name, line_no, text) of files ``<name><suffix>``; a written line break becomes a space, a BOM goes."""
-    rows = _lines(spark, path).filter(F.col("file").endswith(suffix))
+    rows = numbered_lines(spark, path).filter(F.col("file").endswith(suffix))
     return rows.select(F.expr(f"substring(file, 1, char_length(file) - {len(suffix)})").alias("name"), "line_no", subtitle_line(F.col("line")).alias("text"))
 
 
