@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import orthography as O
+from . import patterns
 from .textnorm import nfc, remove_silent
 
 C, L, V, T = f"[{O.CONSONANT}]", f"[{O.LEADING}]", f"[{O.VOWEL}]", f"[{O.TONE}]"
@@ -110,43 +111,23 @@ def bound(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def pattern_regex(pattern: str) -> str:
-    """Groups 1 to 3 are the onset, the tone mark and the final; one that the pattern lacks is an empty group."""
-    out, onset = "", False
-    final = pattern.rindex("C") if pattern.count("C") > ("K" not in pattern) else -1
-    for i, ch in enumerate(pattern):
-        if i == final:
-            out += ("" if "T" in pattern else "()") + f"({C})"
-        elif ch == "C":
-            out += C if onset else f"({C})"
-            onset = True
-        elif ch == "K":
-            out += "(" + "|".join(sorted(O.CLUSTERS)) + ")"
-            onset = True
-        else:
-            out += f"({T}?)" if ch == "T" else ch
-    return f"^{out}{'()' * (3 - out.count('('))}$"
-
-
-def _rank(s: Column) -> Column:
-    return F.coalesce(*[F.when(s.rlike(pattern_regex(p)), F.lit(i + 1)) for i, (p, _, _) in enumerate(RANKED)])
+_RANKED = tuple(p for p, _, _ in RANKED)
 
 
 def match_pattern(syllable: Column) -> Column:
     """Rank (1 is the first) of the first pattern that the whole syllable matches, silent letters removed; null if none does."""
-    return bound(remove_silent(syllable), _rank)
+    return bound(remove_silent(syllable), lambda s: patterns.rank(s, _RANKED))
 
 
 def pattern_parts(syllable: Column) -> Column:
     """Onset, vowel, tone mark and final letter by the first pattern that matches, as a struct; null if none does."""
-    table = lambda xs: F.array(*map(F.lit, xs))
-    regexes, vowels = table([pattern_regex(p) for p, _, _ in RANKED]), table([v for _, v, _ in RANKED])
+    vowels = F.array(*[F.lit(v) for _, v, _ in RANKED])
 
     def parts(s, rank):
-        group = lambda i: F.call_function("regexp_extract", s, F.element_at(regexes, rank), F.lit(i))
-        return F.when(rank.isNotNull(), F.struct(F.element_at(vowels, rank).alias("vowel"), group(1).alias("onset"), group(2).alias("mark"), group(3).alias("final")))
+        found = {"vowel": F.element_at(vowels, rank), **patterns.groups(s, rank, _RANKED)}
+        return F.when(rank.isNotNull(), F.struct(*[c.alias(k) for k, c in found.items()]))
 
-    return bound(remove_silent(syllable), lambda s: bound(_rank(s), lambda rank: parts(s, rank)))
+    return bound(remove_silent(syllable), lambda s: bound(patterns.rank(s, _RANKED), lambda rank: parts(s, rank)))
 
 
 def from_parts(parts: Column) -> Column:
