@@ -39,8 +39,10 @@ RATIO = (4, 9)
 LADDER = sorted({math.ceil(1.7**k) for k in range(40)})
 #: Sets and shingles of a chunk.
 RUN, CHUNK_SHINGLES = 1024, 1 << 20
-#: Points of a leaf, boxes of a node; words and sets that a task remembers.
-LEAF, FAN, MEMO = 8, 4, 1 << 19
+#: Points of a leaf, boxes of a node; words and sets that a task remembers; texts that a task works on at once.
+LEAF, FAN, MEMO, BATCH = 8, 4, 1 << 16, 500
+#: Bits that say which texts may be needed again: a table of at most 16 MB. Where more are needed than it tells apart, more texts travel.
+BITS = 1 << 27
 
 
 class Words(dict):
@@ -166,61 +168,58 @@ class Tree:
         return at[RATIO[1] * np.minimum(self.points[at], point).sum(1) >= RATIO[0] * (n + self.size[at])]
 
 
+def _forest(tree: Tree, linked, side=None) -> list[tuple[int, int]]:
+    """(first, other) for each point but the first of each group that the pairs (i, j) with ``linked`` connect, among those that the bound leaves."""
+    label = np.arange(len(tree.size))
+    for q in range(1, len(label)):
+        near = tree.reach(q, label)
+        if side is not None:
+            near = near[side[tree.order[near]] != side[tree.order[q]]]
+        while len(near):
+            p, near = near[0], near[1:]
+            if linked(tree.order[p], tree.order[q]):
+                label[label == label[q]] = label[p]
+                near = near[label[near] != label[q]]
+    return [(int(tree.order[label[q]]), int(tree.order[q])) for q in np.flatnonzero(label != np.arange(len(label)))]
+
+
 def near_forest(points: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that the bound leaves: it connects whatever links connect, and more."""
+    """Stars of the groups that the pairs which the bound leaves connect: they hold whatever links connect, and more."""
     if len(points) == 2:
         return [(0, 1)] if links_sets(np.minimum(*points).sum(), *points.sum(1)) else []
-    tree, out, label = Tree(points), [], np.arange(len(points))
-    for q in range(1, len(points)):
-        near = tree.reach(q, label)
-        while len(near):
-            out.append((int(tree.order[near[0]]), int(tree.order[q])))
-            label[label == label[q]] = label[near[0]]
-            near = near[label[near] != label[q]]
-    return out
+    return _forest(Tree(points), lambda i, j: True)
 
 
 def forest(sets: list[np.ndarray], points: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect exactly those sets which chains of links connect. With ``side``, only pairs of different sides count."""
+    """Stars of exactly the groups that chains of links connect. With ``side``, only pairs of different sides count."""
     if len(sets) < 2:
         return []
-    tree, out, label = Tree(points), [], np.arange(len(sets))
-    for q in range(1, len(sets)):
-        near = tree.reach(q, label)
-        if side is not None:
-            near = near[side[tree.order[near]] != side[tree.order[q]]]
-        while len(near):
-            p, near = near[0], near[1:]
-            i, j = tree.order[p], tree.order[q]
-            if links_sets(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
-                out.append((int(i), int(j)))
-                label[label == label[q]] = label[p]
-                near = near[label[near] != label[q]]
-    return out
+    return _forest(Tree(points), lambda i, j: links_sets(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])), side)
+
+
+def _name(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def _prints(kind: pa.DataType):
-    """For mapInArrow over (doc_id, text, hash of the text): size and hash of each set, and the keys of those that the task has not seen before."""
+    """For mapInArrow over (doc_id, text, hash of the text): size and hash of each set, and the keys and the point of those that the task has not seen lately."""
+    types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
         memo, seen = Words(), set()
-        for b in batches:
-            ids, texts, hashes = b.columns
-            n, c, h, keys, vectors = [], [], [], [], []
-            for t, own in zip(C.clean(texts.to_pylist()), hashes.to_pylist()):
-                s = shingle_set(t, memo)
-                name = int(np.int64(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))) if len(s) else None
-                new = name is not None and name not in seen
-                n.append(len(s))
-                c.append(name)
-                h.append(own if new else None)
-                keys.append(range_keys(s).view(np.int64) if new else None)
-                vectors.append(count_vector(s) if new else None)
-                if new:
-                    if len(seen) > MEMO:
-                        seen.clear()
-                    seen.add(name)
-            yield pa.RecordBatch.from_arrays([ids.cast(kind), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(h, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vectors, pa.binary())], ["doc_id", "n", "c", "h", "keys", "vector"])
+        for b in (b.slice(a, BATCH) for b in batches for a in range(0, b.num_rows, BATCH)):
+            out = []
+            for i, t, own in zip(*(c.to_pylist() for c in b.columns)):
+                s = shingle_set(t or "", memo)
+                name = _name(s) if len(s) else None
+                if name is None or name in seen:
+                    out.append((i, len(s), name, None, None, None))
+                    continue
+                if len(seen) > MEMO:
+                    seen.clear()
+                seen.add(name)
+                out.append((i, len(s), name, own, range_keys(s).view(np.int64), count_vector(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "n", "c", "h", "keys", "vector"])
 
     return run
 
@@ -241,7 +240,7 @@ def _runs(batches):
         else:
             parts = [members]
         for p in parts:
-            name = xxhash.xxh64_intdigest(p.tobytes()) - (1 << 63)
+            name = _name(p)
             if name not in seen:
                 if len(seen) > MEMO:
                     seen.clear()
@@ -292,28 +291,30 @@ def _near(batches):
 
 
 def _members(batches):
-    """For mapInArrow over (text, set, block, chunks): the shingles of each set that the task has not seen before."""
-    memo, seen = Words(), set()
-    for b in batches:
-        keep, sets = [], []
-        for i, (t, c) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            if c not in seen:
-                s = shingle_set(t, memo)
-                if int(np.int64(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))) == c:
-                    seen.add(c)
-                    keep.append(i)
-                    sets.append(s.view(np.int64))
-        if len(seen) > MEMO:
-            seen.clear()
-        if keep:
-            at = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), b.column(3).take(at), pa.array(sets, pa.list_(pa.int64()))], ["c", "b", "chunks", "s"])
+    """For mapInArrow over (text, set, block, chunks): the shingles of each set; texts that only share its text's hash go."""
+    memo = Words()
+    for b in (b.slice(a, BATCH) for b in batches for a in range(0, b.num_rows, BATCH)):
+        sets = [shingle_set(t, memo) for t in b.column(0).to_pylist()]
+        at = pa.array([i for i, (s, c) in enumerate(zip(sets, b.column(1).to_pylist())) if _name(s) == c], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in (1, 2, 3)), pa.array([sets[i].view(np.int64) for i in at.to_pylist()], pa.list_(pa.int64()))], ["c", "b", "chunks", "s"])
+
+
+def needed(texts: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows (t, h) of ``texts`` whose hash may be among ``hashes`` (h), each hash once: a table of bits is broadcast, so that the other texts never travel.
+
+    Copies of a text are dropped before the shuffle, however many there are.
+    """
+    bit = F.pmod(F.col("h"), F.lit(BITS))
+    marks = hashes.select(bit.alias("m")).groupBy(F.bitmap_bucket_number("m").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("m")).alias("bits"))
+    rows = texts.withColumn("m", bit).withColumn("at", F.bitmap_bit_position("m").cast("int")).join(F.broadcast(marks), F.bitmap_bucket_number("m") == F.col("k"))
+    byte = F.conv(F.hex(F.substr("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.filter(F.getbit(byte, F.col("at") % 8) == 1).groupBy("h").agg(F.first("t").alias("t"))
 
 
 def _joined(key, table):
     """For applyInArrow over a pair of chunks of a block: the links of a spanning forest."""
     names = table.column("c").to_numpy()
-    first = np.unique(names, return_index=True)[1]  # several tasks may have sent the same set
+    first = np.unique(names, return_index=True)[1]
     column = table.column("s").combine_chunks()
     values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
     sets = [values[ends[i] : ends[i + 1]] for i in first]
@@ -336,7 +337,7 @@ def links(prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     sizes = sets.groupBy(F.col("b").alias("o")).agg(F.greatest(F.ceil(F.count("*") / RUN), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("m")).filter("m > 1")
     where = sets.join(sizes, F.col("b") == F.col("o"), "left").select(F.col("h").alias("g"), "c", "b", F.coalesce("m", F.lit(1)).alias("chunks"))
     text = docs.select(F.col(text_col).cast("string").alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
-    members = text.join(where, F.col("h") == F.col("g")).select("t", "c", "b", "chunks").mapInArrow(_members, "c long, b long, chunks int, s array<long>")
+    members = needed(text, sets.select("h")).join(where, F.col("h") == F.col("g")).select("t", "c", "b", "chunks").mapInArrow(_members, "c long, b long, chunks int, s array<long>")
     dealt = members.withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pairs = dealt.select("b", F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y"), "chunk", "c", "s")
     return pairs.groupBy("b", "x", "y").applyInArrow(_joined, "u long, v long")

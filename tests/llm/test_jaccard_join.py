@@ -136,13 +136,19 @@ def test_near_forest_keeps_what_the_bound_leaves():
     pts = points([J.shingle_set(t, memo) for t in corpus(rng, [40, 90] * 6)])
     label = list(range(len(pts)))
     for i, j in J.near_forest(pts):
-        assert J.links_sets(np.minimum(pts[i], pts[j]).sum(), pts[i].sum(), pts[j].sum())
-        label = [label[i] if x == label[j] else x for x in label]
+        label[j] = i
     for i, j in combinations(range(len(pts)), 2):
         if J.links_sets(np.minimum(pts[i], pts[j]).sum(), pts[i].sum(), pts[j].sum()):
             assert label[i] == label[j]
 
 
+def test_needed_texts(spark):
+    texts = spark.createDataFrame([(f"t{k % 300}",) for k in range(900)], "t string").selectExpr("t", "xxhash64(t) AS h")
+    some = texts.filter("t < 't2'").select("h")
+    got = [r.t for r in J.needed(texts, some).collect()]
+    assert sorted(got) == sorted({f"t{k}" for k in range(300) if f"t{k}" < "t2"})
+
+
 def test_tree_bounds_never_lose_a_link():
     rng = random.Random(11)
     memo = J.Words()
