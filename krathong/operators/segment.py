@@ -1,7 +1,8 @@
 """Longest-match segmentation and word transliteration over distinct words.
 
-Each place of a word gives the characters that follow it, as many as the window holds; their beginnings are
-equality-joined with the lexicon, the longest hit of each place is kept by partial aggregation, and the walk along a
+The longest entry at each place of a word comes from an automaton of the lexicon (``trie``) while that is small enough to be sent to
+every task. Beyond, each place gives the characters that follow it, as many as the window holds; their beginnings are
+equality-joined with the lexicon and the longest hit of each place is kept by partial aggregation. The walk along a
 word is a fold over its places. What is exploded and shuffled carries a short key instead of the word, so the
 work on a run of any length is linear in it. Only distinct words are worked on; callers join back.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.orthography import CONSONANT
 from ..functions.syllables import FULL, build, from_parts, parse, pattern_parts
 from .tables import materialize
+from .trie import trie_of, with_hits
 
 WINDOW = 8
 #: Characters that the rules are shown first; a syllable that might reach beyond is sought again in the whole rest.
@@ -59,8 +61,13 @@ def keyed(words: DataFrame) -> DataFrame:
 
 def cut(words: DataFrame, lexicon: DataFrame, window: int = WINDOW, whole: bool = False) -> DataFrame:
     """(word, key, pieces) of each of the ``keyed`` words: its pieces in order (piece, translit, tier)."""
-    hits = matches(words, lexicon, window).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "hit"))).alias("hits"))  # a row for each place
-    at = words.join(hits, "key").withColumn("views", _views("word", max(SIGHT, window)))
+    trie = trie_of(lexicon, window)
+    if trie:
+        at = with_hits(words, trie)
+    else:
+        hits = matches(words, lexicon, window).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "hit"))).alias("hits"))  # a row for each place
+        at = words.join(hits, "key")
+    at = at.withColumn("views", _views("word", max(SIGHT, window)))
     walked = at.withColumn("places", F.expr(_places(max(SIGHT, window)))).withColumn("pieces", F.expr(_WALK))
     if whole:
         entries = lexicon.groupBy(F.col("thai").alias("entry")).agg(F.max(F.struct((-F.col("priority")).alias("o"), "translit", "priority")).alias("x"))
