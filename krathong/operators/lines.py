@@ -1,12 +1,14 @@
 """Whole lines and words romanized: dictionary first, then syllables and rules.
 
 All work is done on distinct lines, chunks and tokens, which are joined back by their text, so repeated lines
-cost one join row each. Words are told apart by longest match against the dictionary; what lies between
-two dictionary words is one unknown word.
+cost one join row each. Words are told apart by longest match against the dictionary, or by another
+cutter that the caller gives; what lies between two dictionary words is one unknown word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from .syllabic import by_syllables
 from .tables import materialize
 
 
+#: A tokenizer: (words with keys, entries with priorities, window) to (word, key, pieces). ``segment.cut`` and ``lattice.cut_lattice`` are two.
+Cutter = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
 def _joined(pairs: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     """(key, parts): the non-empty values of each key in order."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda x: x[value])
@@ -32,7 +38,7 @@ def real_tokens(tokens: Column) -> Column:
 _SEP = "\n"
 
 
-def token_arrays(words: DataFrame, dictionary: DataFrame, window: int | None = None) -> DataFrame:
+def token_arrays(words: DataFrame, dictionary: DataFrame, window: int | None = None, cutter: Cutter = cut) -> DataFrame:
     """(word, key, tokens) of each of the ``keyed`` words: runs without spaces, cut in words; see ``tokens``."""
     if window is None:
         window = dictionary.select(F.max(F.char_length("thai"))).first()[0] or 1
@@ -42,17 +48,18 @@ def token_arrays(words: DataFrame, dictionary: DataFrame, window: int | None = N
     joined = (
         f"element_at(transform(array(pieces), ps -> array_join(transform(ps, (x, i) -> concat(IF(i = 0 OR x.tier <> 'rule' OR get(ps, i - 1).tier <> 'rule', '{_SEP}', ''), x.piece)), '')), 1)"
     )
-    run = cut(known.filter("not whole").select("word", "key"), entries, window).select("word", "key", F.split(F.substring(F.expr(joined), 2, 2**31 - 1), _SEP, -1).alias("tokens"))
+    run = cutter(known.filter("not whole").select("word", "key"), entries, window).select("word", "key", F.split(F.substring(F.expr(joined), 2, 2**31 - 1), _SEP, -1).alias("tokens"))
     return known.filter("whole").select("word", "key", F.array("word").alias("tokens")).unionAll(run)
 
 
-def tokens(words: DataFrame, dictionary: DataFrame, window: int | None = None) -> DataFrame:
+def tokens(words: DataFrame, dictionary: DataFrame, window: int | None = None, cutter: Cutter = cut) -> DataFrame:
     """(word, pos, token) of each distinct ``word`` (a run without spaces).
 
     Words of the dictionary and foreign runs are one token. Null and empty words have none. ``window``: the
-    longest dictionary word that is told apart inside a run; if not given, the longest that there is.
+    longest dictionary word that is told apart inside a run; if not given, the longest that there is. ``cutter``: how
+    runs are cut, longest match if not given.
     """
-    return token_arrays(keyed(words), dictionary, window).select("word", F.posexplode_outer("tokens").alias("pos", "token"))
+    return token_arrays(keyed(words), dictionary, window, cutter).select("word", F.posexplode_outer("tokens").alias("pos", "token"))
 
 
 def romanize_words(words: DataFrame, dictionary: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -63,12 +70,12 @@ def romanize_words(words: DataFrame, dictionary: DataFrame, lexicon: DataFrame)
     return known.filter("translit is not null").select("word", nfc(F.col("translit")).alias("roman"), F.lit("dictionary").alias("tier")).unionAll(ruled).unionAll(empty)
 
 
-def _line_parts(texts: DataFrame, dictionary: DataFrame, roman) -> DataFrame:
+def _line_parts(texts: DataFrame, dictionary: DataFrame, roman, cutter: Cutter) -> DataFrame:
     """(text, parts) of distinct texts; ``roman`` gives (word, roman) of a table of words. Texts and chunks go by their keys."""
     texts = texts.select("text").withColumn("line", key_of(F.col("text")))
     chunks = materialize(texts.select("line", F.posexplode_outer(F.split(F.trim(F.regexp_replace("text", WHITE, " ")), " ")).alias("at", "word")).filter("word is not null"))
     by_key = chunks.withColumn("key", key_of(F.col("word"))).select("line", "at", "key")
-    cut_ = materialize(token_arrays(keyed(chunks), dictionary).select("key", F.posexplode_outer("tokens").alias("pos", "token")))
+    cut_ = materialize(token_arrays(keyed(chunks), dictionary, cutter=cutter).select("key", F.posexplode_outer("tokens").alias("pos", "token")))
     done = roman(cut_.select(F.col("token").alias("word")).distinct()).select(F.col("word").alias("token"), "roman")
     by_chunk = _joined(cut_.join(done, "token", "left").select("key", "pos", "roman"), "key", "pos", "roman").select("key", F.col("parts").alias("own"))
     back = by_key.join(by_chunk, "key").groupBy("line").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "own"))), lambda x: x["own"])).alias("parts"))
@@ -80,23 +87,23 @@ def passes(text: Column) -> Column:
     return (text == "") | text.startswith("#") | ~contains_thai(text)
 
 
-def romanize_lines(lines: DataFrame, dictionary: DataFrame, lexicon: DataFrame) -> DataFrame:
+def romanize_lines(lines: DataFrame, dictionary: DataFrame, lexicon: DataFrame, cutter: Cutter = cut) -> DataFrame:
     """(file, line_no, text, roman, fallback) of each row of ``lines`` (file, line_no, text).
 
     A mark of byte order goes from each file's first line. Empty lines, lines that begin with ``#`` and lines without Thai
     stay as they are, nulls stay null. Of others the words are romanized and joined by a space; where that leaves
-    nothing, ``fallback`` is true and the line is romanized as one word.
+    nothing, ``fallback`` is true and the line is romanized as one word. ``cutter``: how words are told apart, see ``Cutter``.
     """
     text = F.when(F.col("line_no") == 1, strip_bom(F.col("text"))).otherwise(F.col("text"))
     lines = lines.select("file", "line_no", text.alias("text"))
     todo = lines.filter(~passes(F.col("text"))).select("text").distinct()
-    parts = materialize(_line_parts(todo, dictionary, lambda w: romanize_words(w, dictionary, lexicon))).withColumn("roman", F.array_join("parts", " "))
+    parts = materialize(_line_parts(todo, dictionary, lambda w: romanize_words(w, dictionary, lexicon), cutter)).withColumn("roman", F.array_join("parts", " "))
     whole = romanize_words(parts.filter("roman = ''").select(F.col("text").alias("word")), dictionary, lexicon).select(F.col("word").alias("w"), F.col("roman").alias("one"))
     done = parts.join(whole, F.col("text") == F.col("w"), "left").select(F.col("text").alias("t"), F.coalesce("one", F.when(F.col("roman") != "", F.col("roman")), F.lit("")).alias("r"), (F.col("roman") == "").alias("f"))
     return lines.join(done, F.col("text") == F.col("t"), "left").select("file", "line_no", "text", F.coalesce("r", "text").alias("roman"), F.coalesce("f", F.lit(False)).alias("fallback"))
 
 
-def romanize_sentences(texts: DataFrame, dictionary: DataFrame, syllable_lexicon: DataFrame, exceptions: DataFrame) -> DataFrame:
+def romanize_sentences(texts: DataFrame, dictionary: DataFrame, syllable_lexicon: DataFrame, exceptions: DataFrame, cutter: Cutter = cut) -> DataFrame:
     """(text, roman) of each distinct text: a dictionary entry as a whole, else word by word.
 
     Words are joined by a space if the text has one, else by a hyphen. Words that the dictionary lacks go by syllables.
@@ -104,7 +111,7 @@ def romanize_sentences(texts: DataFrame, dictionary: DataFrame, syllable_lexicon
     """
     known = lookup(texts.select("text").filter("text is not null").distinct(), dictionary, "text")
     of = lambda w: by_syllables(w.withColumn("syllables", F.lit(None).cast("array<string>")), dictionary, syllable_lexicon, exceptions)
-    parts = _line_parts(known.filter("translit is null").select("text"), dictionary, of).select(F.col("text").alias("t"), "parts")
+    parts = _line_parts(known.filter("translit is null").select("text"), dictionary, of, cutter).select(F.col("text").alias("t"), "parts")
     joined = F.when(F.col("text").contains(" "), F.array_join("parts", " ")).otherwise(F.array_join("parts", "-"))
     return known.join(parts, F.col("text") == F.col("t"), "left").select("text", F.coalesce("translit", joined, F.lit("")).alias("roman"))
 

@@ -29,7 +29,7 @@ def key_of(word):
     return F.when(F.char_length(word) <= 64, word).otherwise(F.concat(F.lit("#"), F.sha2(word, 256)))
 
 
-def _views(word: str, n: int):
+def views(word: str, n: int):
     """Of each place of the word the (at most) ``n`` characters from there on.
 
     A substring counts characters from the beginning, so long words are cut in blocks first.
@@ -39,19 +39,25 @@ def _views(word: str, n: int):
     return F.expr(f"flatten(transform({blocks}, (b, k) -> transform(sequence(1, {own}), j -> substring(b, j, {n}))))")
 
 
-def matches(words: DataFrame, lexicon: DataFrame, window: int = WINDOW) -> DataFrame:
+def matches(words: DataFrame, lexicon: DataFrame, window: int = WINDOW, every: bool = False) -> DataFrame:
     """(key, pos, hit): for each place of each word the longest entry there (len, translit, priority), null if there is none.
 
-    Of equal lengths the lower priority. ``words``: (word, key), no empty words. A hit may not leave exactly one consonant behind.
+    Of equal lengths the lower priority. ``words``: (word, key), no empty words. A hit may not leave exactly one consonant behind. With ``every``, (key, pos, hits): all
+    entries that begin there, one of each length, whatever they leave behind.
     """
     # a column of its own, so that it is worked out before the word is left behind
-    words = words.withColumn("last", F.when(F.substring("word", -1, 1).rlike(f"^[{CONSONANT}]$"), F.char_length("word") - 1).otherwise(-1))
-    pos = words.select("key", "last", F.posexplode_outer(_views("word", window)).alias("pos", "view"))
+    orphan = F.substring("word", -1, 1).rlike(f"^[{CONSONANT}]$") & F.lit(not every)
+    words = words.withColumn("last", F.when(orphan, F.char_length("word") - 1).otherwise(-1))
+    pos = words.select("key", "last", F.posexplode_outer(views("word", window)).alias("pos", "view"))
     sub = pos.select("key", (F.col("pos") + 1).alias("pos"), "view", "last", F.explode_outer(F.sequence(F.lit(1), F.char_length("view"))).alias("len"))
     sub = sub.select("key", "pos", "len", F.when(F.col("pos") + F.col("len") - 1 != F.col("last"), F.expr("substring(view, 1, len)")).alias("s"))
     lex = lexicon.select(F.col("thai").alias("s"), "translit", "priority")
     found = F.when(F.col("priority").isNotNull(), F.struct("len", (-F.col("priority")).alias("order"), "translit", "priority"))
-    return sub.join(lex, "s", "left").groupBy("key", "pos").agg(F.max(found).alias("hit"))
+    hit = sub.join(lex, "s", "left").groupBy("key", "pos")
+    if not every:
+        return hit.agg(F.max(found).alias("hit"))
+    best = F.array_sort(F.collect_set(found))  # by length; of equal lengths the last is the one of lower priority
+    return hit.agg(best.alias("b")).select("key", "pos", F.expr("filter(b, (x, i) -> i = size(b) - 1 OR x.len <> get(b, i + 1).len)").alias("hits"))
 
 
 def keyed(words: DataFrame) -> DataFrame:
@@ -67,11 +73,11 @@ def cut(words: DataFrame, lexicon: DataFrame, window: int = WINDOW, whole: bool
     else:
         hits = matches(words, lexicon, window).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "hit"))).alias("hits"))  # a row for each place
         at = words.join(hits, "key")
-    at = at.withColumn("views", _views("word", max(SIGHT, window)))
-    walked = at.withColumn("places", F.expr(_places(max(SIGHT, window)))).withColumn("pieces", F.expr(_WALK))
+    at = at.withColumn("views", views("word", max(SIGHT, window)))
+    walked = at.withColumn("places", F.expr(_places(max(SIGHT, window)))).withColumn("pieces", F.expr(WALK))
     if whole:
         entries = lexicon.groupBy(F.col("thai").alias("entry")).agg(F.max(F.struct((-F.col("priority")).alias("o"), "translit", "priority")).alias("x"))
-        one = f"array(named_struct('piece', word, 'translit', x.translit, 'tier', {_TIER.format('x')}))"
+        one = f"array(named_struct('piece', word, 'translit', x.translit, 'tier', {TIER.format('x')}))"
         walked = walked.join(entries, F.col("word") == F.col("entry"), "left").withColumn("pieces", F.expr(f"IF(x IS NULL, pieces, {one})"))
     return walked.select("word", "key", "pieces")
 
@@ -85,7 +91,7 @@ def segment(words: DataFrame, lexicon: DataFrame, window: int = WINDOW, whole: b
     return cut(keyed(words), lexicon, window, whole).select("word", F.posexplode_outer("pieces").alias("idx", "p")).select("word", "idx", "p.*")
 
 
-_TIER = "IF({}.priority = 0, 'special', 'syllable')"
+TIER = "IF({}.priority = 0, 'special', 'syllable')"
 
 
 def _places(n: int) -> str:
@@ -94,7 +100,7 @@ def _places(n: int) -> str:
     rule = f"element_at(transform(array({syllable.format('v')}), r -> IF(char_length(r) < {n - 1}, r, {syllable.format('substring(word, h.pos)')})), 1)"
     return (
         f"zip_with(hits, views, (h, v) -> IF(h.hit IS NULL, named_struct('pos', h.pos, 'piece', {rule}, 'translit', CAST(NULL AS STRING), 'tier', 'rule'),"
-        f" named_struct('pos', h.pos, 'piece', substring(v, 1, h.hit.len), 'translit', h.hit.translit, 'tier', {_TIER.format('h.hit')})))"
+        f" named_struct('pos', h.pos, 'piece', substring(v, 1, h.hit.len), 'translit', h.hit.translit, 'tier', {TIER.format('h.hit')})))"
     )
 
 
@@ -106,7 +112,7 @@ _IN_BLOCK = (
     "'next', IF(t.at = t.next, t.at + n, t.next), 'at', t.at + 1, 'out', concat(t.out, IF(t.at = t.next, '1', '0'))))"
 )
 _FLAGS = f"aggregate({_BLOCKS}, named_struct('next', 1, 'out', ''), (s, b) -> element_at(transform(array({_IN_BLOCK}), t -> named_struct('next', t.next, 'out', concat(s.out, t.out))), 1), s -> split(s.out, ''))"
-_WALK = f"filter(zip_with(places, {_FLAGS}, (p, f) -> IF(f = '1', named_struct('piece', p.piece, 'translit', p.translit, 'tier', p.tier), NULL)), x -> x IS NOT NULL)"
+WALK = f"filter(zip_with(places, {_FLAGS}, (p, f) -> IF(f = '1', named_struct('piece', p.piece, 'translit', p.translit, 'tier', p.tier), NULL)), x -> x IS NOT NULL)"
 
 
 def _romanized(words: DataFrame, lexicon: DataFrame) -> DataFrame:

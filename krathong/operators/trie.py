@@ -21,7 +21,7 @@ from ..functions.orthography import CONSONANT
 #: Largest lexicon that becomes a table: entries, and states times letters (four bytes each).
 ENTRIES, CELLS = 200_000, 1 << 24
 
-HITS = "array<struct<pos:int,hit:struct<len:int,order:int,translit:string,priority:int>>>"
+_HIT = "struct<len:int,order:int,translit:string,priority:int>"
 
 
 class Trie:
@@ -65,8 +65,8 @@ class Trie:
         self.priority = np.array([e[2] for e in entries] or [0], np.int32)
         self.translit = [e[1] for e in entries]
 
-    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(length of each word, entry at each place of each word in turn, -1 for none). An entry may not leave exactly one consonant behind."""
+    def find(self, words: list[str], orphans: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(length of each word, entry at each place of each word in turn, -1 for none). Without ``orphans`` an entry may not leave exactly one consonant behind."""
         n = np.array([len(w) for w in words], np.int64)
         text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         at = np.minimum(np.searchsorted(self.letters, text), max(len(self.letters) - 1, 0))
@@ -80,6 +80,8 @@ class Trie:
             place = last[:m] - t
             states[:m] = self.go[states[:m], code[place]]
             out[place] = self.longest[states[:m]]
+        if orphans:
+            return n, out
         first, final = ord(CONSONANT[0]), ord(CONSONANT[-1])
         orphan = (text[ends - 1] >= first) & (text[ends - 1] <= final) if len(text) else np.zeros(0, bool)
         place = np.arange(len(text))
@@ -88,16 +90,27 @@ class Trie:
         out[bad] = self.shorter[out[bad]]
         return n, out
 
-    def hits(self, words: list[str]) -> pa.ListArray:
-        n, entry = self.find(words)
-        ends = np.cumsum(n)
-        pos = np.arange(len(entry)) - np.repeat(ends - n, n) + 1
-        none = entry < 0
+    def _structs(self, entry: np.ndarray) -> pa.StructArray:
         at = np.maximum(entry, 0)
         priority = self.priority[at]
         translit = pa.array(self.translit or [""], pa.string()).take(pa.array(at))
-        hit = pa.StructArray.from_arrays([pa.array(self.length[at]), pa.array(-priority), translit, pa.array(priority)], ["len", "order", "translit", "priority"], mask=pa.array(none))
-        place = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), hit], ["pos", "hit"])
+        return pa.StructArray.from_arrays([pa.array(self.length[at]), pa.array(-priority), translit, pa.array(priority)], ["len", "order", "translit", "priority"], mask=pa.array(entry < 0))
+
+    def hits(self, words: list[str], every: bool = False) -> pa.ListArray:
+        """At each place (pos, hit) of each word the longest entry; with ``every``, (pos, hits): all entries, one of each length, whatever they leave behind."""
+        n, entry = self.find(words, orphans=every)
+        ends = np.cumsum(n)
+        pos = np.arange(len(entry)) - np.repeat(ends - n, n) + 1
+        hit = self._structs(entry)
+        if every:
+            count, chains = np.zeros(len(entry), np.int64), []
+            while (entry >= 0).any():
+                chains.append(entry)
+                count += entry >= 0
+                entry = np.where(entry >= 0, self.shorter[np.maximum(entry, 0)], -1)
+            flat = np.stack(chains, axis=1).ravel() if chains else np.zeros(0, np.int32)
+            hit = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), self._structs(flat[flat >= 0]))
+        place = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), hit], ["pos", "hits" if every else "hit"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), place)
 
 
@@ -111,14 +124,14 @@ def trie_of(lexicon: DataFrame, window: int) -> Trie | None:
     return trie if trie.size <= CELLS else None
 
 
-def with_hits(words: DataFrame, trie: Trie) -> DataFrame:
-    """(word, key, hits) of each row of ``words`` (word, key): the longest entry at each place."""
+def with_hits(words: DataFrame, trie: Trie, every: bool = False) -> DataFrame:
+    """(word, key, hits) of each row of ``words`` (word, key): the longest entry at each place, or all of them."""
 
     def run(batches):
         for b in batches:
             step = 2000
             for a in range(0, b.num_rows, step):
                 part = b.slice(a, step)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), trie.hits(part.column(0).to_pylist())], ["word", "key", "hits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), trie.hits(part.column(0).to_pylist(), every)], ["word", "key", "hits"])
 
-    return words.select("word", "key").mapInArrow(run, f"word string, key string, hits {HITS}")
+    return words.select("word", "key").mapInArrow(run, f"word string, key string, hits array<struct<pos:int,{f'hits:array<{_HIT}>' if every else f'hit:{_HIT}'}>>")

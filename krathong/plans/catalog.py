@@ -12,6 +12,7 @@ from ..functions import orthography as O
 from ..functions import syllables as S
 from ..functions import textnorm as X
 from ..operators import evaluate as E
+from ..operators import lattice as T
 from ..operators import lexicon as K
 from ..operators import lines as N
 from ..operators import segment as G
@@ -395,6 +396,23 @@ def longest_match_segment(spark, d):
     return G.segment(_words(spark, d), _segment_lexicon(spark))
 
 
+#: Both halves of each part name, and the first halves with the beginning of the second: longest match takes these and is left with the rest.
+_DECOYS = "dl AS (SELECT DISTINCT unnest([a, b]) AS thai, 1 AS priority FROM parts UNION SELECT DISTINCT b || a[1:k], k - 1 FROM parts, (VALUES (1), (2)) AS v(k))"
+
+
+def _decoys(spark, d):
+    h = _halves(spark, d)
+    longer = h.select(F.concat("b", F.substring("a", 1, 1)).alias("thai"), F.lit(0).alias("priority")).unionAll(h.select(F.concat("b", F.substring("a", 1, 2)), F.lit(1)))
+    return h.select(F.explode(F.array("a", "b")).alias("thai"), F.lit(1).alias("priority")).unionAll(longer).distinct().select("thai", F.concat(F.lit("r"), "thai").alias("translit"), "priority")
+
+
+@query(Q.query(_PARTS, _W, _DECOYS, Q.lattice("w", "dl", "l", 8), "SELECT word, idx, piece, known FROM llat"))
+def lattice_segment(spark, d):
+    """Part words and others cut by the best path over all entries."""
+    pieces = T.cut_lattice(G.keyed(_words(spark, d)), _decoys(spark, d)).select("word", F.posexplode_outer("pieces").alias("idx", "p"))
+    return pieces.select("word", "idx", F.col("p.piece").alias("piece"), (F.col("p.tier") != "rule").alias("known"))
+
+
 @query(Q.query(_PARTS, _LX, _W, Q.transliterated("w", "lx", "t"), "SELECT word, roman FROM ttr"))
 def transliterate_words(spark, d):
     return G.transliterate(_words(spark, d), _segment_lexicon(spark))

@@ -178,6 +178,20 @@ def tokenized(words: str, dictionary: str, p: str, window: int) -> list[str]:
     ]
 
 
+def lattice(words: str, lexicon: str, p: str, window: int) -> list[str]:
+    """{p}lat(word, idx, piece, known): all paths over the entries and clusters of each word, the best of which stays: fewest unknown characters, fewest pieces, the longest piece first."""
+    cluster = f"{LEAD}?{CONS}[{O.VOWEL.translate(str.maketrans('', '', O.LEADING))}{O.TONE}็์ํ]{{0,8}}|(?s:.)"
+    return [
+        f"{p}k AS (SELECT word, list_transform(regexp_extract_all(word, '{cluster}'), lambda c: length(c)) AS sizes FROM {words})",
+        f"{p}n AS (SELECT word, n, CAST(list_sum(sizes[1:i]) AS BIGINT) - n + 1 AS pos FROM (SELECT word, sizes, unnest(sizes) AS n, unnest(range(1, len(sizes) + 1)) AS i FROM {p}k))",
+        f"""{p}e AS (SELECT word, pos, n, n AS unknown FROM {p}n UNION ALL SELECT DISTINCT x.word, x.pos, k.n, 0 FROM {p}n x, (SELECT unnest(range(1, {window + 1})) AS n) k JOIN {lexicon} l ON l.thai = x.word[x.pos:x.pos + k.n - 1]
+  WHERE x.pos + k.n - 1 <= length(x.word) AND (x.pos + k.n - 1 = length(x.word) OR EXISTS (SELECT 1 FROM {p}n y WHERE y.word = x.word AND y.pos = x.pos + k.n)))""",
+        f"{p}p AS (SELECT word, CAST(1 AS BIGINT) AS done, CAST(0 AS BIGINT) AS u, 0 AS w, CAST([] AS BIGINT[]) AS lens, CAST([] AS BOOLEAN[]) AS known FROM {words} UNION ALL SELECT {p}p.word, done + e.n, u + unknown, w + 1, list_append(lens, -e.n), list_append(known, unknown = 0) FROM {p}p JOIN {p}e e ON e.word = {p}p.word AND e.pos = done)",
+        f"{p}b AS (SELECT word, lens, known FROM {p}p WHERE done = length(word) + 1 QUALIFY row_number() OVER (PARTITION BY word ORDER BY u, w, lens, known DESC) = 1)",
+        f"{p}lat AS (SELECT word, CAST(i - 1 AS INT) AS idx, substring(word, 1 - coalesce(CAST(list_sum(lens[1:i - 1]) AS BIGINT), 0), -lens[i]) AS piece, known[i] AS known FROM (SELECT *, unnest(range(1, len(lens) + 1)) AS i FROM {p}b))",
+    ]
+
+
 def query(*parts: list[str] | str) -> str:
     """WITH RECURSIVE of the expressions given, and the last part as what is selected."""
     *ctes, final = parts
