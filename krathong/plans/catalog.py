@@ -17,6 +17,7 @@ from ..operators import lexicon as K
 from ..operators import lines as N
 from ..operators import segment as G
 from ..operators import syllabic as Y
+from ..operators import tagger as L
 from ..operators.tables import materialize, new_path
 from ..sources import vocabulary as R
 from . import fixtures as D
@@ -413,6 +414,21 @@ def lattice_segment(spark, d):
     return pieces.select("word", "idx", F.col("p.piece").alias("piece"), (F.col("p.tier") != "rule").alias("known"))
 
 
+_SPELLED = f"""sp AS (SELECT DISTINCT word, rb.translit || '-' || ra.translit AS translit, (unicode(a) + unicode(b)) % 5 = 0 AS held FROM parts
+  JOIN (SELECT * FROM {D.ROMAN_SQL}) ra ON ra.thai = a JOIN (SELECT * FROM {D.ROMAN_SQL}) rb ON rb.thai = b)"""
+
+
+@query(Q.query(_PARTS, _SPELLED, "tw AS (SELECT word, translit FROM sp WHERE NOT held)", "dw AS (SELECT word FROM sp)", Q.tagged("tw", "dw", "g", L.ROUNDS), "SELECT sp.word, held, syllables FROM sp JOIN gtag USING (word)"))
+def syllable_tagger(spark, d):
+    """Syllables of all part words by weights learned from four fifths of them, spelled with hyphens."""
+    roman = _v(spark, D.ROMAN_SQL)
+    side = lambda c: F.broadcast(roman.select(F.col("thai").alias(f"t{c}"), F.col("translit").alias(f"r{c}")))  # noqa: E731  sixteen rows, fixed
+    h = _halves(spark, d).join(side("a"), F.col("a") == F.col("ta")).join(side("b"), F.col("b") == F.col("tb"))
+    h = materialize(h.select("word", F.concat_ws("-", "rb", "ra").alias("translit"), ((F.ascii("a") + F.ascii("b")) % 5 == 0).alias("held")).distinct())
+    weights = L.fit(h.filter("not held").select(F.col("word").alias("thai"), "translit"))
+    return h.select("word", "held").join(L.syllables(h, weights), "word")
+
+
 @query(Q.query(_PARTS, _LX, _W, Q.transliterated("w", "lx", "t"), "SELECT word, roman FROM ttr"))
 def transliterate_words(spark, d):
     return G.transliterate(_words(spark, d), _segment_lexicon(spark))

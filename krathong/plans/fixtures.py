@@ -5,6 +5,11 @@ EN_THAI = {
     "blue": "ฟ้า", "cold": "เย็น", "hot": "ร้อน", "large": "ใหญ่", "new": "ใหม่", "old": "เก่า", "red": "แดง", "small": "เล็ก",
     "anvil": "ทั่ง", "bolt": "สลัก", "gear": "เกียร์", "gizmo": "กลไก", "plate": "จาน", "ring": "แหวน", "rod": "กระบอง", "widget": "ของ",
 }
+#: How the Thai words of part names are romanized, syllable by syllable.
+PART_ROMAN = {
+    "ฟ้า": "fáa", "เย็น": "yen", "ร้อน": "rɔ́ɔn", "ใหญ่": "yài", "ใหม่": "mài", "เก่า": "gào", "แดง": "dɛɛng", "เล็ก": "lék",
+    "ทั่ง": "tâng", "สลัก": "sà-làk", "เกียร์": "giia", "กลไก": "gon-gai", "จาน": "jaan", "แหวน": "wɛ̌ɛn", "กระบอง": "grà-bɔɔng", "ของ": "kɔ̌ɔng",
+}
 #: (thai, translit, priority, file, line_no): 0 marks exceptions; the same key twice is a conflict that the later line wins.
 LEXICON = [
     ("ฟ้า", "fáa", 1, "a1.txt", 1), ("เย็น", "yen", 1, "a1.txt", 2), ("ร้อน", "rɔ́ɔn", 1, "a1.txt", 3), ("ใหญ่", "yài", 1, "a10.txt", 1), ("ใหม่", "mâi", 1, "a10.txt", 2),
@@ -23,6 +28,7 @@ def values(rows, name: str, *cols: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r if isinstance(r, tuple) else (r,))) + ")" for r in rows) + f") AS {name}({', '.join(cols)})"
 
 
+ROMAN_SQL = values(list(PART_ROMAN.items()), "pr", "thai", "translit")
 EN_SQL = values(list(EN_THAI.items()), "en", "en", "thai")
 LEX_SQL = values(LEXICON, "lex", "thai", "translit", "priority", "file", "line_no")
 WORD_SQL = values(WORDS, "w", "word")

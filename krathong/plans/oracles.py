@@ -178,11 +178,52 @@ def tokenized(words: str, dictionary: str, p: str, window: int) -> list[str]:
     ]
 
 
+def _clusters() -> str:
+    return f"{LEAD}?{CONS}[{O.VOWEL.translate(str.maketrans('', '', O.LEADING))}{O.TONE}็์ํ]{{0,8}}|(?s:.)"
+
+
+def tagged(entries: str, words: str, p: str, rounds: int) -> list[str]:
+    """{p}tag(word, syllables): boundaries between clusters by the mean of the log odds of what stands around them, counted over ``entries`` (word, translit), of which the best places are counted anew in each round."""
+
+    def places(src: str, name: str) -> list[str]:
+        return [
+            f"{name}a AS (SELECT word, list_transform(regexp_extract_all(word, '{_clusters()}'), lambda c: length(c)) AS sizes FROM (SELECT DISTINCT word FROM {src}))",
+            f"{name}b AS (SELECT word, 1 + CAST(list_sum(sizes[1:i]) AS BIGINT) AS pos FROM (SELECT word, sizes, unnest(range(1, len(sizes))) AS i FROM {name}a))",
+            f"{name} AS (SELECT word, pos, unnest(['l2' || pad[pos + 2:pos + 3], 'r2' || pad[pos + 4:pos + 5], 'l3' || pad[pos + 1:pos + 3], 'r3' || pad[pos + 4:pos + 6], 'l4' || pad[pos:pos + 3], 'r4' || pad[pos + 4:pos + 7]]) AS f FROM (SELECT word, pos, '____' || word || '____' AS pad FROM {name}b))",
+        ]
+
+    out = [
+        f"{p}h AS (SELECT word, max(len(string_split(translit, '-'))) AS parts FROM {entries} GROUP BY word)",
+        *split(f"{p}h", p),
+        f"{p}ok AS (SELECT word FROM {p}split JOIN {p}h USING (word) GROUP BY word, parts HAVING count(*) = parts)",
+        f"{p}bd AS (SELECT word, 1 + sum(length(piece)) OVER (PARTITION BY word ORDER BY idx) AS pos FROM {p}split WHERE word IN (SELECT word FROM {p}ok))",
+        *places(f"{p}h", f"{p}x"),
+        *places(words, f"{p}z"),
+        f"{p}y0 AS MATERIALIZED (SELECT x.*, EXISTS (SELECT 1 FROM {p}bd b WHERE b.word = x.word AND b.pos = x.pos) AS boundary FROM {p}x x WHERE word IN (SELECT word FROM {p}ok))",
+    ]
+    for i in range(rounds + 1):
+        out += [
+            f"{p}s{i} AS (SELECT count(*) FILTER (WHERE boundary) / CAST(count(*) AS DOUBLE) AS share FROM {p}y{i})",
+            f"{p}w{i} AS MATERIALIZED (SELECT f, ln((count(*) FILTER (WHERE boundary) + any_value(share)) / (count(*) FILTER (WHERE NOT boundary) + 1 - any_value(share))) AS weight FROM {p}y{i}, {p}s{i} GROUP BY f)",
+        ]
+        score = "round(avg(coalesce(weight, ln(share / (1 - share)))), 9)"
+        if i < rounds:
+            out += [
+                f"{p}r{i} AS MATERIALIZED (SELECT word, pos, row_number() OVER (PARTITION BY word ORDER BY {score} DESC, pos) AS place FROM {p}x LEFT JOIN {p}w{i} USING (f), {p}s{i} GROUP BY word, pos)",
+                f"{p}y{i + 1} AS MATERIALIZED (SELECT x.*, place < parts AS boundary FROM {p}x x JOIN {p}r{i} USING (word, pos) JOIN {p}h USING (word))",
+            ]
+    return [
+        *out,
+        f"{p}c AS (SELECT word, pos FROM {p}z LEFT JOIN {p}w{rounds} USING (f), {p}s{rounds} GROUP BY word, pos HAVING {score} > 0)",
+        f"{p}e AS (SELECT word, pos, lead(pos, 1, length(word) + 1) OVER (PARTITION BY word ORDER BY pos) AS till FROM (SELECT DISTINCT word, 1 AS pos FROM {words} UNION ALL SELECT word, pos FROM {p}c))",
+        f"{p}tag AS (SELECT word, list(substring(word, pos, till - pos) ORDER BY pos) AS syllables FROM {p}e GROUP BY word)",
+    ]
+
+
 def lattice(words: str, lexicon: str, p: str, window: int) -> list[str]:
     """{p}lat(word, idx, piece, known): all paths over the entries and clusters of each word, the best of which stays: fewest unknown characters, fewest pieces, the longest piece first."""
-    cluster = f"{LEAD}?{CONS}[{O.VOWEL.translate(str.maketrans('', '', O.LEADING))}{O.TONE}็์ํ]{{0,8}}|(?s:.)"
     return [
-        f"{p}k AS (SELECT word, list_transform(regexp_extract_all(word, '{cluster}'), lambda c: length(c)) AS sizes FROM {words})",
+        f"{p}k AS (SELECT word, list_transform(regexp_extract_all(word, '{_clusters()}'), lambda c: length(c)) AS sizes FROM {words})",
         f"{p}n AS (SELECT word, n, CAST(list_sum(sizes[1:i]) AS BIGINT) - n + 1 AS pos FROM (SELECT word, sizes, unnest(sizes) AS n, unnest(range(1, len(sizes) + 1)) AS i FROM {p}k))",
         f"""{p}e AS (SELECT word, pos, n, n AS unknown FROM {p}n UNION ALL SELECT DISTINCT x.word, x.pos, k.n, 0 FROM {p}n x, (SELECT unnest(range(1, {window + 1})) AS n) k JOIN {lexicon} l ON l.thai = x.word[x.pos:x.pos + k.n - 1]
   WHERE x.pos + k.n - 1 <= length(x.word) AND (x.pos + k.n - 1 = length(x.word) OR EXISTS (SELECT 1 FROM {p}n y WHERE y.word = x.word AND y.pos = x.pos + k.n)))""",
