@@ -38,7 +38,7 @@ RATIO = (4, 9)
 #: Steps of the ladder of numbers of ranges.
 LADDER = sorted({math.ceil(1.7**k) for k in range(40)})
 #: Sets and shingles of a chunk.
-RUN, CHUNK_SHINGLES = 1024, 1 << 20
+RUN, CHUNK_SHINGLES = 1024, 1 << 22
 #: Points of a leaf, boxes of a node; words and sets that a task remembers; texts that a task works on at once.
 LEAF, FAN, MEMO, BATCH = 8, 4, 1 << 16, 500
 #: Bits that say which texts may be needed again: a table of at most 16 MB. Where more are needed than it tells apart, more texts travel.
