@@ -82,20 +82,23 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
         hist = (
             rows.join(edge, same("source", "s") & (F.substring("h", 1, n - STEP) == F.col("prefix")))
             .groupBy("s", F.substring("h", 1, n).alias("b"))
-            .agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
+            .agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         )
         upto = Window.partitionBy("s").orderBy("b")
         # the boundary is the first bucket with which the running sum passes the rest
         at = hist.withColumn("cum", F.sum("n").over(upto)).withColumn("below", F.col("cum") - F.col("n"))
         at = at.groupBy("s").agg(
             F.max(F.when(F.col("cum") <= F.col("rest"), F.col("b"))).alias("full"),
-            F.min(F.when(F.col("cum") > F.col("rest"), F.struct("b", "below", "n", "rest"))).alias("x"),
+            F.min(F.when(F.col("cum") > F.col("rest"), F.struct("b", "below", "n", "rest", "lo", "hi"))).alias("x"),
         )
         at = C.materialize(at)
         done.append(at.select("s", F.rpad("full", DIGITS, "f").alias("last")))
-        if n == DIGITS:
-            done.append(at.filter(F.col("x.below") + F.col("x.n") - F.col("x.rest") < F.col("x.rest") - F.col("x.below")).select("s", F.col("x.b").alias("last")))
-        edge = at.filter("x is not null").select("s", F.col("x.b").alias("prefix"), (F.col("x.rest") - F.col("x.below")).alias("rest"))
+        one = at.filter("x.lo = x.hi")  # the boundary bucket is down to one hash
+        done.append(one.filter(F.col("x.below") + F.col("x.n") - F.col("x.rest") < F.col("x.rest") - F.col("x.below")).select("s", F.col("x.lo").alias("last")))
+        more = at.filter("x.lo <> x.hi")
+        if not more.limit(1).count():
+            break
+        edge = more.select("s", F.col("x.b").alias("prefix"), (F.col("x.rest") - F.col("x.below")).alias("rest"))
     last = done[0]
     for d in done[1:]:
         last = last.unionAll(d)
