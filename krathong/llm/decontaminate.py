@@ -10,8 +10,8 @@ Only windows that share a shingle with an item are fingerprinted, and only items
 candidates: without one the similarity is 0, so nothing is lost, and clean text costs one dictionary lookup for
 each word. A similarity of 0.8 asks for a wide radius (pairs at 0.8 differ in 10 of 64 bits on average, hardly ever in
 over 20: measured in the tests), and at that radius the blocks alone let pass nearly half of all items of a
-length; the shared shingles make the search selective. Where few items share one with a text, they are held
-against its windows one by one, which is the same search with less to look up.
+length; the shared shingles make the search selective. Every window goes through the index: of the items that share a shingle with its text those stay that
+one of its blocks leads to, and of these the ones within the radius are verified.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 7, 20
 #: Items are sent to the executors in blocks of at most about so many items and characters; more blocks for more items.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
-#: Up to so many candidates of a text are compared one by one, more are looked up in the index.
-FEW = 64
 _WORD = re.compile(r"\w+")
+_NONE: frozenset = frozenset()
 _CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
@@ -77,7 +76,7 @@ class Index:
         self.ids, self.length, self.prints, self.counts, self.total = [], [], [], [], []
         self.vocabulary: dict[str, int] = {}
         self.anchors: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.blocks: dict[tuple, list[int]] = defaultdict(list)
+        self.blocks: dict[tuple, set[int]] = defaultdict(set)
         flips = {n: [0, *(sum(1 << i for i in c) for r in range(1, RADIUS // BLOCKS + 1) for c in combinations(range(n), r))] for n in {b - a for a, b in zip(_CUTS, _CUTS[1:])}}
         for item, text in items:
             w = words_of(text or "")
@@ -96,7 +95,7 @@ class Index:
                 self.anchors[k][s].append(i)
             for b, v in enumerate(block_values(fp)):
                 for flip in flips[_CUTS[b + 1] - _CUTS[b]]:
-                    self.blocks[len(w), b, v ^ flip].append(i)
+                    self.blocks[len(w), b, v ^ flip].add(i)
         self.anchors = {k: dict(v) for k, v in self.anchors.items()}
         self.blocks = dict(self.blocks)
         self.firsts = {k: np.array(sorted({s[0] * (len(self.vocabulary) + 1) + s[-1] for s in v})) for k, v in self.anchors.items()}
@@ -131,10 +130,9 @@ class Index:
         return [(self.ids[i], s, a, d) for i, (s, a, d) in sorted(best.items(), key=lambda x: x[1][1])]
 
     def candidates(self, fp: int, n: int, near: set) -> list[int]:
-        """The items of ``n`` words among ``near`` whose fingerprints are within the radius."""
-        if len(near) > FEW:
-            near = near.intersection({i for blk, val in enumerate(block_values(fp)) for i in self.blocks.get((n, blk, val), ())})
-        return [i for i in near if (fp ^ self.prints[i]).bit_count() <= RADIUS]
+        """The items of ``n`` words among ``near`` that a block of the fingerprint leads to and that are within the radius."""
+        led = {i for blk, val in enumerate(block_values(fp)) for i in near & self.blocks.get((n, blk, val), _NONE)}
+        return [i for i in led if (fp ^ self.prints[i]).bit_count() <= RADIUS]
 
     def _windows(self, w, n, k, spans, near, best):
         merged = []
@@ -157,29 +155,28 @@ class Index:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """The items in blocks of bounded size, one block on the driver at a time."""
+    """(items, whether they are the last) in blocks of bounded size, one block on the driver at a time."""
     items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("t is not null")
     n, size = items.select(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     parts = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_CHARS))
     for p in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == p).distinct().orderBy("i", "t").collect()
-        yield [(r.i, r.t) for r in rows]
+        yield [(r.i, r.t) for r in rows], p == parts - 1
 
 
-def leak_columns(benchmark: DataFrame, text, id_col: str = "item_id", text_col: str = "text") -> list:
-    """For each block of items a column of the leaks in ``text``: array of (item_id, similarity, start_word, hamming)."""
-    kind = benchmark.schema[id_col].dataType.simpleString()
+def leak_column(items: list[tuple], kind: str, text):
+    """The leaks of a block of items in ``text``: array of (item_id, similarity, start_word, hamming)."""
+    index = Index(items)
 
-    def column(items):
-        index = Index(items)
+    @F.pandas_udf(f"array<struct<item_id:{kind},similarity:double,start_word:bigint,hamming:int>>")
+    def leaks(t: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("item_id", "similarity", "start_word", "hamming"), x)) for x in index.find(s)] for s in C.clean(t)], dtype=object)
 
-        @F.pandas_udf(f"array<struct<item_id:{kind},similarity:double,start_word:bigint,hamming:int>>")
-        def leaks(t: pd.Series) -> pd.Series:
-            return pd.Series([[dict(zip(("item_id", "similarity", "start_word", "hamming"), x)) for x in index.find(s)] for s in C.clean(t)], dtype=object)
+    return leaks(text)
 
-        return leaks(text)
 
-    return [column(items) for items in item_blocks(benchmark, id_col, text_col)]
+def _kind(benchmark: DataFrame) -> str:
+    return benchmark.schema["item_id"].dataType.simpleString()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,9 +187,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     count once. A null id is kept. Other columns are not read. An empty table on either side gives no rows.
     """
     out = None
-    for leaks in leak_columns(benchmark, F.col(text_col)):
+    for items, last in item_blocks(benchmark):
         # the outer form: for an inner one the optimizer infers a filter on the array and evaluates the function twice
-        part = docs.select(F.col(id_col).alias("doc_id"), leaks.alias("_l")).select("doc_id", F.inline_outer("_l")).filter("similarity is not null")
+        part = docs.select(F.col(id_col).alias("doc_id"), leak_column(items, _kind(benchmark), F.col(text_col)).alias("_l")).select("doc_id", F.inline_outer("_l")).filter("similarity is not null")
+        part = part if last and out is None else C.materialize(part)  # written, so that the driver holds one index at a time
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -204,8 +202,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     too, are judged by their text alone; extra columns of any name come along. Empty tables: nothing goes, nothing comes.
     """
     rows = C.pack(docs)
-    for leaks in leak_columns(benchmark, F.col("row")[text_col]):
-        rows = rows.withColumn("leaks", F.size(leaks)).filter("leaks = 0").select("row")
+    for items, last in item_blocks(benchmark):
+        rows = rows.withColumn("leaks", F.size(leak_column(items, _kind(benchmark), F.col("row")[text_col]))).filter("leaks = 0").select("row")
+        rows = rows if last else C.materialize(rows)
     return rows.select("row.*")
 
 
