@@ -93,9 +93,12 @@ def layered_lookup(spark, d):
     return K.layered(_halves(spark, d).select("p_partkey", F.col("b").alias("word")), _lex(spark).filter("priority = 0"), _dict(spark))
 
 
-@query(f"WITH {_LEX} SELECT thai, translit FROM dict")
+_ROWS = "SELECT concat('มา', CAST(o_custkey % 500 AS STRING)) AS thai, concat('r', CAST(o_orderkey AS STRING)) AS translit, concat('f', CAST(o_orderkey % 7 AS STRING), '.txt') AS file, o_orderkey AS line_no FROM orders"
+
+
+@query(f"SELECT thai, translit FROM ({_ROWS}) QUALIFY row_number() OVER (PARTITION BY thai ORDER BY file DESC, line_no DESC) = 1")
 def lexicon_dedupe_last_wins(spark, d):
-    return _dict(spark)
+    return K.last_wins(_orders(spark, d, _ROWS))
 
 
 @query(
@@ -120,9 +123,13 @@ def syllable_union(spark, d):
     return K.syllable_union(_dict(spark), derived, _lex(spark).filter("priority = 0"))
 
 
-@query(f"WITH {_LEX} SELECT thai, translit, NOT contains(thai, ' ') AND ((length(thai) <= 5 AND NOT contains(translit, '-')) OR length(thai) <= 3) AS syllable, NOT contains(thai, ' ') AS one_word FROM dict")
+#: Words of one to nine characters, some with a space, romanized in one part or two.
+_SHORT = "SELECT o_orderkey AS k, substring('กามา ดีไปไหน ใจดี', CAST(1 + o_orderkey % 8 AS INT), CAST(1 + o_custkey % 9 AS INT)) AS thai, CASE WHEN o_custkey % 4 = 0 THEN 'a-b' ELSE 'ab' END AS translit FROM orders"
+
+
+@query(f"SELECT k, thai, translit, NOT contains(thai, ' ') AND ((length(thai) <= 5 AND NOT contains(translit, '-')) OR length(thai) <= 3) AS syllable, NOT contains(thai, ' ') AS one_word FROM ({_SHORT})")
 def syllable_admission(spark, d):
-    return _dict(spark).select("thai", "translit", K.admit_syllable(F.col("thai"), F.col("translit")).alias("syllable"), (~F.col("thai").contains(" ")).alias("one_word"))
+    return _orders(spark, d, _SHORT).select("k", "thai", "translit", K.admit_syllable(F.col("thai"), F.col("translit")).alias("syllable"), (~F.col("thai").contains(" ")).alias("one_word"))
 
 
 @query(f"WITH {_PARTS}, {_LEX} SELECT DISTINCT word FROM parts WHERE word NOT IN (SELECT thai FROM dict) UNION SELECT DISTINCT b FROM parts WHERE b NOT IN (SELECT thai FROM dict)")
@@ -188,12 +195,6 @@ def fold_separators(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.fold_separators(F.col("text")).alias("folded"))
 
 
-@query(f"SELECT n, strip_accents(x) AS plain FROM (SELECT n, expected AS x FROM {D.PAIR_SQL} UNION ALL SELECT line_no * 1000 + length(file), translit FROM {D.LEX_SQL})")
-def strip_tones(spark, d):
-    rows = spark.sql(f"SELECT n, expected AS x FROM {D.PAIR_SQL} UNION ALL SELECT line_no * 1000 + length(file), translit FROM {D.LEX_SQL}")
-    return rows.select("n", X.strip_tones(F.col("x")).alias("plain"))
-
-
 _COMBINED = "SELECT o_orderkey AS k, concat(substr('bpdtk', CAST(o_orderkey % 5 AS INT) + 1, 1), substr('aeiou', CAST(o_orderkey % 5 AS INT) + 1, 1), substr('̀́̂̌', CAST(o_orderkey % 4 AS INT) + 1, 1), 'ng') AS x FROM orders"
 
 
@@ -245,6 +246,12 @@ def _duck_normalize(x: str) -> str:
 _ROMAN = f"SELECT o_orderkey AS k, concat(e.expected, CASE o_orderkey % 4 WHEN 0 THEN ' mǎi' WHEN 1 THEN ' wâ!' WHEN 2 THEN ' mái  (rɔ̌ɔk) mái ná' ELSE '...' END) AS x FROM orders JOIN (SELECT * FROM {D.PAIR_SQL}) e ON e.n = o_orderkey % 7 + 1"
 
 
+@query(f"SELECT k, strip_accents(x) AS plain FROM ({_ROMAN} UNION ALL {_COMBINED.replace('substr(', 'substring(')})")
+def strip_tones(spark, d):
+    """Tone marks precomposed and combining."""
+    return _orders(spark, d, _ROMAN).unionAll(_orders(spark, d, _COMBINED)).select("k", X.strip_tones(F.col("x")).alias("plain"))
+
+
 @query(f"SELECT k, {_duck_normalize('x')} AS normalized FROM ({_ROMAN})")
 def normalize_text(spark, d):
     return _orders(spark, d, _ROMAN).select("k", X.normalize(F.col("x")).alias("normalized"))
@@ -283,7 +290,9 @@ def char_class_histogram(spark, d):
 
 # ---- tones and syllables -------------------------------------------------------------------------
 
-_GRID = "(VALUES ('low'), ('mid'), ('high')) AS c(cls), (VALUES (''), ('่'), ('้'), ('๊'), ('๋')) AS m(mark), (VALUES ('a'), ('aa'), ('ai'), ('əə'), ('ɔ')) AS v(vowel), (VALUES (''), ('k'), ('n'), ('i')) AS f(final)"
+#: A class, mark, vowel and final for each order; all combinations come up.
+_GRID = """(SELECT o_orderkey AS k, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS cls, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN '่' WHEN 2 THEN '้' WHEN 3 THEN '๊' ELSE '๋' END AS mark,
+  CASE CAST(o_custkey % 5 AS INT) WHEN 0 THEN 'a' WHEN 1 THEN 'aa' WHEN 2 THEN 'ai' WHEN 3 THEN 'əə' ELSE 'ɔ' END AS vowel, CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'k' WHEN 2 THEN 'n' ELSE 'i' END AS final FROM orders) AS g"""
 
 
 def _grid_oracle() -> str:
@@ -293,7 +302,7 @@ def _grid_oracle() -> str:
         "build": "(final IN ('', 'n', 'm', 'ng') OR regexp_matches(vowel, 'aa|ii|uu|ee|oo|ɔɔ'))",
         "pattern": "(final NOT IN ('k', 't', 'p'))",
     }
-    one = lambda e: f"""SELECT '{e}' AS engine, cls, mark, vowel, final, {live[e]} AS live, CASE mark WHEN '่' THEN CASE cls WHEN 'low' THEN 3 ELSE 1 END WHEN '้' THEN CASE cls WHEN 'low' THEN 2 ELSE 3 END
+    one = lambda e: f"""SELECT '{e}' AS engine, k, cls, mark, vowel, final, {live[e]} AS live, CASE mark WHEN '่' THEN CASE cls WHEN 'low' THEN 3 ELSE 1 END WHEN '้' THEN CASE cls WHEN 'low' THEN 2 ELSE 3 END
   WHEN '๊' THEN CASE cls WHEN 'mid' THEN 2 ELSE 0 END WHEN '๋' THEN CASE cls WHEN 'mid' THEN 4 ELSE 0 END
   ELSE CASE WHEN {live[e]} THEN CASE cls WHEN 'high' THEN 4 ELSE 0 END WHEN cls <> 'low' THEN 1 ELSE {f"CASE WHEN {long} THEN 3 ELSE 2 END" if e == 'pattern' else '2'} END END AS tone FROM {_GRID}"""
     return " UNION ALL ".join(map(one, live))
@@ -301,19 +310,21 @@ def _grid_oracle() -> str:
 
 @query(_grid_oracle())
 def tone_matrix(spark, d):
-    g = spark.sql(f"SELECT * FROM {_GRID}")
+    g = _orders(spark, d, f"SELECT * FROM {_GRID}")
     out = None
     for e in ("legacy", "build", "pattern"):
         live = S.is_live(F.col("vowel"), F.col("final"), e)
-        part = g.select(F.lit(e).alias("engine"), "cls", "mark", "vowel", "final", live.alias("live"), S.tone_number(F.col("cls"), live, F.col("mark"), S.is_long(F.col("vowel")), e).alias("tone"))
+        part = g.select(F.lit(e).alias("engine"), "k", "cls", "mark", "vowel", "final", live.alias("live"), S.tone_number(F.col("cls"), live, F.col("mark"), S.is_long(F.col("vowel")), e).alias("tone"))
         out = part if out is None else out.unionAll(part)
     return out
 
 
-@query(f"SELECT x, nfc_normalize(regexp_replace(x, '^([^aeiouəɛɔʉ]*[aeiouəɛɔʉ])', '\\1' || m)) AS toned FROM (VALUES ('gaa'), ('krʉʉ'), ('ngɔɔng'), ('pleeng'), ('brt')) AS r(x), (VALUES (''), ('̀'), ('́'), ('̂'), ('̌')) AS t(m)")
+_UNTONED = "SELECT o_orderkey AS k, concat(CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'gaa' WHEN 1 THEN 'krʉʉ' WHEN 2 THEN 'ngɔɔng' WHEN 3 THEN 'pleeng' ELSE 'brt' END, CASE WHEN o_custkey % 2 = 0 THEN 'na' ELSE '' END) AS x, CAST(o_custkey % 5 AS INT) AS n FROM orders"
+
+
+@query(f"SELECT k, nfc_normalize(regexp_replace(x, '^([^aeiouəɛɔʉ]*[aeiouəɛɔʉ])', '\\1' || ['', '̀', '́', '̂', '̌'][n + 1])) AS toned FROM ({_UNTONED})")
 def tone_placement(spark, d):
-    g = spark.sql("SELECT * FROM (VALUES ('gaa'), ('krʉʉ'), ('ngɔɔng'), ('pleeng'), ('brt')) AS r(x), (VALUES (0), (1), (2), (3), (4)) AS t(n)")
-    return g.select("x", S.place_tone(F.col("x"), F.col("n")).alias("toned"))
+    return _orders(spark, d, _UNTONED).select("k", S.place_tone(F.col("x"), F.col("n")).alias("toned"))
 
 
 _ALL_WORDS = f"(SELECT DISTINCT word FROM parts UNION SELECT word FROM {D.WORD_SQL} UNION SELECT a FROM parts UNION SELECT b FROM parts)"
@@ -369,10 +380,10 @@ def syllable_components(spark, d):
     return _words(spark, d).withColumn("c", P.components(F.col("word"))).select("word", "c.*")
 
 
-@query(f"SELECT vowel, final, regexp_matches(vowel, 'aa|ii|uu|ee|oo|ɔɔ|əə') AS long, final NOT IN ('k', 't', 'p') AS live FROM (VALUES ('a'), ('aa'), ('ai'), ('əə'), ('ɔ')) AS v(vowel), (VALUES (''), ('k'), ('n'), ('i')) AS f(final)")
+@query(f"SELECT k, vowel, final, regexp_matches(vowel, 'aa|ii|uu|ee|oo|ɔɔ|əə') AS long, final NOT IN ('k', 't', 'p') AS live FROM {_GRID}")
 def live_dead(spark, d):
-    g = spark.sql("SELECT * FROM (VALUES ('a'), ('aa'), ('ai'), ('əə'), ('ɔ')) AS v(vowel), (VALUES (''), ('k'), ('n'), ('i')) AS f(final)")
-    return g.select("vowel", "final", S.is_long(F.col("vowel")).alias("long"), S.is_live(F.col("vowel"), F.col("final"), "pattern").alias("live"))
+    g = _orders(spark, d, f"SELECT * FROM {_GRID}")
+    return g.select("k", "vowel", "final", S.is_long(F.col("vowel")).alias("long"), S.is_live(F.col("vowel"), F.col("final"), "pattern").alias("live"))
 
 
 # ---- segmentation --------------------------------------------------------------------------------
@@ -418,13 +429,18 @@ _SPELLED = f"""sp AS (SELECT DISTINCT word, rb.translit || '-' || ra.translit AS
   JOIN (SELECT * FROM {D.ROMAN_SQL}) ra ON ra.thai = a JOIN (SELECT * FROM {D.ROMAN_SQL}) rb ON rb.thai = b)"""
 
 
-@query(Q.query(_PARTS, _SPELLED, "tw AS (SELECT word, translit FROM sp WHERE NOT held)", "dw AS (SELECT word FROM sp)", Q.tagged("tw", "dw", "g", L.ROUNDS), "SELECT sp.word, held, syllables FROM sp JOIN gtag USING (word)"))
-def syllable_tagger(spark, d):
-    """Syllables of all part words by weights learned from four fifths of them, spelled with hyphens."""
+def _spelled(spark, d):
+    """(word, translit, held) of the part words with their hyphenated romanizations; a fifth is held out."""
     roman = _v(spark, D.ROMAN_SQL)
     side = lambda c: F.broadcast(roman.select(F.col("thai").alias(f"t{c}"), F.col("translit").alias(f"r{c}")))  # noqa: E731  sixteen rows, fixed
     h = _halves(spark, d).join(side("a"), F.col("a") == F.col("ta")).join(side("b"), F.col("b") == F.col("tb"))
-    h = materialize(h.select("word", F.concat_ws("-", "rb", "ra").alias("translit"), ((F.ascii("a") + F.ascii("b")) % 5 == 0).alias("held")).distinct())
+    return h.select("word", F.concat_ws("-", "rb", "ra").alias("translit"), ((F.ascii("a") + F.ascii("b")) % 5 == 0).alias("held")).distinct()
+
+
+@query(Q.query(_PARTS, _SPELLED, "tw AS (SELECT word, translit FROM sp WHERE NOT held)", "dw AS (SELECT word FROM sp)", Q.tagged("tw", "dw", "g", L.ROUNDS), "SELECT sp.word, held, syllables FROM sp JOIN gtag USING (word)"))
+def syllable_tagger(spark, d):
+    """Syllables of all part words by weights learned from four fifths of them, spelled with hyphens."""
+    h = materialize(_spelled(spark, d))
     weights = L.fit(h.filter("not held").select(F.col("word").alias("thai"), "translit"))
     return h.select("word", "held").join(L.syllables(h, weights), "word")
 
@@ -516,9 +532,13 @@ def word_accuracy(spark, d):
     return p.agg(F.sum("m").alias("matched"), F.sum("n").alias("words"), F.round(F.sum("m") * 100.0 / F.sum("n"), 6).alias("accuracy"))
 
 
-@query(f"WITH {_greedy_oracle(f'''SELECT n AS k, string_split(expected, ' ') AS e, string_split(got, ' ') AS o FROM {D.PAIR_SQL}''')} SELECT k AS n, m AS matched FROM g WHERE j = len(e)")
+#: A golden line and a rendering of it for each order, some with words before and behind.
+_LINED = f"SELECT o_orderkey AS k, concat(e.expected, CASE WHEN o_custkey % 3 = 0 THEN ' ná' ELSE '' END) AS expected, concat(CASE WHEN o_custkey % 4 = 0 THEN 'a ' ELSE '' END, e.got, CASE WHEN o_custkey % 3 <> 1 THEN ' ná' ELSE '' END) AS got FROM orders JOIN (SELECT * FROM {D.PAIR_SQL}) e ON e.n = o_orderkey % 7 + 1"
+
+
+@query(f"WITH {_greedy_oracle(f'SELECT k, string_split(expected, chr(32)) AS e, string_split(got, chr(32)) AS o FROM ({_LINED})')} SELECT k, m AS matched FROM g WHERE j = len(e)")
 def greedy_word_match(spark, d):
-    return _v(spark, D.PAIR_SQL).select("n", E.greedy_matches(F.split("expected", " "), F.split("got", " ")).alias("matched"))
+    return _orders(spark, d, _LINED).select("k", E.greedy_matches(F.split("expected", " "), F.split("got", " ")).alias("matched"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE l_returnflag = l_linestatus OR l_linenumber = 1) AS passed, count(*) FILTER (WHERE NOT (l_returnflag = l_linestatus OR l_linenumber = 1)) AS failed, round(count(*) FILTER (WHERE l_returnflag = l_linestatus OR l_linenumber = 1) * 100.0 / count(*), 6) AS accuracy FROM lineitem")
@@ -526,18 +546,18 @@ def line_accuracy(spark, d):
     return _t(spark, d, "lineitem").agg(*E.accuracy((F.col("l_returnflag") == F.col("l_linestatus")) | (F.col("l_linenumber") == 1)))
 
 
-@query(f"WITH e AS (SELECT *, replace(replace(expected, '-', ''), '~', '') AS a, replace(replace(got, '-', ''), '~', '') AS b FROM {D.PAIR_SQL}) SELECT count(*) AS total, count(*) FILTER (WHERE strip_accents(a) = strip_accents(b)) AS passed, count(*) FILTER (WHERE strip_accents(a) <> strip_accents(b)) AS failed, round(count(*) FILTER (WHERE strip_accents(a) = strip_accents(b)) * 100.0 / count(*), 6) AS accuracy FROM e")
+@query(f"WITH e AS (SELECT *, replace(replace(expected, '-', ''), '~', '') AS a, replace(replace(got, '-', ''), '~', '') AS b FROM ({_LINED})) SELECT count(*) AS total, count(*) FILTER (WHERE strip_accents(a) = strip_accents(b)) AS passed, count(*) FILTER (WHERE strip_accents(a) <> strip_accents(b)) AS failed, round(count(*) FILTER (WHERE strip_accents(a) = strip_accents(b)) * 100.0 / count(*), 6) AS accuracy FROM e")
 def dict_accuracy(spark, d):
-    return _v(spark, D.PAIR_SQL).agg(*E.accuracy(E.tone_blind_equal(F.col("expected"), F.col("got"))))
+    return _orders(spark, d, _LINED).agg(*E.accuracy(E.tone_blind_equal(F.col("expected"), F.col("got"))))
 
 
-_FAILED = "SELECT p_partkey AS k, p_name AS expected, p_brand AS got FROM part ORDER BY 1 LIMIT 50"
+_FAILED = f"SELECT k, expected, CASE CAST(k % 4 AS INT) WHEN 0 THEN got WHEN 1 THEN replace(replace(expected, 'à', 'â'), 'â', 'à') WHEN 2 THEN replace(replace(expected, 'a', 'e'), 'à', 'á') ELSE expected END AS got FROM ({_LINED})"
 
 
-@query(f"SELECT count(*) FILTER (WHERE strlen(expected) <> strlen(got)) AS length_errors, count(*) FILTER (WHERE strlen(expected) = strlen(got) AND strip_accents(expected) = strip_accents(got)) AS tone_errors, count(*) FILTER (WHERE strlen(expected) = strlen(got) AND strip_accents(expected) <> strip_accents(got)) AS other_errors FROM ({_FAILED})")
+@query(f"SELECT count(*) FILTER (WHERE strlen(expected) <> strlen(got)) AS length_errors, count(*) FILTER (WHERE strlen(expected) = strlen(got) AND strip_accents(expected) = strip_accents(got)) AS tone_errors, count(*) FILTER (WHERE strlen(expected) = strlen(got) AND strip_accents(expected) <> strip_accents(got)) AS other_errors FROM ({_FAILED} ORDER BY k LIMIT 50)")
 def failure_classes(spark, d):
-    f = _t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("expected"), F.col("p_brand").alias("got"))
-    return E.failure_classes(E.first_failures(f, 50, "k"))
+    """Of toned lines: the first fifty by class."""
+    return E.failure_classes(E.first_failures(_orders(spark, d, _FAILED), 50, "k"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag <> l_linestatus ORDER BY l_orderkey, l_linenumber LIMIT 30")
@@ -648,7 +668,7 @@ _BARE = "regexp_replace(expected, '<[^>]+>', '', 'g')"
 
 @query(
     Q.query(
-        _LEX, _LX, "ks AS (SELECT thai, translit AS expected, regexp_replace(thai, '<[^>]+>', '', 'g') AS word FROM dict WHERE NOT contains(thai, ' ')), kw AS (SELECT DISTINCT word FROM ks)", Q.transliterated("kw", "lx", "t"),
+        _PARTS, _SPELLED, "dict AS (SELECT word || CASE WHEN length(word) % 2 = 0 THEN '<n>' ELSE '' END AS thai, translit FROM sp UNION ALL SELECT word || ' ' || word, translit FROM sp)", _LX, "ks AS (SELECT thai, translit AS expected, regexp_replace(thai, '<[^>]+>', '', 'g') AS word FROM dict WHERE NOT contains(thai, ' ')), kw AS (SELECT DISTINCT word FROM ks)", Q.transliterated("kw", "lx", "t"),
         "g AS (SELECT 'rules' AS mode, thai, expected, roman AS got FROM ks LEFT JOIN ttr USING (word) UNION ALL SELECT 'dictionary', ks.thai, expected, coalesce(nfc_normalize(dict.translit), roman) FROM ks LEFT JOIN dict ON dict.thai = word LEFT JOIN ttr USING (word))",
         f"e AS (SELECT *, coalesce({_fold(_BARE)} = {_fold('got')}, false) AS ok FROM g)",
         "f AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY thai) AS n FROM e WHERE NOT ok)",
@@ -657,8 +677,10 @@ _BARE = "regexp_replace(expected, '<[^>]+>', '', 'g')"
     )
 )
 def dictionary_test(spark, d):
-    """The dictionary against the rules alone and against itself: counts and classes of the first fifty failures of each."""
-    entries, lex = _dict(spark), _segment_lexicon(spark)
+    """Part words, some with a marker or a space, against the rules alone and against themselves: counts and classes of the first fifty failures of each."""
+    spelled, lex = materialize(_spelled(spark, d)), _segment_lexicon(spark)
+    marked = F.concat("word", F.when(F.char_length("word") % 2 == 0, "<n>").otherwise(""))
+    entries = materialize(spelled.select(marked.alias("thai"), "translit").unionAll(spelled.select(F.concat_ws(" ", "word", "word"), "translit")))
     keys = entries.select(X.strip_markers(F.col("thai")).alias("word"))
     modes = {"rules": G.transliterate(keys, lex), "dictionary": N.romanize_words(keys, entries, lex)}
     out = None
