@@ -464,3 +464,57 @@ def report(rows: DataFrame, conversations: DataFrame) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = C.table(spark, sf_dir, "conversations")
     return report(damage(conversations), conversations)
+
+
+def _oracle() -> str:
+    """The whole of it in DuckDB: the checksum bit by bit, faults by windows, and for each order of roles so far the least (cost, letters) with its messages, row by row.
+
+    A state is one string: its cost in nine digits, its letters, a line feed and a mark, its messages; the least string has the least cost, then the ASCII-least letters.
+    """
+    crc = "list_reduce([CAST(4294967295 AS BIGINT), *]::BIGINT[], lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    crc = crc.replace("[CAST(4294967295 AS BIGINT), *]::BIGINT[]", f"list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({key}, ''), lambda x: CAST(unicode(x) AS BIGINT)))")
+    add = lambda state, cost, letter, said="''": f"CASE WHEN {state} <> '' THEN lpad(CAST(CAST({state}[1:9] AS INT) + {cost} AS VARCHAR), 9, '0') || split_part({state}[10:], chr(1), 1) || '{letter}' || chr(1) || {state}[strpos({state}, chr(1)) + 1:] || {said} END"
+    says = lambda role, text="''": f"chr(10) || {role} || ':' || {text}"
+    least = lambda *x: f"coalesce(least({', '.join(f'nullif({v}, {chr(39) * 2})' for v in x)}), '')"
+
+    def closed(names, src):
+        """Two rounds of inserted turns."""
+        o, s, u, a = names
+        put_u = least(u, *(add(q, 2, "I", says("'user'")) for q in (o, s, a)))
+        one = f"SELECT *, {put_u} AS u1 FROM ({src})"
+        two = f"SELECT *, {least(a, add('u1', 2, 'I', says(chr(39) + 'assistant' + chr(39))))} AS a1 FROM ({one})"
+        return two
+
+    step = (
+        f"SELECT conv_id, n + 1 AS n, {least(add('o', 3, 'D'))} AS o, "
+        f"{least(add('s', 3, 'D'), f'CASE WHEN NOT must AND i = {chr(39)}s{chr(39)} THEN ' + add('o', 'cut', 'K', says('role', 'text')) + ' END')} AS s, "
+        + least(add("u1", 3, "D"), *(f"CASE WHEN NOT must THEN CASE WHEN i = 'u' THEN {add(q, 'cut', 'K', says('role', 'text'))} ELSE {add(q, '2 + cut', 'R', says(chr(39) + 'user' + chr(39), 'text'))} END END" for q in ("o", "s", "a1")))
+        + " AS u, "
+        + least(add("a1", 3, "D"), f"CASE WHEN NOT must THEN CASE WHEN i = 'a' THEN {add('u1', 'cut', 'K', says('role', 'text'))} ELSE {add('u1', '2 + cut', 'R', says(chr(39) + 'assistant' + chr(39), 'text'))} END END")
+        + " AS a"
+    )
+    white = "[^\\x20\\x09-\\x0D]"
+    parts = [
+        f"d AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({crc}, 4294967295) % 20 AS c FROM conversations)",
+        "m AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE c WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE c <> 0)",
+        "x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n, coalesce(nullif(role[1], ''), ' ') AS i FROM m)",
+        f"""f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '{white}') AS blank, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS short,
+  lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM x)""",
+        "g AS MATERIALIZED (SELECT conv_id, n, role, i, text, blank OR again AS must, CASE WHEN short AND NOT blank AND NOT again THEN 1 ELSE 0 END AS cut FROM f)",
+        f"""r AS (SELECT conv_id, CAST(1 AS BIGINT) AS n, '000000000' || chr(1) AS o, '' AS s, '' AS u, '' AS a FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL {step} FROM ({closed(('o', 's', 'u', 'a'), 'SELECT r.*, g.role, g.i, g.text, g.must, g.cut FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.n = r.n')}))""",
+        "z AS (SELECT r.conv_id, o, s, u, a FROM r JOIN (SELECT conv_id, max(n) + 1 AS n FROM g GROUP BY conv_id) k ON k.conv_id IS NOT DISTINCT FROM r.conv_id AND k.n = r.n)",
+        f"y AS (SELECT conv_id, {least('o', 'a1')} AS best FROM ({closed(('o', 's', 'u', 'a'), 'SELECT * FROM z')}))",
+        """k AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND again) AS duplicate,
+  count(*) FILTER (WHERE NOT blank AND NOT again AND short) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)""",
+    ]
+    return (
+        "WITH RECURSIVE " + ",\n".join(parts) + """
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(best[1:9] AS BIGINT), 0) AS cost,
+  coalesce(split_part(best[10:], chr(1), 1), '') AS audit, sha256(coalesce(best[strpos(best, chr(1)) + 2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM c.conv_id"""
+    )
+
+
+ORACLE = _oracle()

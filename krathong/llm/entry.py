@@ -27,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_blob_ledger": secret_scan.ORACLE, "op8_mix_thresholds": mixing.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
+    return {"op4_blob_ledger": secret_scan.ORACLE, "op8_mix_thresholds": mixing.ORACLE, "op11_ngram_jaccard": jaccard_join.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
