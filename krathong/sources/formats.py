@@ -82,7 +82,9 @@ class LineReader(DataSourceReader):
         files = sorted((i for i in found if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))), key=lambda i: i.base_name)
         return [Range(scheme + i.path, a, min(a + self.split, i.size)) for i in files if self._passes("file", i.base_name) for a in range(0, i.size, self.split)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range | None) -> Iterator[tuple]:
+        if partition is None:  # where there are no partitions, Spark reads one without a range
+            return
         file = partition.path.rsplit("/", 1)[-1]
         others = [(k, c) for k, c in enumerate(self.columns) if c != "file"]
         for at, line in lines_of(partition):
