@@ -18,6 +18,8 @@ import html as html_lib
 import re
 import uuid
 import zlib
+from collections import deque
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -383,11 +385,42 @@ def _batches(rows, names):
         yield batch(out, names, pa.null())
 
 
+#: What parts records, and the longest block that is put together again.
+MARK, LONGEST = b"\r\n\r\nWARC/", 1 << 30
+
+
+def _joined(pieces):
+    """The records of the pieces of a split in order: the length of a block decides, so pieces that a mark inside of it has cut are joined again.
+
+    Where a length says more than the split has left, the record is cut off and what follows it are records of their own.
+    """
+    again = deque()
+    take = lambda: again.popleft() if again else next(pieces, None)
+    while (x := take()) is not None:
+        if not x.strip():
+            continue
+        m = re.match(rb"(?:WARC/)?[0-9][^\n]*\n(.*?\n)?\r?\n(.*)", x, re.S)
+        if not m:
+            yield _invalid("no head")
+            continue
+        head, parts, more = m[1] or b"", [m[2]], []
+        size = re.search(rb"^content-length\s*:\s*([0-9]{1,15})\s*$", head, re.I | re.M)
+        size, have = int(size[1]) if size else 0, len(m[2])
+        while have < size <= LONGEST and (y := take()) is not None:
+            more.append(y)
+            parts += [MARK, y]
+            have += len(MARK) + len(y)
+        if more and have < size:
+            again.extendleft(reversed(more))
+            parts = parts[:1]
+        yield _one(head, b"".join(parts))
+
+
 def read_warc(spark: SparkSession, path: str, compressed: bool | None = None) -> DataFrame:
     """Records of the WARC files under a path that Spark can read; those that can't be read are of type ``invalid``.
 
     Uncompressed files are cut at ``\\r\\n\\r\\nWARC/`` by Spark's splittable text reader, so that many tasks share a file of any
-    size; a block that itself holds these bytes comes out as cut off. A gzipped file is one task's work and
+    size; a block that itself holds these bytes is put together again by its length, unless a split ends within it: then it comes out as cut off. A gzipped file is one task's work and
     below 2 GB, as its members can't be told apart from the middle. ``compressed`` is guessed from the path (``.gz``).
     """
     names = [x.split()[0] for x in RECORD.split(", ")]
@@ -401,11 +434,12 @@ def read_warc(spark: SparkSession, path: str, compressed: bool | None = None) ->
         return spark.read.format("binaryFile").load(path).select("content").mapInArrow(files, RECORD)
 
     def pieces(batches):
-        for b in batches:
-            found = (re.match(rb"(?:WARC/)?[0-9][^\n]*\n(.*?\n)?\r?\n(.*)", x, re.S) for x in b.column(0).to_pylist() if x and x.strip())
-            yield from _batches((_one(m[1] or b"", m[2]) if m else _invalid("no head") for m in found), names)
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for _, run in groupby(rows, key=lambda r: r[1:]):
+            yield from _batches(_joined(r[0] for r in run), names)
 
-    return spark.read.option("lineSep", "\r\n\r\nWARC/").text(path).select(F.col("value").cast("binary").alias("content")).mapInArrow(pieces, RECORD)
+    cut = spark.read.option("lineSep", MARK.decode()).text(path)
+    return cut.select(F.col("value").cast("binary").alias("content"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at")).mapInArrow(pieces, RECORD)
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,3 +183,18 @@ def test_odd_rows(spark):
     got = W.derive(spark.createDataFrame(rows, schema), "page_id").collect()
     assert len(got) == 6 and len({r.record_id for r in got}) == 4
     assert max(len(r.block) for r in got if r.record_type == "conversion") == 60_000 * 10 - 1
+
+
+def test_a_block_that_holds_the_mark_comes_out_whole(spark, tmp_path):
+    """Its length decides; a length that says too much spoils its own record only."""
+    made = lambda k, block: {"record_type": "response", "record_id": f"<urn:uuid:{k}>", "block": block}
+    inner = W.serialize(made(9, b"inner\r\n\r\nWARC/1.0 again"))
+    data = b"".join(W.serialize(made(k, b)) for k, b in enumerate([b"one", b"two\r\n\r\nWARC/1.0\r\n" + inner, b"three"]))
+    (tmp_path / "x.warc").write_bytes(data)
+    key = lambda r: (r["record_type"], r["record_id"], bytes(r["block"]))
+    got = [key(r.asDict()) for r in W.read_warc(spark, str(tmp_path / "x.warc")).collect()]
+    assert sorted(got) == sorted(key(r) for r in W.parse(data)) and len(got) == 3
+    lying = data.replace(b"Content-Length: 3\r\n", b"Content-Length: 99999\r\n", 1)
+    (tmp_path / "y.warc").write_bytes(lying)
+    got = [r.record_type for r in W.read_warc(spark, str(tmp_path / "y.warc")).collect()]
+    assert sorted(got) == ["invalid", "response", "response"]
