@@ -9,11 +9,12 @@ from ..functions.textnorm import contains_digit, fold_separators, has_precompose
 
 
 def greedy_matches(expected: Column, got: Column) -> Column:
-    """Expected words found in order: each is sought from behind the last hit on; one that is missing uses up the line."""
-    step = lambda s, w: (
-        F.when(F.array_position(F.slice(got, s["i"], F.greatest(F.size(got), F.lit(1))), w) > 0, F.struct((s["i"] + F.array_position(F.slice(got, s["i"], F.greatest(F.size(got), F.lit(1))), w).cast("int")).alias("i"), (s["m"] + 1).alias("m"))).otherwise(F.struct((F.size(got) + 1).alias("i"), s["m"].alias("m")))
-    )
-    return F.aggregate(expected, F.struct(F.lit(1).alias("i"), F.lit(0).alias("m")), step, lambda s: s["m"])
+    """Expected words found in order: each is sought from behind the last hit on; one that is missing uses up the line.
+
+    One pass over what is got, with a place in what is expected: how far it comes is the number of hits. A null line has none.
+    """
+    hits = F.aggregate(got, F.lit(0), lambda at, w: F.when(F.get(expected, at) == w, at + 1).otherwise(at))
+    return F.when(expected.isNotNull(), F.coalesce(hits, F.lit(0)))
 
 
 def skip_reason(text: Column, expected: Column, by_rules: bool = False) -> Column:
