@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -10,6 +10,8 @@ from . import common as C
 
 #: Tasks that share the links of one node.
 SALT = 16
+#: Links of a file that a round writes, and the least number of files.
+ROWS, FILES = 200_000, 8
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,6 +34,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _written(links: DataFrame, files: int | None = None) -> tuple[DataFrame, int]:
+    """The links as a table, and into how many files those of the next round fit: a round makes no more links than it has found.
+
+    Rounds are many and mostly small; a file for each of hundreds of partitions would cost more than the links in it.
+    """
+    seen = Observation()
+    table = C.materialize((links.coalesce(files) if files else links).observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, max(FILES, -(-seen.get["n"] // ROWS))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node in a link; ``root`` is the least node of its component.
 
@@ -40,9 +52,9 @@ def components(edges: DataFrame) -> DataFrame:
     points to a node that points to none: each round points nodes to lesser ones, so they end; in practice their number
     is logarithmic.
     """
-    now = C.materialize(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now, files = _written(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _settled(now):
-        now = C.materialize(_star(_star(now, True), False))
+        now, files = _written(_star(_star(now, True), False), files)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
